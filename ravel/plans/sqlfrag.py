@@ -73,3 +73,21 @@ def scored_cte(src: str = "raw_examples") -> str:
     return (f"f AS (SELECT *, {flags_select()} FROM {src}), "
             f"scored AS (SELECT *, {score_expr()} AS quality_score, {reasons_expr()} AS quality_reasons, "
             f"{category_expr()} AS category FROM f)")
+
+
+def render_sql(template: str, **exprs: str) -> str:
+    """DuckDB twin of :func:`ravel.functions.render.render`."""
+    import re
+    parts, pos = [], 0
+    for m in re.finditer(r"\{\{(\w+)\}\}", template):
+        if m.start() > pos:
+            parts.append(sql_str(template[pos:m.start()]))
+        parts.append(f"coalesce(CAST(({exprs[m.group(1)]}) AS VARCHAR), 'null')")
+        pos = m.end()
+    if pos < len(template):
+        parts.append(sql_str(template[pos:]))
+    return "concat(" + ", ".join(parts) + ")"
+
+
+def json_string_sql(expr: str) -> str:
+    return f"CASE WHEN ({expr}) IS NULL THEN 'null' ELSE CAST(to_json({expr}) AS VARCHAR) END"
