@@ -57,4 +57,8 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
  WHEN 3 THEN '## what' || chr(10) || '[Describe what this PR does]' || chr(10) || '## Testing' || chr(10) || 'manual'
  WHEN 4 THEN '## Summary' || chr(10) || 'Added a feature' || chr(10) ELSE substr(text, 1, 300) END AS body FROM documents""",
     "request_log": """SELECT event_id, ts, 'ip_' || CAST(user_id AS STRING) AS client_key, CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status FROM events""",
+    "review_jobs": """SELECT c_custkey AS pr_id, 'team' || CAST(c_nationkey % 5 AS STRING) || '/repo' || CAST(c_custkey % 20 AS STRING) AS repo_full_name,
+ 'PR ' || c_name AS pr_title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Segment ' || c_mktsegment END AS pr_body, o.created_at
+FROM customer JOIN (SELECT o_custkey, max(o_orderdate) AS created_at FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey""",
+    "repo_languages": """SELECT source AS repo, lang, min(doc_id) AS pos, sum(n_chars) AS bytes FROM documents GROUP BY source, lang""",
 }

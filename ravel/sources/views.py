@@ -191,3 +191,26 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id", "ts", "'ip_' || CAST(user_id AS STRING) AS client_key",
         "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status",
     )
+
+
+def review_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Review jobs (normalised PRs, ``provider.js`` ReviewJob) keyed like
+    ``changed_files.pr_id``: one per customer with orders, in the repo the
+    ``reviews`` view gives that customer, created at its latest order."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.max("o_orderdate").alias("created_at"))
+    return c.join(o, c.c_custkey == o.o_custkey).selectExpr(
+        "c_custkey AS pr_id",
+        "'team' || CAST(c_nationkey % 5 AS STRING) || '/repo' || CAST(c_custkey % 20 AS STRING) AS repo_full_name",
+        "'PR ' || c_name AS pr_title",
+        "CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Segment ' || c_mktsegment END AS pr_body",
+        "created_at",
+    )
+
+
+def repo_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages per repo (``getLanguages``): bytes per language, in order of
+    first appearance (``pos``), from the documents of each source."""
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy(F.col("source").alias("repo"), "lang").agg(
+        F.min("doc_id").alias("pos"), F.sum("n_chars").alias("bytes"))
