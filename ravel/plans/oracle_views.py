@@ -61,4 +61,5 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
  'PR ' || c_name AS pr_title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Segment ' || c_mktsegment END AS pr_body, o.created_at
 FROM customer JOIN (SELECT o_custkey, max(o_orderdate) AS created_at FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey""",
     "repo_languages": """SELECT source AS repo, lang, min(doc_id) AS pos, sum(n_chars) AS bytes FROM documents GROUP BY source, lang""",
+    "pr_templates": """SELECT repo, arg_min(body, pr_id) AS content FROM pr_bodies WHERE len(regexp_extract_all(body, '(?m)^## ')) >= 2 GROUP BY repo""",
 }

@@ -20,7 +20,15 @@ DAYS = 90
 def with_views(sql: str) -> str:
     """Prefix the domain views a query mentions as CTEs (DuckDB only has the
     driver's base tables)."""
-    used = [v for v in VIEW_SQL if re.search(rf"\b{v}\b", sql)]
+    used: set[str] = set()
+    todo = [sql]
+    while todo:
+        text = todo.pop()
+        for v in VIEW_SQL:
+            if v not in used and re.search(rf"\b{v}\b", text):
+                used.add(v)
+                todo.append(VIEW_SQL[v])
+    used = [v for v in VIEW_SQL if v in used]  # definition order = dependency order
     if not used:
         return sql
     body = sql.strip()

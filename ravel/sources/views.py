@@ -214,3 +214,11 @@ def repo_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.groupBy(F.col("source").alias("repo"), "lang").agg(
         F.min("doc_id").alias("pos"), F.sum("n_chars").alias("bytes"))
+
+
+def pr_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repo PR templates: per repo, the first PR description (lowest id)
+    that has at least two ``## `` section headers."""
+    b = pr_bodies(spark, sf_dir)
+    return (b.where(F.regexp_count("body", F.lit("(?m)^## ")) >= 2)
+             .groupBy("repo").agg(F.min_by("body", "pr_id").alias("content")))
