@@ -134,14 +134,17 @@ def q_format_comment(spark, d):
     return c.select("id", RV.format_comment().alias("body"))
 
 
-@register("format_summary", f"""WITH {PARSE_CTE}, s AS (SELECT *, CASE WHEN outcome <> 'quarantine' THEN
+ORACLE_FORMAT_SUMMARY = f"""WITH {PARSE_CTE}, s AS (SELECT *, CASE WHEN outcome <> 'quarantine' THEN
   CAST(len(list_filter(items, lambda x: json_extract_string(x, '$.severity') = 'critical')) AS BIGINT) END AS crit,
   CAST(len(items) AS BIGINT) AS n FROM parsed WHERE outcome <> 'quarantine'),
 e AS (SELECT *, CASE WHEN crit > 0 THEN 'REQUEST_CHANGES' WHEN overall_score >= 85 AND n <= 2 THEN 'APPROVE' ELSE 'COMMENT' END AS event FROM s)
 SELECT example_id, event, '## ReviewAI — ' || CASE event WHEN 'APPROVE' THEN '✅ Approved' WHEN 'REQUEST_CHANGES' THEN '🔴 Changes requested'
  ELSE '💬 Reviewed' END || chr(10) || chr(10) || '**Quality Score: ' || coalesce(CAST(overall_score AS VARCHAR), 'null') || '/100**' || chr(10) || chr(10)
  || summary || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|---|---|' || chr(10) || '| 🔴 Critical | ' || CAST(crit AS VARCHAR)
- || ' |' || chr(10) || '| Other | ' || CAST(n - crit AS VARCHAR) || ' |' AS summary_md FROM e""")
+ || ' |' || chr(10) || '| Other | ' || CAST(n - crit AS VARCHAR) || ' |' AS summary_md FROM e"""
+
+
+@register("format_summary", ORACLE_FORMAT_SUMMARY)
 def q_format_summary(spark, d):
     p = RV.decide(_parsed(spark, d).where(F.col("outcome") != "quarantine"))
     crit = F.size(F.filter("comments", lambda c: c["severity"] == "critical")).cast("long")
