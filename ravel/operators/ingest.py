@@ -126,15 +126,16 @@ def diff_stats(diff) -> tuple[Column, Column, Column]:
     return (F.regexp_count(d, F.lit(r"(?m)^\+")), F.regexp_count(d, F.lit(r"(?m)^-")), F.size(F.split(d, "\n")))
 
 
-def file_normalize(files: DataFrame, provider: str) -> DataFrame:
+def file_normalize(files: DataFrame, provider: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Provider file record → (filename, additions, deletions, changes,
     patch); a missing/empty patch becomes null. GitLab counts come from the
-    diff text (Q15)."""
+    diff text (Q15). ``keep`` columns (e.g. the PR key) pass through."""
+    k = [F.col(c) for c in keep]
     if provider == "gitlab":
         a, dl, ch = diff_stats("diff")
-        return files.select(F.col("new_path").alias("filename"), a.alias("additions"), dl.alias("deletions"),
+        return files.select(*k, F.col("new_path").alias("filename"), a.alias("additions"), dl.alias("deletions"),
                             ch.alias("changes"), F.nullif(F.col("diff"), F.lit("")).alias("patch"))
-    return files.select("filename", "additions", "deletions", "changes",
+    return files.select(*k, "filename", "additions", "deletions", "changes",
                         F.nullif(F.col("patch"), F.lit("")).alias("patch"))
 
 
