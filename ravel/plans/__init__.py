@@ -7,4 +7,4 @@ from .registry import QUERIES, ORACLE, register  # noqa: F401
 def load_all() -> None:
     """Import every module that registers queries."""
     from . import (q_reports, q_quality, q_training, q_reviews,  # noqa: F401
-                   q_eval, q_prompts, q_templates, q_alerts, q_ingest, q_extras)
+                   q_eval, q_prompts, q_templates, q_alerts, q_ingest, q_streaming, q_extras)

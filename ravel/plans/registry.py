@@ -11,6 +11,7 @@ from .oracle_views import VIEW_SQL
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+ORACLE_RAW: dict[str, str] = {}   # before the view CTEs are added
 
 # Parameters shared by the registered report queries (FIXTURES.md §2).
 AS_OF = "2001-08-01"
@@ -33,6 +34,8 @@ def with_views(sql: str) -> str:
         return sql
     body = sql.strip()
     ctes = ",\n".join(f"{v} AS ({VIEW_SQL[v]})" for v in used)
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {ctes},\n{body[14:]}"
     if body[:4].upper() == "WITH":
         return f"WITH {ctes},\n{body[4:]}"
     return f"WITH {ctes}\n{body}"
@@ -44,6 +47,7 @@ def register(key: str, oracle: str | None = None):
             raise ValueError(f"duplicate query key {key}")
         QUERIES[key] = fn
         if oracle is not None:
+            ORACLE_RAW[key] = oracle
             ORACLE[key] = with_views(oracle)
         return fn
     return deco
