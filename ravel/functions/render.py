@@ -25,9 +25,20 @@ def render(template: str, **cols: Column) -> Column:
     return F.concat(*parts)
 
 
+# control characters whose \\uXXXX escape has a hex letter (JSON.stringify writes
+# them in lower case; Spark's JSON writer in upper case)
+_HEX_LETTER_CTRL = [0x0B, 0x0E, 0x0F] + list(range(0x1A, 0x20))
+
+
 def json_string(c: Column) -> Column:
     """JSON text of a string value (quoted and escaped), 'null' for null —
     ``JSON.stringify`` of a string."""
     wrapped = F.to_json(F.struct(c.alias("v")))        # {"v":"..."}
-    return F.when(c.isNull(), F.lit("null")).otherwise(
-        F.regexp_extract(wrapped, r'(?s)^\{"v":(.*)\}$', 1))
+    body = F.regexp_extract(wrapped, r'(?s)^\{"v":(.*)\}$', 1)
+    fixed = body
+    for code in _HEX_LETTER_CTRL:
+        up = f"{code:04X}"
+        # only escapes, not an escaped backslash followed by 'u00..'
+        fixed = F.regexp_replace(fixed, r"(?<!\\)((?:\\\\)*)\\u" + up, "$1\\\\u" + up.lower())
+    has_ctrl = c.rlike("[\\x{0B}\\x{0E}\\x{0F}\\x{1A}-\\x{1F}]")
+    return F.when(c.isNull(), F.lit("null")).when(has_ctrl, fixed).otherwise(body)
