@@ -50,14 +50,23 @@ def words_java(alts, case_insensitive: bool = True) -> str:
 
     ``\\b`` means "the word/non-word state changes", so its meaning depends
     on the first/last character of each alternative: after ``O\\(n\\)`` the
-    next character must be a word character (D5)."""
-    parts = []
+    next character must be a word character (D5). Consecutive alternatives
+    with the same guards share one guard pair, and a look-ahead on the
+    possible first letters skips most positions cheaply; both keep the
+    alternatives' order and the set of matches."""
+    groups: list[tuple[str, str, list[str]]] = []
     for a in alts:
         lead = f"(?<!{_W})" if _starts_word(a) else f"(?<={_W})"
         trail = f"(?!{_W})" if _ends_word(a) else f"(?={_W})"
-        parts.append(f"{lead}(?:{a}){trail}")
+        if groups and groups[-1][0] == lead and groups[-1][1] == trail:
+            groups[-1][2].append(a)
+        else:
+            groups.append((lead, trail, [a]))
+    firsts = sorted({a[0].lower() for a in alts if a[0].isalpha()} | {a[0].upper() for a in alts if a[0].isalpha()})
+    pre = f"(?=[{''.join(firsts)}])" if all(a[0].isalpha() for a in alts) else ""
+    parts = [f"{lead}(?:{'|'.join(g)}){trail}" for lead, trail, g in groups]
     flag = "(?i)" if case_insensitive else ""
-    return flag + "(?:" + "|".join(parts) + ")"
+    return flag + pre + "(?:" + "|".join(parts) + ")"
 
 
 def words_re2(alts, case_insensitive: bool = True) -> str:

@@ -29,6 +29,17 @@ def optional_eq(df: DataFrame, col: str, value) -> DataFrame:
     return df if value is None else df.where(F.col(col) == F.lit(value))
 
 
+def compute_once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Add expensive columns (regex flags, parsed JSON) evaluated once per row.
+
+    Catalyst pushes a filter on a derived column below the projection that
+    defines it by inlining the expression, which evaluates it twice (in the
+    filter and again in the projection). Producing the columns from a
+    one-row ``inline`` generator keeps such filters above them."""
+    packed = F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))
+    return df.select("*", F.inline(packed))
+
+
 def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column],
                     n: int, salt_cols: list[str] | None = None, salts: int = 64,
                     rank_col: str = "rn") -> DataFrame:

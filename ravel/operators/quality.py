@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import JS_SPACE, col_, js_trim, words_java
+from .common import compute_once
 
 _W = "[0-9A-Za-z_]"
 
@@ -86,14 +87,9 @@ def score_examples(df: DataFrame, text: str = "review_comment") -> DataFrame:
     0.25+0.2+0.1+0.3-0.1-0.1 = 0.6500000000000001 land on the same side of
     the thresholds."""
     t = F.col(text)
-    flags = df.select(
-        "*",
-        F.length(js_trim(t)).alias("_len"),
-        actionable_flag(t).alias("_act"),
-        specific_pattern_count(t).alias("_spec"),
-        high_value_flag(t).alias("_high"),
-        low_value_flag(t).alias("_low"),
-    )
+    flags = compute_once(df, _len=F.length(js_trim(t)), _act=actionable_flag(t),
+                         _spec=specific_pattern_count(t), _high=high_value_flag(t), _low=low_value_flag(t),
+                         category=infer_category(t))
     z = F.lit(0.0)
     s = z + length_points(F.col("_len"))
     s = s + F.when(F.col("_act"), F.lit(0.2)).otherwise(z)
@@ -122,7 +118,6 @@ def score_examples(df: DataFrame, text: str = "review_comment") -> DataFrame:
     )
     return (flags.withColumn("quality_score", score)
                  .withColumn("quality_reasons", F.filter(reasons, lambda x: x.isNotNull()))
-                 .withColumn("category", infer_category(t))
                  .drop("_len", "_act", "_spec", "_high", "_low"))
 
 

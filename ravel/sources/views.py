@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import balance, table
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,7 +59,10 @@ _RAW_SUFFIX = (
 
 
 def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").alias("d")
+    # only the first 2,000 characters of a document are used: cut before
+    # anything moves, then spread the regex-heavy rows over the cores
+    d = balance(table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "lang", F.substring("text", 1, 2000).alias("text"))).alias("d")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality").alias("l")
     return d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left").selectExpr(
         "d.doc_id AS example_id",
