@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.patterns import CATEGORIES, SEVERITIES
 from ..functions.render import render
 from ..functions.text import JS_SPACE, col_, js_trim, parse_json_strict, variant_type
+from .common import compute_once
 
 # ---------------------------------------------------------------- fixed values
 UNPARSABLE_SCORE = 70
@@ -105,14 +106,12 @@ def parse_review(df: DataFrame, text: str = "raw_text", bare_fence: bool = True)
     Adds ``outcome``, ``overall_score``, ``summary``, ``comments`` (typed
     array) and ``violations`` (array of rule codes, empty when valid)."""
     clean = strip_fences(F.col(text), bare_fence)
-    d = df.withColumn("_v", parse_json_strict(clean))
+    d = compute_once(df, _v=parse_json_strict(clean))
     v = F.col("_v")
     obj = F.schema_of_variant(v).startswith("OBJECT")
     score_t, summ_t, com_t = variant_type(v, "$.overallScore"), variant_type(v, "$.summary"), variant_type(v, "$.comments")
     score_d = F.try_variant_get(v, "$.overallScore", "double")
-    arr = F.when(com_t.startswith("ARRAY"), F.try_variant_get(v, "$.comments", "array<variant>"))
-    d = d.withColumn("_arr", arr)
-    arr = F.col("_arr")
+    arr0 = F.when(com_t.startswith("ARRAY"), F.try_variant_get(v, "$.comments", "array<variant>"))
 
     top = F.array(
         F.when(~obj, F.lit("review.type")),
@@ -120,11 +119,12 @@ def parse_review(df: DataFrame, text: str = "raw_text", bare_fence: bool = True)
         F.when(obj & F.coalesce(score_t.rlike(_NUM) & ((score_d < 0) | (score_d > 100)), F.lit(False)),
                F.lit("overallScore.range")),
         F.when(obj & ~F.coalesce(summ_t == "STRING", F.lit(False)), F.lit("summary.type")),
-        F.when(obj & arr.isNull(), F.lit("comments.type")),
+        F.when(obj & arr0.isNull(), F.lit("comments.type")),
     )
-    per_comment = F.flatten(F.transform(F.coalesce(arr, F.array().cast("array<variant>")), comment_violations))
+    per_comment = F.flatten(F.transform(F.coalesce(arr0, F.array().cast("array<variant>")), comment_violations))
     violations = F.array_distinct(F.concat(F.filter(top, lambda e: e.isNotNull()), per_comment))
-    d = d.withColumn("violations", F.when(v.isNotNull(), violations))
+    d = compute_once(d, _arr=arr0, violations=F.when(v.isNotNull(), violations))
+    arr = F.col("_arr")
 
     valid = v.isNotNull() & (F.size("violations") == 0)
     quarantine = v.isNotNull() & (F.is_variant_null(v)
@@ -140,21 +140,20 @@ def parse_review(df: DataFrame, text: str = "raw_text", bare_fence: bool = True)
                      .otherwise(F.lit(PARTIAL_SCORE).cast("bigint"))
     partial_summary = F.when(obj & _present(summ_t), F.try_variant_get(v, "$.summary", "string")) \
                        .otherwise(F.lit(PARTIAL_SUMMARY))
+    d = compute_once(d, outcome=outcome)
     o = F.col("outcome")
-    return (d.withColumn("outcome", outcome)
-             .withColumn("overall_score",
-                         F.when(o == "valid", score_d.cast("bigint"))
-                          .when(o == "unparsable", F.lit(UNPARSABLE_SCORE).cast("bigint"))
-                          .when(o == "partial", partial_score))
-             .withColumn("summary",
-                         F.when(o == "valid", F.try_variant_get(v, "$.summary", "string"))
-                          .when(o == "unparsable", F.lit(UNPARSABLE_SUMMARY))
-                          .when(o == "partial", partial_summary))
-             .withColumn("comments",
-                         F.when(o == "valid", typed_all)
-                          .when(o == "unparsable", F.array().cast(f"array<{COMMENT_TYPE}>"))
-                          .when(o == "partial", typed_lenient))
-             .drop("_v", "_arr"))
+    return compute_once(
+        d,
+        overall_score=F.when(o == "valid", score_d.cast("bigint"))
+                       .when(o == "unparsable", F.lit(UNPARSABLE_SCORE).cast("bigint"))
+                       .when(o == "partial", partial_score),
+        summary=F.when(o == "valid", F.try_variant_get(v, "$.summary", "string"))
+                 .when(o == "unparsable", F.lit(UNPARSABLE_SUMMARY))
+                 .when(o == "partial", partial_summary),
+        comments=F.when(o == "valid", typed_all)
+                  .when(o == "unparsable", F.array().cast(f"array<{COMMENT_TYPE}>"))
+                  .when(o == "partial", typed_lenient),
+    ).drop("_v", "_arr")
 
 
 def review_decision(critical: Column, score: Column, n_comments: Column) -> Column:

@@ -168,7 +168,8 @@ _ANSWERS = (
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").selectExpr(
+    # JSON parsing per row is the heavy part: spread the rows over the cores
+    return balance(table(spark, sf_dir, "documents").select("doc_id")).selectExpr(
         "doc_id AS example_id",
         "CASE WHEN doc_id % 2 = 0 THEN 'tuned' ELSE 'base' END AS model",
         "CASE doc_id % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' WHEN 2 THEN 'style' "
