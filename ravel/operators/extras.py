@@ -16,12 +16,13 @@ def normalized_text(c) -> Column:
 
 def dedupe_comments(df: DataFrame, text: str = "review_comment", id_col: str = "example_id") -> DataFrame:
     """E1 (exact part): keep the first example (lowest id) of each normalised
-    text. The winners come from an aggregate on the text hash (combined
-    map-side, so a very common text is not one hot group) and are joined
-    back by id."""
+    text. One aggregate per text hash carries the winning row (``min_by`` of
+    the row struct), so the input is read once and a very common text is
+    reduced map-side instead of forming one hot group."""
+    cols = df.columns
     h = df.withColumn("_h", F.md5(normalized_text(text)))
-    winners = h.groupBy("_h").agg(F.min(id_col).alias(id_col))
-    return h.join(winners, ["_h", id_col], "left_semi").drop("_h")
+    win = h.groupBy("_h").agg(F.min_by(F.struct(*[F.col(c) for c in cols]), F.col(id_col)).alias("_r"))
+    return win.select("_r.*")
 
 
 def min_reactions_filter(df: DataFrame, n: int = 1) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import render
-from .common import top_n_per_group
+from .common import running_count, top_n_per_group
 
 # ---------------------------------------------------------------- fixed values
 MAX_FILES = 15
@@ -102,42 +102,47 @@ def recent_issue_context(jobs: DataFrame, files: DataFrame, reviews: DataFrame,
 
     Exact without pairing every job with every comment on a hot file:
 
-    1. comments and (job, path) probes of one (repo, path) are numbered in
-       time order by a two-level running count — per-day counts, a running
-       sum over days, then a running count inside each day — so no window
-       spans a whole hot path;
-    2. a probe knows k = number of earlier comments; its candidates are the
-       comments numbered k−limit+1..k, joined by (repo, path, number) — at
-       most ``limit`` rows per probe and never a many-to-many key;
-    3. the time bound and a per-job top-``limit`` finish the job.
+    1. comments and two probes per (job, path) — at t and at t − days — are
+       numbered in time order per (repo, path) by a two-level running count
+       (per-day counts, a running sum over days, a running count inside each
+       day), so no window spans a whole hot path;
+    2. the probes give k = comments before t and k_old = comments at or
+       before t − days; the candidates are exactly the comments numbered
+       max(k_old, k − limit) + 1 .. k, joined by (repo, path, number): at
+       most ``limit`` rows per probe, usually far fewer, never a
+       many-to-many key;
+    3. a per-job top-``limit`` over its paths finishes the job.
     """
     probes = (files.select("pr_id", F.col("filename").alias("path")).distinct()
               .join(jobs.select("pr_id", F.col("repo_full_name").alias("repo"), F.col("created_at").alias("t")), "pr_id")
-              .select("repo", "path", "t", F.lit(0).alias("kind"), F.col("pr_id").alias("ref"),
-                      F.lit(None).cast("string").alias("category"), F.lit(None).cast("string").alias("suggestion")))
+              .select("repo", "path", "t", F.col("pr_id").alias("ref")))
+    none = F.lit(None).cast("string")
     ev = (comments.select(F.col("id").alias("ref"), "review_id", F.col("file_path").alias("path"), "category", "suggestion")
           .join(reviews.select(F.col("id").alias("review_id"), F.col("repo_full_name").alias("repo"),
                                F.col("created_at").alias("t")), "review_id")
           .join(probes.select("repo", "path").distinct(), ["repo", "path"], "left_semi")   # J5 pruning
           .select("repo", "path", "t", F.lit(1).alias("kind"), "ref", "category", "suggestion"))
-    u = probes.unionByName(ev).withColumn("b", F.date_trunc("day", "t"))
-    per_day = u.groupBy("repo", "path", "b").agg(F.sum("kind").alias("nb"))
-    wd = Window.partitionBy("repo", "path").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    per_day = per_day.select("repo", "path", "b", F.coalesce(F.sum("nb").over(wd), F.lit(0)).alias("before"))
+    # kind 0: probe at t (sorts before comments of the same time → counts comments strictly earlier)
+    # kind 2: probe at t − days (sorts after comments of the same time → counts comments too old)
+    lo = F.col("t") - F.make_dt_interval(days=F.lit(int(days)))
+    two = F.explode(F.array(F.struct(F.col("t").alias("t"), F.lit(0).alias("kind")),
+                            F.struct(lo.alias("t"), F.lit(2).alias("kind")))).alias("p")
+    u = (probes.select("repo", "path", "ref", two)
+         .select("repo", "path", F.col("p.t").alias("t"), F.col("p.kind").alias("kind"), "ref",
+                 none.alias("category"), none.alias("suggestion"))
+         .unionByName(ev)
+         .withColumn("w", (F.col("kind") == 1).cast("long")))
     # comments of equal time are numbered by id descending, so that the
     # highest numbers are the newest and, among equal times, the lowest ids
-    wl = (Window.partitionBy("repo", "path", "b").orderBy("t", "kind", F.col("ref").desc())
-          .rowsBetween(Window.unboundedPreceding, 0))
-    u = (u.withColumn("local", F.sum("kind").over(wl))
-          .join(per_day, ["repo", "path", "b"])
-          .withColumn("k", F.col("before") + F.col("local")))
+    u = running_count(u, ["repo", "path"], "t", [F.col("kind"), F.col("ref").desc()], "w", "k")
     cm = u.where(F.col("kind") == 1).select("repo", "path", F.col("k").alias("cnum"), F.col("ref").alias("comment_id"),
                                             F.col("t").alias("comment_at"), "category", "suggestion")
-    pr = (u.where((F.col("kind") == 0) & (F.col("k") > 0))
-           .select("repo", "path", "t", F.col("ref").alias("pr_id"),
-                   F.explode(F.sequence(F.greatest(F.col("k") - (limit - 1), F.lit(1)), F.col("k"))).alias("cnum")))
-    lo = F.col("t") - F.make_dt_interval(days=F.lit(int(days)))
-    cand = pr.join(cm, ["repo", "path", "cnum"]).where(F.col("comment_at") > lo)
+    hi = u.where(F.col("kind") == 0).select("repo", "path", F.col("ref").alias("pr_id"), F.col("k").alias("k_hi"))
+    old = u.where(F.col("kind") == 2).select("repo", "path", F.col("ref").alias("pr_id"), F.col("k").alias("k_lo"))
+    rng = hi.join(old, ["repo", "path", "pr_id"]).where(F.col("k_hi") > F.col("k_lo"))
+    first = F.greatest(F.col("k_hi") - (limit - 1), F.col("k_lo") + 1)
+    pr = rng.select("repo", "path", "pr_id", F.explode(F.sequence(first, F.col("k_hi"))).alias("cnum"))
+    cand = pr.join(cm, ["repo", "path", "cnum"])
     top = top_n_per_group(cand, ["pr_id"], [F.col("comment_at").desc(), F.col("comment_id")], limit,
                           salt_cols=["path"], rank_col="rank")
     return top.select("pr_id", "rank", "comment_id", F.col("path").alias("file_path"), "category", "suggestion",

@@ -40,7 +40,11 @@ def metrics_overview(reviews: DataFrame, comments: DataFrame, as_of: str, days:
     the plain mean. Counts are 0 and means null on empty input."""
     r = optional_eq(trailing_window(reviews, "created_at", as_of, days), "repo_full_name", repo)
     r = r.select("id", "overall_score")
-    per = comment_counts(comments)
+    # only comments of reviews in the window: a semi join first (AQE can
+    # broadcast the windowed ids; runtime filters can prune the scan), then
+    # the per-review aggregate on the same key
+    c = comments.join(r.select(F.col("id").alias("review_id")), "review_id", "left_semi")
+    per = comment_counts(c)
     j = r.join(per, r.id == per.review_id, "left")
     w = F.greatest(F.coalesce(F.col("n_comments"), F.lit(0)), F.lit(1))
 
