@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 # streaming runs (trigger waits, sleeps between time slices) are not headline
 STREAMING = {"rate_window_stream", "rate_state_expiry", "stream_pr_events", "stream_upsert_reviews",
-             "stream_quality_trend"}
+             "stream_quality_trend", "stream_webhook_github", "stream_webhook_gitlab"}
 
 
 def main() -> None:

@@ -61,22 +61,26 @@ def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Colum
 
 
 def global_position(df: DataFrame, key: Column, tie: list[Column], prefix_len: int = 3,
-                    pos_col: str = "pos") -> DataFrame:
+                    pos_col: str = "pos", total_col: str | None = None) -> DataFrame:
     """1-based position of every row in the total order (key, *tie).
 
     ``key`` must be a hex string (e.g. an md5): rows are counted per key
     prefix (16**prefix_len groups, a small table whose running sums give each
     group's offset), then numbered inside their group only — no window over
-    the whole input in one task."""
+    the whole input in one task. ``total_col`` adds the row count, taken
+    from the same small table (no extra pass over the input)."""
     df = df.withColumn("_k", key).withColumn("_g", F.substring("_k", 1, prefix_len))
     counts = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_g", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"))
+    offsets = counts.select("_g", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"),
+                            F.sum("_n").over(Window.partitionBy()).alias("_total"))
     # at most 16**prefix_len rows: a proven broadcast bound
     df = df.join(F.broadcast(offsets), "_g")
     w = Window.partitionBy("_g").orderBy(F.col("_k"), *tie)
-    return (df.withColumn(pos_col, F.col("_off") + F.row_number().over(w))
-              .drop("_k", "_g", "_off"))
+    out = df.withColumn(pos_col, F.col("_off") + F.row_number().over(w))
+    if total_col:
+        out = out.withColumnRenamed("_total", total_col)
+    return out.drop("_k", "_g", "_off", "_total")
 
 
 def running_count(u: DataFrame, part_cols: list[str], time_col: str, order_cols: list[Column],

@@ -120,18 +120,19 @@ def seeded_order_key(id_col: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string")))
 
 
-def seeded_order(df: DataFrame, id_col: str, seed: int = 42, pos_col: str = "pos") -> DataFrame:
+def seeded_order(df: DataFrame, id_col: str, seed: int = 42, pos_col: str = "pos",
+                 total_col: str | None = None) -> DataFrame:
     """1-based position in the seeded order, ties by id."""
-    return global_position(df, seeded_order_key(id_col, seed), [F.col(id_col)], pos_col=pos_col)
+    return global_position(df, seeded_order_key(id_col, seed), [F.col(id_col)], pos_col=pos_col,
+                           total_col=total_col)
 
 
 def exact_split(df: DataFrame, id_col: str, train_share: float = 0.9, seed: int = 42) -> DataFrame:
     """First floor(n·p) rows of the seeded order are 'train', the rest
-    'eval'. n comes from a one-row aggregate joined back (no collect)."""
-    ordered = seeded_order(df, id_col, seed)
-    n = df.agg(F.count(F.lit(1))).scalar()          # scalar subquery, run once
-    cut = F.floor(n * F.lit(float(train_share)))
-    return ordered.withColumn("split", F.when(F.col("pos") <= cut, "train").otherwise("eval"))
+    'eval'. n is the sum of the prefix counts (no extra pass, no collect)."""
+    ordered = seeded_order(df, id_col, seed, total_col="_n")   # n from the prefix-count table
+    cut = F.floor(F.col("_n") * F.lit(float(train_share)))
+    return ordered.withColumn("split", F.when(F.col("pos") <= cut, "train").otherwise("eval")).drop("_n")
 
 
 def chat_examples(split_df: DataFrame) -> DataFrame:

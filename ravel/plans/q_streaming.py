@@ -129,3 +129,48 @@ def q_stream_trend(spark, d):
 
 
 _ = q_reviews  # registration order: upsert oracle defined there
+
+
+def _payload_files(spark, d, provider: str) -> str:
+    """Webhook deliveries of one provider, nested like the real payloads,
+    derived from the event view."""
+    e = V.pr_events(spark, d).where(F.col("provider") == provider).withColumn("ts", F.col("ts").cast("timestamp"))
+    if provider == "github":
+        payload = F.struct(
+            F.col("action").alias("action"),
+            F.struct(F.col("pr_number").alias("number"), F.lit(None).cast("string").alias("title"),
+                     F.col("body").alias("body"), F.struct(F.lit("h").alias("sha")).alias("head"),
+                     F.struct(F.lit("b").alias("sha")).alias("base"),
+                     F.struct(F.col("author_login").alias("login")).alias("user")).alias("pull_request"),
+            F.struct(F.col("repo_full_name").alias("full_name")).alias("repository"))
+    else:
+        payload = F.struct(
+            F.struct(F.col("pr_number").alias("iid"), F.col("body").alias("description"),
+                     F.col("action").alias("action")).alias("object_attributes"),
+            F.struct(F.col("repo_full_name").alias("path_with_namespace")).alias("project"),
+            F.struct(F.col("author_login").alias("username")).alias("user"))
+    folder = scratch_path(spark, f"webhooks-{provider}")
+    e.select("event_id", "ts", "event_name", payload.alias("payload")).write.option("timestampFormat", TS_FMT).json(folder)
+    return folder
+
+
+def _webhook_jobs(spark, d, provider: str):
+    from ..operators import ingest as I
+    read = ST.read_github_webhooks if provider == "github" else ST.read_gitlab_webhooks
+    norm = I.normalize_github_events if provider == "github" else I.normalize_gitlab_events
+    src = read(spark, _payload_files(spark, d, provider))
+    name = f"hooks_{provider}_{int(time.time() * 1000)}"
+    ST.run_available(norm(src), scratch_path(spark, "ckpt"), "append", name)
+    return spark.table(name).select(*q_ingest._JOB_COLS)
+
+
+@register("stream_webhook_github", ORACLE["normalize_github_events"])
+def q_webhook_github(spark, d):
+    """S5 (+P1): nested deliveries of the first provider as a file stream."""
+    return _webhook_jobs(spark, d, "github")
+
+
+@register("stream_webhook_gitlab", ORACLE["normalize_gitlab_events"])
+def q_webhook_gitlab(spark, d):
+    """S6 (+P2): nested deliveries of the second provider as a file stream."""
+    return _webhook_jobs(spark, d, "gitlab")

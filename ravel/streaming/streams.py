@@ -80,3 +80,61 @@ def run_available(df: DataFrame, checkpoint: str, mode: str = "append", name: st
     q = w.start()
     q.awaitTermination()
     return q
+
+
+# Webhook payload layouts (only the fields the jobs use).
+GITHUB_PAYLOAD = T.StructType([
+    T.StructField("action", T.StringType()),
+    T.StructField("pull_request", T.StructType([
+        T.StructField("number", T.IntegerType()), T.StructField("title", T.StringType()),
+        T.StructField("body", T.StringType()),
+        T.StructField("head", T.StructType([T.StructField("sha", T.StringType())])),
+        T.StructField("base", T.StructType([T.StructField("sha", T.StringType())])),
+        T.StructField("user", T.StructType([T.StructField("login", T.StringType())]))])),
+    T.StructField("repository", T.StructType([
+        T.StructField("full_name", T.StringType()), T.StructField("name", T.StringType()),
+        T.StructField("owner", T.StructType([T.StructField("login", T.StringType())]))])),
+    T.StructField("installation", T.StructType([T.StructField("id", T.LongType())]))])
+
+GITLAB_PAYLOAD = T.StructType([
+    T.StructField("object_attributes", T.StructType([
+        T.StructField("iid", T.IntegerType()), T.StructField("title", T.StringType()),
+        T.StructField("description", T.StringType()), T.StructField("action", T.StringType()),
+        T.StructField("last_commit", T.StructType([T.StructField("id", T.StringType())])),
+        T.StructField("diff_refs", T.StructType([T.StructField("base_sha", T.StringType())]))])),
+    T.StructField("project", T.StructType([
+        T.StructField("id", T.LongType()), T.StructField("path_with_namespace", T.StringType())])),
+    T.StructField("user", T.StructType([T.StructField("username", T.StringType())]))])
+
+
+def webhook_schema(payload: T.StructType) -> T.StructType:
+    """One delivery: id, receive time, event header, payload."""
+    return T.StructType([T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
+                         T.StructField("event_name", T.StringType()), T.StructField("payload", payload)])
+
+
+def read_github_webhooks(spark: SparkSession, folder: str) -> DataFrame:
+    """First provider's deliveries → flat event columns (null-safe
+    nested access; a missing object gives nulls, not an error)."""
+    raw = spark.readStream.schema(webhook_schema(GITHUB_PAYLOAD)).option(
+        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(folder)
+    p = F.col("payload")
+    return raw.select(
+        "event_id", "ts", F.lit("github").alias("provider"), "event_name", p["action"].alias("action"),
+        p["repository"]["full_name"].alias("repo_full_name"), p["pull_request"]["number"].alias("pr_number"),
+        p["pull_request"]["title"].alias("pr_title"), p["pull_request"]["body"].alias("body"),
+        p["pull_request"]["head"]["sha"].alias("head_sha"), p["pull_request"]["base"]["sha"].alias("base_sha"),
+        p["pull_request"]["user"]["login"].alias("author_login"), p["installation"]["id"].alias("installation_id"))
+
+
+def read_gitlab_webhooks(spark: SparkSession, folder: str) -> DataFrame:
+    """Second provider's deliveries → flat event columns."""
+    raw = spark.readStream.schema(webhook_schema(GITLAB_PAYLOAD)).option(
+        "timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(folder)
+    a, p = F.col("payload")["object_attributes"], F.col("payload")
+    return raw.select(
+        "event_id", "ts", F.lit("gitlab").alias("provider"), "event_name", a["action"].alias("action"),
+        p["project"]["path_with_namespace"].alias("repo_full_name"), a["iid"].alias("pr_number"),
+        a["title"].alias("pr_title"), a["description"].alias("body"), a["last_commit"]["id"].alias("head_sha"),
+        a["diff_refs"]["base_sha"].alias("base_sha"), p["user"]["username"].alias("author_login"),
+        p["project"]["id"].alias("project_id"))
