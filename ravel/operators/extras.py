@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import JS_SPACE, col_, js_trim
-from .common import as_of_lit, trailing_window
+from .common import as_of_lit, compute_once, trailing_window
 
 
 def normalized_text(c) -> Column:
@@ -85,3 +85,58 @@ def author_and_size_metrics(reviews: DataFrame, comments: DataFrame) -> DataFram
     r = reviews.join(n, reviews.id == n.review_id, "left").withColumn("n_comments", F.coalesce("n_comments", F.lit(0)))
     return (r.rollup("repo_full_name", "author_login", size_bucket(F.col("n_comments")).alias("size_bucket"))
              .agg(F.count(F.lit(1)).alias("reviews"), F.round(F.avg("overall_score"), 3).alias("avg_score")))
+
+
+def minhash_signatures(df: DataFrame, text: str, id_col: str, num_hashes: int = 64,
+                       shingle: int = 5) -> DataFrame:
+    """(id, sig): ``num_hashes`` MinHash values over the character
+    ``shingle``-grams of the normalised text (a text shorter than a shingle is
+    one gram). The text is normalised once; grams are exploded and hashed by
+    generated code, then reduced with ``min`` per id — a partial aggregate on
+    a unique key, so it is combined before any shuffle and never skewed."""
+    base = compute_once(df.select(F.col(id_col).alias("id"), F.col(text).alias("_raw")), _t=normalized_text("_raw"))
+    n = F.greatest(F.length("_t") - (shingle - 1), F.lit(1))
+    grams = (base.select("id", "_t", F.explode(F.sequence(F.lit(1), n)).alias("_i"))
+                 .select("id", F.expr(f"substring(_t, _i, {int(shingle)})").alias("gram")))
+    sig = grams.groupBy("id").agg(*[F.min(F.xxhash64(F.lit(seed), F.col("gram"))).alias(f"_h{seed}")
+                                    for seed in range(num_hashes)])
+    return sig.select("id", F.array(*[F.col(f"_h{seed}") for seed in range(num_hashes)]).alias("sig"))
+
+
+def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col: str = "example_id",
+                            bands: int = 16, rows_per_band: int = 4, min_similarity: float = 0.8,
+                            max_rounds: int = 32) -> DataFrame:
+    """E1 (near-duplicate part): cluster texts whose MinHash similarity is at
+    least ``min_similarity``; returns (id, cluster_id) with cluster_id = the
+    smallest id of the connected component.
+
+    LSH banding puts candidates in buckets; each member is linked only to its
+    bucket's smallest id (a star, never all pairs in a bucket), and an edge is
+    kept when the two signatures agree on at least ``min_similarity`` of their
+    positions. Components come from min-label propagation; every round cuts
+    the lineage with ``checkpoint()`` in the shared checkpoint folder."""
+    k = bands * rows_per_band
+    sig = minhash_signatures(df, text, id_col, k).checkpoint()
+    keys = sig.select("id", "sig", F.posexplode(F.array(*[
+        F.xxhash64(F.lit(b), F.slice("sig", b * rows_per_band + 1, rows_per_band)) for b in range(bands)]))
+        .alias("band", "bucket"))
+    heads = keys.groupBy("band", "bucket").agg(F.min("id").alias("head"))      # combined map-side
+    edges = (keys.join(heads, ["band", "bucket"]).where(F.col("id") != F.col("head"))
+                 .select("id", "head", "sig").distinct())
+    hs = sig.select(F.col("id").alias("head"), F.col("sig").alias("hsig"))
+    agree = F.aggregate(F.zip_with("sig", "hsig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x)
+    edges = (edges.join(hs, "head").where(agree >= F.lit(int(min_similarity * k)))
+                  .select(F.col("id").alias("a"), F.col("head").alias("b")))
+    und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = sig.select("id", F.col("id").alias("label"))
+    for _ in range(max_rounds):
+        nb = (und.join(labels.withColumnRenamed("id", "b"), "b")
+                 .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("nl")))
+        new = (labels.join(nb, "id", "left")
+                     .select("id", F.least("label", F.coalesce("nl", "label")).alias("label"),
+                             (F.coalesce("nl", "label") < F.col("label")).alias("_chg"))).checkpoint()
+        changed = new.where("_chg").limit(1).count() > 0
+        labels = new.drop("_chg")
+        if not changed:
+            break
+    return labels.select(F.col("id").alias(id_col), F.col("label").alias("cluster_id"))

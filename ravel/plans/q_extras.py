@@ -57,3 +57,9 @@ SELECT repo_full_name, author_login, size_bucket, count(*) AS reviews, round(avg
 FROM b GROUP BY ROLLUP (repo_full_name, author_login, size_bucket)""")
 def q_author_size(spark, d):
     return X.author_and_size_metrics(V.reviews(spark, d), V.review_comments(spark, d))
+
+
+@register("near_duplicate_clusters", None)
+def q_near_dupes(spark, d):
+    """E1 near-duplicate part: MinHash/LSH clusters over all raw examples."""
+    return X.near_duplicate_clusters(V.raw_examples(spark, d))

@@ -149,3 +149,14 @@ def test_diff_stats(spark):
     df = spark.createDataFrame([("@@ -1 +1 @@\n-old\n+new\n+more",)], "d string")
     a, d, c = I.diff_stats("d")
     assert tuple(df.select(a, d, c).first()) == (2, 1, 4)
+
+
+def test_near_duplicate_clusters(spark):
+    from ravel.operators import extras as X
+    base = "The cache lookup in this function runs a query per item; consider batching the index reads instead."
+    rows = [(1, base), (2, base.replace("per item", "per itemx")), (3, base + " Thanks."),
+            (4, "Completely different text about naming things well and tests."),
+            (5, "Completely different text about naming things well and tests!"), (6, "short"), (7, "x" * 40)]
+    df = spark.createDataFrame(rows, "example_id long, review_comment string")
+    got = sorted(tuple(r) for r in X.near_duplicate_clusters(df).collect())
+    assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7)]
