@@ -86,7 +86,41 @@ def q_parse_review(spark, d):
         "n_comments", F.when(F.col("outcome") == "quarantine", None).otherwise(F.col("n_comments")))
 
 
-@register("validate_review", None)
+def _elem_codes(x: str) -> str:
+    t = lambda p: f"json_type({x}, '{p}')"
+    st = lambda p: f"json_extract_string({x}, '{p}')"
+    checks = [
+        (f"json_type({x}) = 'OBJECT'", "comment.type"),
+        (f"{t('$.filePath')} = 'VARCHAR'", "comment.filePath"),
+        (f"({t('$.line')} IS NULL OR {t('$.line')} = 'NULL' OR ({_int_sql(x, '$.line')} AND TRY_CAST({st('$.line')} AS DOUBLE) > 0))",
+         "comment.line"),
+        (f"({t('$.category')} = 'VARCHAR' AND {st('$.category')} IN ('security','architecture','performance','style','correctness'))",
+         "comment.category"),
+        (f"({t('$.severity')} = 'VARCHAR' AND {st('$.severity')} IN ('critical','warning','info','suggestion'))", "comment.severity"),
+        (f"({t('$.title')} = 'VARCHAR' AND length({st('$.title')}) <= 100)", "comment.title"),
+        (f"{t('$.suggestion')} = 'VARCHAR'", "comment.suggestion"),
+        (f"({t('$.codeExample')} IS NULL OR {t('$.codeExample')} = 'VARCHAR')", "comment.codeExample"),
+        (f"({t('$.language')} IS NULL OR {t('$.language')} = 'VARCHAR')", "comment.language"),
+        (f"({t('$.references')} IS NULL OR ({t('$.references')} = 'ARRAY' AND coalesce(list_bool_and(list_transform("
+         f"json_extract({x}, '$.references[*]'), lambda r: json_type(r) = 'VARCHAR')), true)))", "comment.references"),
+    ]
+    return "[" + ", ".join(f"CASE WHEN NOT coalesce({c}, false) THEN '{code}' END" for c, code in checks) + "]"
+
+
+_VIOL_SQL = f"""WITH {PARSE_CTE},
+v AS (SELECT example_id, j, jt, st, smt, arr, outcome FROM p2 JOIN parsed USING (example_id)),
+codes AS (SELECT example_id, outcome, CASE WHEN j IS NULL THEN NULL ELSE list_filter(list_concat(
+  [CASE WHEN jt <> 'OBJECT' THEN 'review.type' END,
+   CASE WHEN jt = 'OBJECT' AND NOT coalesce({_int_sql('j', '$.overallScore')}, false) THEN 'overallScore.type' END,
+   CASE WHEN jt = 'OBJECT' AND st IN {_NUMT} AND (TRY_CAST(json_extract_string(j, '$.overallScore') AS DOUBLE) < 0
+     OR TRY_CAST(json_extract_string(j, '$.overallScore') AS DOUBLE) > 100) THEN 'overallScore.range' END,
+   CASE WHEN jt = 'OBJECT' AND NOT coalesce(smt = 'VARCHAR', false) THEN 'summary.type' END,
+   CASE WHEN jt = 'OBJECT' AND arr IS NULL THEN 'comments.type' END],
+  flatten(list_transform(coalesce(arr, []), lambda x: {_elem_codes('x')}))), lambda c: c IS NOT NULL) END AS cs FROM v)
+SELECT example_id, outcome, array_to_string(list_sort(list_distinct(cs)), ',') AS violations FROM codes"""
+
+
+@register("validate_review", _VIOL_SQL)
 def q_validate(spark, d):
     return _parsed(spark, d).select("example_id", "outcome",
                                     F.array_join(F.array_sort("violations"), ",").alias("violations"))

@@ -59,7 +59,23 @@ def q_template_custom(spark, d):
         "pr_id", _ids(F.col("violations")).alias("violation_ids"))
 
 
-@register("template_comment", None)
+def _comment_sql(b: str = "body") -> str:
+    items = []
+    for sid, pat, ph, label, desc in DEFAULT_SECTIONS:
+        missing = sql_str(TP.MISSING_ISSUE.format(label=label, description=desc))
+        unfilled = sql_str(TP.UNFILLED_ISSUE.format(label=label))
+        items.append(f"CASE WHEN NOT regexp_matches({b}, {sql_str(_re2(pat))}) THEN {missing} "
+                     f"WHEN regexp_matches({b}, {sql_str(_re2(ph))}) THEN {unfilled} END")
+    listed = "list_filter([" + ", ".join(items) + "], lambda x: x IS NOT NULL)"
+    issues = (f"CASE WHEN {b} IS NULL OR length({sql_js_trim(b)}) < 20 THEN [{sql_str(TP.NO_DESCRIPTION[2])}] "
+              f"ELSE {listed} END")
+    head = "[" + ", ".join(sql_str(x) for x in TP.COMMENT_HEAD) + "]"
+    tail = "[" + ", ".join(sql_str(x) for x in TP.COMMENT_TAIL + [TP.FOOTER.format(url="https://dashboard.example")]) + "]"
+    return (f"CASE WHEN len({issues}) = 0 THEN NULL ELSE array_to_string(list_concat(list_concat({head}, "
+            f"list_transform({issues}, lambda v: '- ' || v)), {tail}), chr(10)) END")
+
+
+@register("template_comment", f"SELECT pr_id, {_comment_sql()} AS comment FROM pr_bodies")
 def q_template_comment(spark, d):
     v = TP.template_violations(V.pr_bodies(spark, d))
     return v.select("pr_id", TP.template_comment(F.col("violations"), "https://dashboard.example").alias("comment"))
