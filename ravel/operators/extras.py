@@ -115,6 +115,8 @@ def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col:
     kept when the two signatures agree on at least ``min_similarity`` of their
     positions. Components come from min-label propagation; every round cuts
     the lineage with ``checkpoint()`` in the shared checkpoint folder."""
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)   # checkpoint() below cuts lineage there
     k = bands * rows_per_band
     sig = minhash_signatures(df, text, id_col, k).checkpoint()
     keys = sig.select("id", "sig", F.posexplode(F.array(*[

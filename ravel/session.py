@@ -47,7 +47,10 @@ def build_session(master: str | None = None, app: str = "ravel",
     for k, v in (extra or {}).items():
         b = b.config(k, v)
     spark = b.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    try:
+        spark.sparkContext.setLogLevel("ERROR")
+    except Exception:  # Spark Connect
+        pass
     ensure_checkpoint_dir(spark)
     return spark
 
@@ -56,14 +59,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     A cluster sets this to a shared file system; we only pick a local scratch
-    folder when it is unset (local runs and tests)."""
-    sc = spark.sparkContext
-    d = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.checkpoint.dir", None)
+    folder when it is unset (local runs and tests). Works on classic and on
+    Spark Connect sessions (no SparkContext there)."""
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: configuration only
+        sc = None
+    d = (sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None) or \
+        spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = tempfile.mkdtemp(prefix="ravel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if sc.getCheckpointDir() is None:
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 

@@ -42,7 +42,8 @@ def rate_window_flags(requests: DataFrame, window_seconds: int = 60, limit: int
                       key: str = "client_key", time_col: str = "ts", id_col: str = "event_id",
                       max_rounds: int = 64) -> DataFrame:
     """T3 (batch). See the module docstring."""
-    spark = requests.sparkSession
+    from ..session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(requests.sparkSession)   # checkpoint() below cuts lineage there
     w_us = int(window_seconds) * 1_000_000
     r = requests.select(F.col(key).alias("k"), F.col(time_col).alias("t"), F.col(id_col).alias("id"))
     r = r.withColumn("tu", _epoch_us("t"))
