@@ -105,3 +105,32 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     comp = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = comp.select(F.col("component").alias("id"), "component").distinct()
     return comp.unionByName(roots)
+
+
+class WordHashes(dict):
+    """64-bit hashes of words, remembered for as long as there are not too
+    many different ones."""
+
+    LIMIT = 500_000
+
+    def __missing__(self, word: bytes) -> int:
+        from hashlib import blake2b
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(self) >= self.LIMIT:
+            self.clear()
+        self[word] = h
+        return h
+
+    def of(self, data: bytes | None, lower: bool):
+        """uint64 hashes of the white-space separated words of a UTF-8 text."""
+        import numpy as np
+        words = (data.translate(LOWER_BYTES) if lower else data).split() if data else []
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix64(x):
+    """Scramble a uint64 array (the finaliser of splitmix64)."""
+    import numpy as np
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
