@@ -107,25 +107,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return comp.unionByName(roots)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for as long as there are not too
-    many different ones."""
-
-    LIMIT = 500_000
-
-    def __missing__(self, word: bytes) -> int:
-        from hashlib import blake2b
-        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) >= self.LIMIT:
-            self.clear()
-        self[word] = h
-        return h
-
-    def of(self, data: bytes | None, lower: bool):
-        """uint64 hashes of the white-space separated words of a UTF-8 text."""
-        import numpy as np
-        words = (data.translate(LOWER_BYTES) if lower else data).split() if data else []
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts, lower: bool = False):
+    """64-bit hashes of the white-space separated words of an Arrow array of
+    texts (null: none), in order, and the offsets of each text's words. Words
+    are split and numbered by Arrow; only the distinct ones are hashed."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    from xxhash import xxh3_64_intdigest
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    flat, offsets = words.flatten(), np.asarray(words.offsets, np.int64)
+    offsets = offsets - offsets[0]
+    full = np.asarray(pc.greater(pc.binary_length(flat), 0))
+    offsets = np.concatenate([[0], np.cumsum(full, dtype=np.int64)])[offsets]
+    coded = flat.filter(pa.array(full)).dictionary_encode()
+    names = coded.dictionary.cast(pa.large_binary()).to_pylist()
+    hashes = np.fromiter(map(xxh3_64_intdigest, names), np.uint64, len(names))
+    if not len(names):
+        return np.empty(0, np.uint64), offsets
+    return hashes[np.asarray(coded.indices)], offsets
 
 
 def mix64(x):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, connected_components, fresh, mix64, saved
+from .common import connected_components, fresh, mix64, saved, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -91,11 +91,11 @@ def least_estimate(percent: int) -> float:
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from hashlib import blake2b
-    hashes = WordHashes()
     for batch in batches:
         keys, sizes, bands, counts, bitmaps = [], [], [], [], []
-        for data in batch.column("text").cast(pa.large_binary()).to_pylist():
-            s = shingle_set(hashes.of(data, True))
+        hashes, at = word_hashes(batch.column("text"), lower=True)
+        for i in range(batch.num_rows):
+            s = shingle_set(hashes[at[i]:at[i + 1]])
             sizes.append(len(s))
             if not len(s):
                 keys.append(None), bands.append(None), counts.append(None), bitmaps.append(None)
@@ -145,24 +145,16 @@ def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _confirmer(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        last: dict[int, np.ndarray] = {}
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            texts = [batch.column(c).cast(pa.large_binary()) for c in ("a_text", "b_text")]
+            a, b = (batch.column(c).to_pylist() for c in "ab")
+            (ha, ia), (hb, ib) = (word_hashes(batch.column(c), lower=True) for c in ("a_text", "b_text"))
             hit = []
             for i in range(batch.num_rows):
-                s = []
-                for key, col in zip((a[i], b[i]), texts):
-                    got = last.get(key)
-                    if got is None:
-                        if len(last) >= 64:
-                            last.clear()
-                        got = last[key] = shingle_set(hashes.of(col[i].as_py(), True))
-                    s.append(got)
-                same = len(s[0]) + len(s[1]) - len(np.unique(np.concatenate(s)))
-                hit.append(100 * same >= percent * (len(s[0]) + len(s[1]) - same))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(hit))
+                x, y = shingle_set(ha[ia[i]:ia[i + 1]]), shingle_set(hb[ib[i]:ib[i + 1]])
+                union = len(np.unique(np.concatenate([x, y])))
+                hit.append(100 * (len(x) + len(y) - union) >= percent * union)
+            pairs = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            yield pairs.filter(pa.array(hit, pa.bool_()))
     return confirm
 
 

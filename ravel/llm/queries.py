@@ -122,3 +122,21 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from .mixing import mixing_rates
     return mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_SUBSTRING_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+wins AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS s FROM d, unnest(range(1, len(w) - 33)) AS u(i) WHERE len(w) >= 35),
+rep AS (SELECT r, i FROM wins JOIN (SELECT s FROM wins GROUP BY s HAVING count(*) > 1) x USING (s)),
+gone AS (SELECT r, list(DISTINCT k) AS g FROM (SELECT r, unnest(range(i, i + 35)) AS k FROM rep) y GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN g IS NULL THEN array_to_string(w, ' ')
+    ELSE array_to_string(list_filter(w, lambda x, j: NOT list_contains(g, j)), ' ') END) AS kept_sha256
+FROM d LEFT JOIN gone USING (r)
+"""
+
+
+@register("op5_substring_dedup", _SUBSTRING_SQL)
+def _(spark, sf_dir):
+    from .substrings import substring_dedup
+    return substring_dedup(table(spark, sf_dir, "documents"))
