@@ -140,3 +140,66 @@ FROM d LEFT JOIN gone USING (r)
 def _(spark, sf_dir):
     from .substrings import substring_dedup
     return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+@register("op2_token_counts")
+def _(spark, sf_dir):
+    from .token_counts import read_vocabulary, token_counts
+    return token_counts(table(spark, sf_dir, "documents"), read_vocabulary(spark))
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+k AS (SELECT h, max(page_id) AS m FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(p.h) AS payload_bytes, sha1(p.h) AS payload_digest,
+  CASE WHEN m IS NOT NULL AND m IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m IS DISTINCT FROM page_id THEN m END AS refers_to
+FROM p LEFT JOIN k ON p.h = k.h
+"""
+
+
+@register("op8_warc", _WARC_SQL)
+def _(spark, sf_dir):
+    from .warc import archive_round_trip
+    return archive_round_trip(table(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+
+
+_LICENSE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT r, '  ' || array_to_string(w, '  ') || '  ' AS t FROM d),
+rules(rule, label, priority, sure, pat) AS (VALUES {rules}),
+hits AS (SELECT r, rule, regexp_extract_all(t, pat) AS h, string_split_regex(t, pat) AS g FROM t, rules
+  WHERE regexp_matches(t, '{gate}') AND regexp_matches(t, pat)),
+f AS (
+  SELECT r, rule, CAST((length(before) - length(replace(before, ' ', ''))) // 2 AS BIGINT) AS s, m FROM (
+    SELECT r, rule, h[i] AS m, array_to_string(list_transform(range(1, i + 1), lambda x: g[x] || CASE WHEN x < i THEN h[x] ELSE '' END), '') AS before
+    FROM hits, unnest(range(1, len(h) + 1)) AS u(i)) y),
+spans AS (SELECT r, f.rule, label, priority, sure, s, s + len(string_split(trim(m), '  ')) AS e FROM f JOIN rules ON f.rule = rules.rule),
+kept AS (SELECT a.* FROM spans a WHERE NOT EXISTS (SELECT 1 FROM spans b WHERE b.r = a.r AND b.s <= a.s AND b.e >= a.e AND b.priority >= a.priority
+  AND (b.s, -b.e, -b.priority, b.rule) < (a.s, -a.e, -a.priority, a.rule))),
+base AS (SELECT r, count(*) AS n, min(s) AS lo, max(s) AS hi, list(DISTINCT label) AS l FROM spans WHERE rule < {base} GROUP BY r),
+top AS (SELECT r, list(DISTINCT label) AS l, max(sure) AS score FROM kept GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, lo AS first_word, hi AS last_word,
+  coalesce(array_to_string(list_sort(base.l), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(top.l, [])))), ','), '') AS labels,
+  coalesce(CAST(score AS DOUBLE), 0) AS score
+FROM d LEFT JOIN base USING (r) LEFT JOIN top USING (r)
+"""
+
+
+def _license_sql() -> str:
+    from .licenses import BASE, GATE, RULES
+    # the same patterns over words parted by two spaces, so that matches need not share one
+    rules = ", ".join(f"({k}, '{r.label}', {r.priority}, {r.confidence}, ' {_parted(r.words)} ')" for k, r in enumerate(RULES))
+    return _LICENSE_SQL.format(rules=rules, base=len(BASE), gate="|".join(g.replace(" ", "  ") for g in GATE))
+
+
+def _parted(pattern: str) -> str:
+    return pattern.replace(" ?", "(?:  )?").replace(" ", "  ").replace("(?:    )?", "(?:  )?")
+
+
+@register("op3_license_scan", _license_sql())
+def _(spark, sf_dir):
+    from .licenses import license_scan
+    return license_scan(table(spark, sf_dir, "documents"))
