@@ -203,3 +203,9 @@ def _parted(pattern: str) -> str:
 def _(spark, sf_dir):
     from .licenses import license_scan
     return license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op1_url_filter")
+def _(spark, sf_dir):
+    from .url_filters import url_verdicts
+    return url_verdicts(table(spark, sf_dir, "pages"))
