@@ -50,6 +50,13 @@ def fresh(df: DataFrame, base: str) -> str:
     return name
 
 
+def sample_bound(rows: int, wanted: int) -> int:
+    """The 64-bit signed hash below which about ``wanted`` of ``rows`` rows
+    lie: a sample that needs no sort and is the same in every run."""
+    share = min(1.0, wanted / max(rows, 1))
+    return min(int(-(1 << 63) + share * (1 << 64)), (1 << 63) - 1)
+
+
 def alnum_words(data: bytes | None) -> list[bytes]:
     """Lower-cased (A-Z only) alphanumeric words of a UTF-8 text, in order."""
     return data.translate(ALNUM_BYTES).split() if data else []

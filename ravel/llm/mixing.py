@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import compute_once
-from .common import SPACE_CLASS, fresh, saved
+from .common import SPACE_CLASS, fresh, sample_bound, saved
 
 # Domains by their condition on a labelled row, and their default weights in
 # the mixture.
@@ -46,15 +46,15 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
                    domains=DOMAINS, max_labelled: int = MAX_LABELLED) -> DataFrame | None:
     """One row: priors (array by domain) and weights (array by domain of an
     array by bucket: log of the bucket's share in the domain over its share in
-    all). Fitted on the ``max_labelled`` labelled rows with the smallest hash
-    of the id; None where no labelled row has a text. A row that fits several
-    domains' conditions belongs to the first; conflicting rows of one id count
-    each."""
+    all). Fitted on about ``max_labelled`` labelled rows (whose id's hash lies
+    under a bound); None where no labelled row has a text. A row that fits
+    several domains' conditions belongs to the first; conflicting rows of one
+    id count each."""
     which = F.coalesce(*[F.when(F.expr(cond), F.lit(k)) for k, (_, cond, _) in enumerate(domains)])
     known = (labels.select(F.col("doc_id").alias("_lid"), which.alias("_domain")).where("_lid IS NOT NULL AND _domain IS NOT NULL")
-                   .join(docs.select(F.col(doc_id).alias("_lid")), "_lid", "left_semi"))
-    sample = known.orderBy(F.xxhash64("_lid"), "_lid", "_domain").limit(max_labelled)
-    # at most max_labelled rows of two numbers
+                   .join(docs.select(F.col(doc_id).alias("_lid")), "_lid", "left_semi").distinct())
+    sample = known.where(F.xxhash64("_lid") < sample_bound(known.count(), max_labelled))
+    # about max_labelled rows of two numbers
     rows = docs.select(F.col(doc_id).alias("_lid"), F.col(text).alias("_t")).join(F.broadcast(sample), "_lid")
     counts = saved(rows.select("_domain", F.explode(_words("_t")).alias("w"))
                        .groupBy("_domain", _bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n")),

@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import sample_bound
+
 # Fixed values of the formats: frame magics, and an empty skippable frame.
 DICTIONARY_MAGIC = 0x184D2A5D
 SKIPPABLE = range(0x184D2A50, 0x184D2A60)
@@ -37,11 +39,13 @@ RECORD = ("page_id bigint, record_type string, target_uri string, payload_bytes
 # --- writing
 
 def train_dictionary(pages: DataFrame, html: str = "html") -> bytes:
-    """A dictionary trained on at most SAMPLE_ROWS payloads (those with the
-    smallest hashes), of each at most SAMPLE_BYTES; empty where they are too
-    few or too alike to train one."""
-    rows = (pages.where(F.col(html).isNotNull()).select(F.xxhash64(html).alias("h"), F.col(html).alias("t"))
-                 .orderBy("h").limit(SAMPLE_ROWS).select(F.substring("t", 1, SAMPLE_BYTES).alias("t")).collect())
+    """A dictionary trained on about SAMPLE_ROWS different payloads (those
+    whose hash lies under a bound), of each at most SAMPLE_BYTES; empty where
+    they are too few or too alike to train one."""
+    rows = pages.where(F.col(html).isNotNull())
+    under = sample_bound(rows.count(), SAMPLE_ROWS)
+    rows = (rows.select(F.xxhash64(html).alias("h"), F.substring(html, 1, SAMPLE_BYTES).alias("t")).where(F.col("h") < under)
+                .groupBy("h").agg(F.min("t").alias("t")).limit(4 * SAMPLE_ROWS).orderBy("h").collect())
     samples = [r.t.encode() for r in rows if r.t]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes() if len(samples) >= 8 else b""
