@@ -4,7 +4,7 @@ A document's set is its distinct word shingles. Documents with equal sets
 form a class; everything after works on classes, so copies cost nothing.
 
 * Bands of MinHash values put classes into buckets.
-* A second sample (the smallest shingle hash of each of 1,024 ranges) is
+* A second sample (the smallest shingle hash of each of 2,048 ranges) is
   folded into a parity bitmap, the odd sketch: every sample flips one bit. The
   population count of two sketches' XOR estimates how many samples differ,
   most precisely at high similarity. A candidate pair is dropped only when the
@@ -15,8 +15,9 @@ Not all pairs of a bucket are formed. Round one compares each class with the
 smallest of its buckets and confirms the most similar; round two compares, in
 buckets that still hold several components, one member of each with one of the
 smallest; round three compares, in blocks of bounded size, all members of
-different components in the buckets that remain, and confirms what passes. So
-no link that could join two components is lost, however a bucket is made up."""
+different components in the buckets that remain, confirms what passes within
+the block and gives only links that join components. So no link that could
+join two components is lost, however a bucket is made up."""
 
 from __future__ import annotations
 
@@ -32,9 +33,9 @@ from .common import connected_components, fresh, mix64, saved, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-SAMPLES, SKETCH_WORDS = 1024, 32         # ranges sampled; 64-bit words of a sketch
+SAMPLES, SKETCH_WORDS = 2048, 32         # ranges sampled; 64-bit words of a sketch
 SIGMAS = 6
-BLOCK = 1024                             # members of a bucket compared at once
+BLOCK, BLOCK_SHINGLES = 1024, 4 << 20    # members of a bucket compared at once, and their shingles
 
 _seeds = mix64(np.arange(1, 4 * BANDS * ROWS + 64, dtype=np.uint64))
 _FLIP = (_seeds[:BANDS * ROWS] >> np.uint64(32)).astype(np.uint32)[:, None]
@@ -79,14 +80,23 @@ def odd_sketch(s: np.ndarray) -> tuple[int, np.ndarray]:
     return int(first.sum()), np.packbits(flips, bitorder="little").view(np.int64)
 
 
-def least_estimate(percent: int) -> float:
-    """The smallest estimate a pair at the limit can have, but for a chance of
-    SIGMAS standard errors: those of the sample and of the sketch's bits."""
-    t = percent / 100
-    diff = 2 * SAMPLES * (1 - t) / (1 + t)   # differing samples of two equally large sets, at most twice that
-    bits = 64 * SKETCH_WORDS
-    sketch = math.sqrt(bits / 4 * (math.exp(8 * diff / bits) - 1)) / (2 * SAMPLES)
-    return t - SIGMAS * math.hypot(math.sqrt(t * (1 - t) / SAMPLES), sketch)
+def least_equal(a_size, b_size, a_samples, b_samples, percent: int, m=np):
+    """The fewest equal samples a pair at the limit can be estimated to have,
+    but for a chance of SIGMAS standard errors. ``m`` computes (numpy, or the
+    functions of Spark's columns).
+
+    At the limit the union has a known size, and so many ranges hold a sample
+    of it; the share ``t`` of those is equal, give or take what sampling
+    leaves out; the sketch's error comes from samples that share a bit."""
+    t, bits = percent / 100, 64.0 * SKETCH_WORDS
+    union = (a_size + b_size) / (1 + t)
+    held = (1 - m.exp(union * math.log(1 - 1 / SAMPLES))) * SAMPLES
+    equal = held * t
+    differ = a_samples + b_samples - equal * 2
+    kept = m.exp(differ * (-4 / bits))
+    sketch = ((1 - kept) * (bits / 4) - differ * kept) / kept
+    left_out = (union - held) / union
+    return equal - m.sqrt(equal * (1 - t) * m.abs(left_out) + m.abs(sketch) / 4 + 1) * SIGMAS
 
 
 def _signer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,7 +142,8 @@ def _similar_enough(percent: int) -> Column:
     changed = -bits / 2 * F.ln(F.greatest(1 - 2 * _differ() / bits, F.lit(1e-6)))
     equal = (F.col("a_n_samples") + F.col("b_n_samples") - changed) / 2
     sizes = (F.least("a_n_shingles", "b_n_shingles") * 100 >= F.greatest("a_n_shingles", "b_n_shingles") * percent)
-    return sizes & (equal >= F.greatest("a_n_samples", "b_n_samples") * least_estimate(percent))
+    return sizes & (equal >= least_equal(*[F.col(c) for c in ("a_n_shingles", "b_n_shingles", "a_n_samples", "b_n_samples")],
+                                         percent, F))
 
 
 def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -166,47 +177,75 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(percent: int):
-    least = least_estimate(percent)
+    bits = 64.0 * SKETCH_WORDS
 
     def compare(group: pa.Table) -> pa.Table:
-        """All pairs of one block (i, j) of a bucket that lie in different
-        components, pass the sketch test and meet in no earlier bucket."""
-        g = group.to_pandas()
-        left, right = g[g.side != 1], g[g.side != 0]
-        out_a, out_b = [], []
-        if len(left) and len(right) and g.label.nunique() > 1:
-            sk, bd = np.stack(right.sketch.to_numpy()), np.stack(right.bands.to_numpy())
-            rn, rs, rl, rk = (right[c].to_numpy() for c in ("n_shingles", "n_samples", "label", "key"))
-            bits, own = 64.0 * SKETCH_WORDS, int(g.band.iloc[0])
-            same_block = bool((g.side == 2).any())
-            for r in left.itertuples():
-                differ = np.bitwise_count(sk ^ np.asarray(r.sketch)).sum(axis=1)
+        """Confirmed links of one block (i, j) of a bucket that join different
+        components. A pair that meets in several buckets is compared in the
+        first of them; members of the largest component are compared with
+        the others only."""
+        side, key, label, size, samples = (group.column(c).to_numpy() for c in ("side", "key", "label", "n_shingles", "n_samples"))
+        label = label.copy()
+        names, times = np.unique(label, return_counts=True)
+        out: list[tuple[int, int]] = []
+        if len(names) > 1:
+            sketch = np.stack(group.column("sketch").to_numpy())
+            bands = np.stack(group.column("bands").to_numpy())
+            own, texts = int(group.column("band")[0].as_py()), group.column("text")
+            few = label != names[np.argmax(times)]
+            left, right, sets = side != 1, side != 0, {}
+
+            def set_of(i: int) -> np.ndarray:
+                if i not in sets:
+                    sets[i] = shingle_set(word_hashes(pa.array([texts[i].as_py()], pa.large_string()), lower=True)[0])
+                return sets[i]
+
+            def against(x: int, others: np.ndarray) -> None:
+                y = np.flatnonzero(others & (label != label[x]) & (np.minimum(size, size[x]) * 100 >= np.maximum(size, size[x]) * percent))
+                if not len(y):
+                    return
+                differ = np.bitwise_count(sketch[y] ^ sketch[x]).sum(axis=1)
                 changed = -bits / 2 * np.log(np.maximum(1 - 2 * differ / bits, 1e-6))
-                ok = ((rn + 0.0).clip(max=r.n_shingles) * 100 >= np.maximum(rn, r.n_shingles) * percent) & (rl != r.label)
-                ok &= (rs + r.n_samples - changed) / 2 >= np.maximum(rs, r.n_samples) * least
-                if same_block:
-                    ok &= rk > r.key
-                for j in np.flatnonzero(ok):
-                    if int(np.argmax(bd[j] == np.asarray(r.bands))) == own:
-                        out_a.append(max(r.key, rk[j]))
-                        out_b.append(min(r.key, rk[j]))
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
+                equal = (samples[y] + samples[x] - changed) / 2
+                pick = equal >= least_equal(size[y], size[x], samples[y], samples[x], percent)
+                y, equal = y[pick], equal[pick]
+                pick = np.argmax(bands[y] == bands[x], axis=1) == own if len(y) else np.empty(0, bool)
+                y, equal = y[pick], equal[pick]
+                for j in y[np.argsort(-equal)]:
+                    if label[j] == label[x]:
+                        continue
+                    union = len(np.unique(np.concatenate([set_of(x), set_of(j)])))
+                    if 100 * (len(set_of(x)) + len(set_of(j)) - union) >= percent * union:
+                        out.append((max(key[x], key[j]), min(key[x], key[j])))
+                        label[label == label[j]] = label[x]
+
+            if (side == 2).any():
+                for x in np.flatnonzero(few):
+                    against(x, ~few | (key > key[x]))
+            else:
+                for x in np.flatnonzero(few & left):
+                    against(x, right)
+                for x in np.flatnonzero(few & right):
+                    against(x, left & ~few)
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
     return compare
 
 
-def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Round three: (a, b) of different components in the same bucket."""
+def _across(buckets: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Round three: links (a, b) between different components in one bucket."""
     mine = _labelled(buckets, labels)
-    rows = mine.join(_mixed(mine).select("bucket", "n"), "bucket").join(
+    rows = mine.join(_mixed(mine).select("bucket"), "bucket", "left_semi").join(
         classes.select("key", "n_shingles", "n_samples", "sketch", "bands"), "key")
-    parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    rows = rows.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    load = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("load"))
+    parts = load.select("bucket", F.ceil(F.greatest(F.col("n") / BLOCK, F.col("load") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    rows = rows.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     # block (i, j) with i <= j holds part i as its left and part j as its right side; (i, i) holds it once
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(texts, "key")
     rows = rows.select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
                        F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0)
-                       .otherwise(1).alias("side"), "band", "key", "label", "n_shingles", "n_samples", "sketch", "bands")
-    return rows.groupBy("bucket", "i", "j").applyInArrow(_blocks(percent), "a bigint, b bigint").distinct()
+                       .otherwise(1).alias("side"), "band", "key", "label", "n_shingles", "n_samples", "sketch", "bands", "text")
+    links = rows.groupBy("bucket", "i", "j").applyInArrow(_blocks(percent), "a bigint, b bigint")
+    return saved(links, "links")
 
 
 def _labelled(buckets: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -247,12 +286,10 @@ def linked_classes(classes: DataFrame, texts_of, percent: int) -> DataFrame:
              .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
              .join(tried, ["a", "b"], "left_anti"))
     more = saved(_sketched(pairs, busy, percent).select("a", "b"), "tried")
-    tried = tried.unionByName(more)
     links = links.unionByName(_confirmed(more, texts, percent))
     labels = connected_components(links)
 
-    rest = _across(buckets, labels, busy, percent).join(tried, ["a", "b"], "left_anti")
-    return connected_components(links.unionByName(_confirmed(saved(rest, "tried"), texts, percent)))
+    return connected_components(links.unionByName(_across(buckets, labels, busy, texts, percent)))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
