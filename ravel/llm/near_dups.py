@@ -189,7 +189,7 @@ def _blocks(percent: int):
         names, times = np.unique(label, return_counts=True)
         out: list[tuple[int, int]] = []
         if len(names) > 1:
-            sketch = np.stack(group.column("sketch").to_numpy())
+            sketch = np.stack(group.column("sketch").to_numpy()).view(np.uint64)   # bit counts of signed numbers drop the sign
             bands = np.stack(group.column("bands").to_numpy())
             own, texts = int(group.column("band")[0].as_py()), group.column("text")
             few = label != names[np.argmax(times)]
