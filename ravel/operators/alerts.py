@@ -18,7 +18,7 @@ SCORE_DROP_THRESHOLD = 70
 TOP_CRITICAL = 3
 SUGGESTION_CUT = 120
 ELLIPSIS = "…"
-STATUS_NAME = "ReviewAI"
+STATUS_NAME = "Code Review Bot"
 STATUS_TEXT = "Score: {{score}}/100 · {{n}} issues"
 ISSUE_LINE = "• *{{title}}* in `{{path}}`{{line}}\n  {{text}}"
 # ------------------------------------------------------------ end fixed values

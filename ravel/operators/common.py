@@ -8,20 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-# Rows of a small driver-built table that may be broadcast (proven bound).
-BROADCAST_ROWS_MAX = 1_000_000
-
-
 def as_of_lit(df: DataFrame, col: str, as_of: str) -> Column:
     """``as_of`` typed like ``df[col]`` (timestamp or timestamp_ntz)."""
     return F.lit(as_of).cast(df.schema[col].dataType)
 
 
 def trailing_window(df: DataFrame, col: str, as_of: str, days: int) -> DataFrame:
-    """``col > as_of - days`` (strict), the reference's ``NOW() - n days``
-    with a fixed ``as_of`` (D14). Pushed to the Parquet scan."""
-    lo = as_of_lit(df, col, as_of) - F.make_dt_interval(days=F.lit(int(days)))
-    return df.where(F.col(col) > lo)
+    """``as_of - days < col <= as_of``, the reference's ``NOW() - n days``
+    with a fixed ``as_of`` (D14), later than which nothing has happened yet.
+    Pushed to the Parquet scan."""
+    hi = as_of_lit(df, col, as_of)
+    return df.where(F.col(col) > hi - F.make_dt_interval(days=F.lit(int(days)))).where(F.col(col) <= hi)
 
 
 def optional_eq(df: DataFrame, col: str, value) -> DataFrame:

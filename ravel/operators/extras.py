@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,12 +32,6 @@ def min_reactions_filter(df: DataFrame, n: int = 1) -> DataFrame:
     return df.where(F.col("reactions") >= F.lit(int(n)))
 
 
-def _between(df: DataFrame, col: str, as_of: str, lo_days: int, hi_days: int) -> DataFrame:
-    a = as_of_lit(df, col, as_of)
-    return df.where((F.col(col) > a - F.make_dt_interval(days=F.lit(hi_days)))
-                    & (F.col(col) <= a - F.make_dt_interval(days=F.lit(lo_days))))
-
-
 def period_over_period(reviews: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Reviews and mean score in the last ``days`` vs the ``days`` before,
     with percent change (null when the earlier period is empty)."""
@@ -104,34 +100,42 @@ def minhash_signatures(df: DataFrame, text: str, id_col: str, num_hashes: int =
 
 
 def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col: str = "example_id",
-                            bands: int = 16, rows_per_band: int = 4, min_similarity: float = 0.8,
-                            max_rounds: int = 32) -> DataFrame:
+                            bands: int = 16, rows_per_band: int = 4, min_similarity: float = 0.8) -> DataFrame:
     """E1 (near-duplicate part): cluster texts whose MinHash similarity is at
     least ``min_similarity``; returns (id, cluster_id) with cluster_id = the
     smallest id of the connected component.
 
-    LSH banding puts candidates in buckets; each member is linked only to its
-    bucket's smallest id (a star, never all pairs in a bucket), and an edge is
-    kept when the two signatures agree on at least ``min_similarity`` of their
-    positions. Components come from min-label propagation; every round cuts
-    the lineage with ``checkpoint()`` in the shared checkpoint folder."""
+    Texts with equal signatures are collapsed first. LSH banding puts the
+    others in buckets; each member is linked to its bucket's smallest id (a
+    star, never all pairs in a bucket) if the two signatures agree on at least
+    ``min_similarity`` of their positions. Members that the smallest id rejects
+    are linked to the smallest of those that remain, until none is left.
+    Components come from min-label propagation until no label changes; every
+    round cuts the lineage with ``checkpoint()`` in the shared folder."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)   # checkpoint() below cuts lineage there
     k = bands * rows_per_band
-    sig = minhash_signatures(df, text, id_col, k).checkpoint()
-    keys = sig.select("id", "sig", F.posexplode(F.array(*[
+    least = math.ceil(min_similarity * k)
+    full = minhash_signatures(df, text, id_col, k).checkpoint()
+    sig = full.groupBy("sig").agg(F.min("id").alias("id")).checkpoint()
+    keys = sig.select("id", F.posexplode(F.array(*[
         F.xxhash64(F.lit(b), F.slice("sig", b * rows_per_band + 1, rows_per_band)) for b in range(bands)]))
         .alias("band", "bucket"))
-    heads = keys.groupBy("band", "bucket").agg(F.min("id").alias("head"))      # combined map-side
-    edges = (keys.join(heads, ["band", "bucket"]).where(F.col("id") != F.col("head"))
-                 .select("id", "head", "sig").distinct())
-    hs = sig.select(F.col("id").alias("head"), F.col("sig").alias("hsig"))
+    one, two = sig.select("id", "sig"), sig.select(F.col("id").alias("head"), F.col("sig").alias("hsig"))
     agree = F.aggregate(F.zip_with("sig", "hsig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    edges = (edges.join(hs, "head").where(agree >= F.lit(int(min_similarity * k)))
-                  .select(F.col("id").alias("a"), F.col("head").alias("b")))
+    edges = df.sparkSession.createDataFrame([], "a bigint, b bigint")
+    while True:
+        heads = keys.groupBy("band", "bucket").agg(F.min("id").alias("head"))      # combined map-side
+        tried = keys.join(heads, ["band", "bucket"]).where(F.col("id") != F.col("head"))
+        pairs = tried.select("id", "head").distinct()
+        linked = (pairs.join(one, "id").join(two, "head").where(agree >= F.lit(least)).select("id", "head")).checkpoint()
+        edges = edges.unionByName(linked.select(F.col("id").alias("a"), F.col("head").alias("b")))
+        keys = tried.join(linked, ["id", "head"], "left_anti").select("id", "band", "bucket").checkpoint()
+        if keys.isEmpty():
+            break
     und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
     labels = sig.select("id", F.col("id").alias("label"))
-    for _ in range(max_rounds):
+    while True:
         nb = (und.join(labels.withColumnRenamed("id", "b"), "b")
                  .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("nl")))
         new = (labels.join(nb, "id", "left")
@@ -141,4 +145,6 @@ def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col:
         labels = new.drop("_chg")
         if not changed:
             break
-    return labels.select(F.col("id").alias(id_col), F.col("label").alias("cluster_id"))
+    member = full.join(sig.select("sig", F.col("id").alias("rep")), "sig").select("id", "rep")
+    return member.join(labels.select(F.col("id").alias("rep"), "label"), "rep").select(
+        F.col("id").alias(id_col), F.col("label").alias("cluster_id"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CATEGORIES, SEVERITIES
-from .common import BROADCAST_ROWS_MAX, optional_eq, trailing_window
+from .common import optional_eq, trailing_window
 
 # dashboard column names of the category counts (fixed values)
 CATEGORY_COLUMNS = [("security", "security_issues"), ("architecture", "arch_issues"),
@@ -69,10 +69,9 @@ def distinct_categories(comments: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("category")).alias("categories"))
 
 
-def _rollup_for(r: DataFrame, comments: DataFrame, bounded: bool) -> DataFrame:
+def _rollup_for(r: DataFrame, comments: DataFrame) -> DataFrame:
     c = comments.select("review_id", "category", "severity", "id")
     ids = r.select(F.col("id").alias("review_id"))
-    ids = F.broadcast(ids) if bounded else ids
     c = c.join(ids, "review_id", "left_semi")
     per = c.groupBy("review_id").agg(
         F.count("id").alias("issue_count"),
@@ -87,13 +86,13 @@ def pr_rollup(reviews: DataFrame, comments: DataFrame, limit: int = 20, offset:
               repo: str | None = None) -> DataFrame:
     """A2 + O1: newest reviews first (tie-break id), one page, with issue and
     critical counts and distinct categories. The page is cut *before* the
-    comments are touched; its size (limit+offset rows) is a proven broadcast
-    bound for the semi-join that prunes comments."""
+    comments are touched, and a semi-join prunes them; how it is joined is left
+    to the sizes met at run time."""
     r = optional_eq(reviews, "repo_full_name", repo).select(
         "id", "repo_full_name", "pr_number", "pr_title", "author_login", "overall_score",
         "created_at")
     page = recent_prs_page(r, limit, offset)
-    out = _rollup_for(page, comments, bounded=(limit + offset) <= BROADCAST_ROWS_MAX)
+    out = _rollup_for(page, comments)
     return with_score_band(out).orderBy(F.col("created_at").desc(), F.col("id"))
 
 

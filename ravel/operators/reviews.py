@@ -18,16 +18,16 @@ from .common import compute_once
 
 # ---------------------------------------------------------------- fixed values
 UNPARSABLE_SCORE = 70
-UNPARSABLE_SUMMARY = "ReviewAI encountered an issue parsing the AI response. Manual review recommended."
+UNPARSABLE_SUMMARY = "Code Review Bot encountered an issue parsing the AI response. Manual review recommended."
 PARTIAL_SCORE = 70
 PARTIAL_SUMMARY = "Review completed with validation warnings."
 TITLE_MAX = 100
 SEVERITY_ICONS = {"critical": "🔴", "warning": "🟡", "info": "🔵", "suggestion": "💡"}
 DEFAULT_ICON = "💡"
-COMMENT_FOOTER = "\n\n<sub>ReviewAI</sub>"
+COMMENT_FOOTER = "\n\n<sub>Code Review Bot</sub>"
 EVENT_LABELS = {"APPROVE": "✅ Approved", "REQUEST_CHANGES": "🔴 Changes requested"}
 DEFAULT_EVENT_LABEL = "💬 Reviewed"
-SUMMARY_TEMPLATE = ("## ReviewAI — {{label}}\n\n**Quality Score: {{score}}/100**\n\n{{summary}}\n\n"
+SUMMARY_TEMPLATE = ("## Code Review Bot — {{label}}\n\n**Quality Score: {{score}}/100**\n\n{{summary}}\n\n"
                     "| Severity | Count |\n|---|---|\n| 🔴 Critical | {{critical}} |\n| Other | {{other}} |")
 APPROVE_MIN_SCORE = 85
 APPROVE_MAX_COMMENTS = 2

@@ -20,9 +20,9 @@ MIN_BODY = 20
 NO_DESCRIPTION = ("no_description", "PR description", "PR has no description. Please fill in the PR template.", "warning")
 MISSING_ISSUE = "Missing section: **{label}** — {description}"
 UNFILLED_ISSUE = "Section **{label}** appears to still have placeholder text. Please fill it in."
-COMMENT_HEAD = ["## ⚠️ PR Template Checklist", "", "ReviewAI noticed the following sections may need attention:", ""]
+COMMENT_HEAD = ["## ⚠️ PR Template Checklist", "", "Code Review Bot noticed the following sections may need attention:", ""]
 COMMENT_TAIL = ["", "*These are process reminders, not code issues. The AI code review has proceeded regardless.*", ""]
-FOOTER = "<sub>ReviewAI · [Dashboard]({url})</sub>"
+FOOTER = "<sub>Code Review Bot · [Dashboard]({url})</sub>"
 # ------------------------------------------------------------ end fixed values
 
 VIOLATION_TYPE = "struct<id:string,label:string,issue:string,severity:string>"
@@ -31,7 +31,7 @@ _REGEX_META = r"([.*+?^${}()|\[\]\\])"
 
 def _java(p: str) -> str:
     """JS pattern with /i → Java: case-insensitive, JS white space for \\s."""
-    return "(?i)" + p.replace(r"\s", JS_SPACE)
+    return "(?iu)" + p.replace(r"\s", JS_SPACE)
 
 
 def _violation(id_: Column, label: Column, issue: Column, severity: str) -> Column:
@@ -72,7 +72,7 @@ def template_requirements(templates: DataFrame) -> DataFrame:
         "repo", "line_no",
         F.regexp_replace(F.lower("header"), JS_SPACE + "+", "_").alias("id"),
         F.concat(F.lit("## "), F.col("header")).alias("label"),
-        F.concat(F.lit("(?i)##" + JS_SPACE + "*"), esc).alias("pattern"),
+        F.concat(F.lit("(?iu)##" + JS_SPACE + "*"), esc).alias("pattern"),
         F.col("header").alias("description"))
 
 

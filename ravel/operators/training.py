@@ -16,7 +16,7 @@ from ..functions.text import js_trim
 from .common import global_position
 
 # ---------------------------------------------------------------- fixed values
-SYSTEM_PROMPT = ("You are ReviewAI, an expert senior software engineer performing code review. "
+SYSTEM_PROMPT = ("You are Code Review Bot, an expert senior software engineer performing code review. "
                  "You analyse pull request diffs and return a single JSON object with specific, "
                  "actionable review comments. You focus on security vulnerabilities, architectural "
                  "anti-patterns, performance bottlenecks, and correctness issues. You never comment on "

@@ -15,7 +15,7 @@ FROM orders JOIN customer ON o_custkey = c_custkey""",
  'issue ' || CAST(l_partkey % 40 AS STRING) AS title, 'Consider change ' || CAST(l_suppkey AS STRING) || ' here.' AS suggestion
 FROM lineitem""",
     "raw_examples": """SELECT d.doc_id AS example_id, d.source AS repo, CAST(d.doc_id % 50 AS INT) AS pr_number, 'src/' || d.lang || '/f' || CAST(d.doc_id % 30 AS STRING) || '.py' AS file_path,
- substr(d.text, 1, 20 + CAST(d.doc_id * 37 % 800 AS INT)) || CASE d.doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN ' You should use `foo` here.' WHEN 2 THEN ' Done. nit: typo'
+ d.text || CASE d.doc_id % 10 WHEN 0 THEN '' WHEN 1 THEN ' You should use `foo` here.' WHEN 2 THEN ' Done. nit: typo'
   WHEN 3 THEN ' Consider caching this query; the index is missing.' WHEN 4 THEN ' SQL injection risk: call sanitize() with "user input".' WHEN 5 THEN ' lgtm'
   WHEN 6 THEN ' This function might deadlock, extract it.' WHEN 7 THEN ' The token is unsafe; replace `md5` instead of "sha one".' WHEN 8 THEN ' null error on an edge case' ELSE ' coupling with the abstraction layer' END AS review_comment,
  CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE substr(d.text, 1, 2000) END AS patch,
@@ -28,7 +28,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "pr_comments": """SELECT 'org/r' || CAST(conv_id % 4 AS STRING) AS repo, conv_id AS pr_number, conv_id * 100 + turn AS comment_id,
  CASE WHEN turn = 0 THEN NULL ELSE conv_id * 100 END AS in_reply_to_id, role AS user_login, CASE WHEN role = 'system' THEN 'Bot' ELSE 'User' END AS user_type,
  'src/f' || CAST(conv_id % 7 AS STRING) || '.js' AS path,
- CASE WHEN (conv_id + turn) % 9 = 0 THEN 'nit: ' ELSE '' END || substr(text, 1, 25 + CAST(turn * 40 AS INT)) || CASE WHEN (conv_id + turn) % 4 = 0 THEN ' Good catch, fixed' ELSE '' END AS body,
+ CASE WHEN (conv_id + turn) % 9 = 0 THEN 'nit: ' ELSE '' END || text || CASE WHEN (conv_id + turn) % 4 = 0 THEN ' Good catch, fixed' ELSE '' END AS body,
  CAST(turn % 4 AS INT) AS reactions FROM conversations""",
     "pr_files": """SELECT DISTINCT 'org/r' || CAST(conv_id % 4 AS STRING) AS repo, conv_id AS pr_number, 'src/f' || CAST(conv_id % 7 AS STRING) || '.js' AS path,
  CASE WHEN conv_id % 9 = 0 THEN NULL ELSE '@@ -1 +1 @@' || chr(10) || '-old ' || CAST(conv_id AS STRING) || chr(10) || '+new' || chr(10) || '+more' END AS patch FROM conversations""",
@@ -55,7 +55,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "pr_bodies": """SELECT doc_id AS pr_id, source AS repo, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'fix stuff'
  WHEN 2 THEN '## What' || chr(10) || 'text' || chr(10) || '## Why' || chr(10) || 'because' || chr(10) || '## Testing' || chr(10) || 'unit'
  WHEN 3 THEN '## what' || chr(10) || '[Describe what this PR does]' || chr(10) || '## Testing' || chr(10) || 'manual'
- WHEN 4 THEN '## Summary' || chr(10) || 'Added a feature' || chr(10) ELSE substr(text, 1, 300) END AS body FROM documents""",
+ WHEN 4 THEN '## Summary' || chr(10) || 'Added a feature' || chr(10) ELSE text END AS body FROM documents""",
     "request_log": """SELECT event_id, ts, 'ip_' || CAST(user_id AS STRING) AS client_key, CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status FROM events""",
     "review_jobs": """SELECT c_custkey AS pr_id, 'team' || CAST(c_nationkey % 5 AS STRING) || '/repo' || CAST(c_custkey % 20 AS STRING) AS repo_full_name,
  'PR ' || c_name AS pr_title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Segment ' || c_mktsegment END AS pr_body, o.created_at

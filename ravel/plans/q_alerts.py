@@ -81,7 +81,7 @@ def q_inline_predicate(spark, d):
 
 
 @register("commit_status_records", f"""WITH {_COUNTS}
-SELECT id AS review_id, head_sha, CASE WHEN event = 'REQUEST_CHANGES' THEN 'failed' ELSE 'success' END AS state, 'ReviewAI' AS name,
+SELECT id AS review_id, head_sha, CASE WHEN event = 'REQUEST_CHANGES' THEN 'failed' ELSE 'success' END AS state, 'Code Review Bot' AS name,
  'Score: ' || CAST(overall_score AS VARCHAR) || '/100 · ' || CAST(n_comments AS VARCHAR) || ' issues' AS description FROM dec""")
 def q_commit_status(spark, d):
     return A.commit_status_records(_decided(spark, d))
@@ -89,7 +89,7 @@ def q_commit_status(spark, d):
 
 @register("inline_comment_records", f"""SELECT rc.review_id, rc.id AS comment_id, r.head_sha, rc.file_path AS new_path, rc.line_number AS new_line,
  '**' || rc.file_path || ':' || CAST(rc.line_number AS VARCHAR) || '**' || chr(10) || chr(10) || {QR._ICON.replace('severity', 'rc.severity')} || ' **[' || rc.category || '] '
- || rc.title || '**' || chr(10) || chr(10) || rc.suggestion || chr(10) || chr(10) || '<sub>ReviewAI</sub>' AS fallback_body
+ || rc.title || '**' || chr(10) || chr(10) || rc.suggestion || chr(10) || chr(10) || '<sub>Code Review Bot</sub>' AS fallback_body
 FROM review_comments rc JOIN reviews r ON r.id = rc.review_id WHERE rc.line_number IS NOT NULL AND rc.line_number <> 0 AND rc.file_path <> ''""")
 def q_inline_records(spark, d):
     k = A.inline_comment_records(V.review_comments(spark, d), V.reviews(spark, d))
@@ -98,7 +98,7 @@ def q_inline_records(spark, d):
 
 
 @register("review_summary_records", QR.ORACLE_FORMAT_SUMMARY.replace(
-    "SELECT example_id, event, '## ReviewAI", "SELECT example_id AS review_id, 'summary' AS kind, '## ReviewAI").replace(
+    "SELECT example_id, event, '## Code Review Bot", "SELECT example_id AS review_id, 'summary' AS kind, '## Code Review Bot").replace(
     "AS summary_md FROM e", "AS body FROM e"))
 def q_summary_records(spark, d):
     s = QR.q_format_summary(spark, d).withColumnRenamed("example_id", "id")

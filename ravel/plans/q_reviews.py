@@ -60,7 +60,7 @@ parsed AS (SELECT example_id, model, expected_category, error, clean,
  CASE WHEN j IS NULL THEN 70 WHEN valid THEN CAST(TRY_CAST(json_extract_string(j, '$.overallScore') AS DOUBLE) AS BIGINT)
   WHEN quarantine THEN NULL WHEN jt = 'OBJECT' AND st IS NOT NULL AND st <> 'NULL' THEN TRY_CAST(json_extract_string(j, '$.overallScore') AS BIGINT)
   ELSE 70 END AS overall_score,
- CASE WHEN j IS NULL THEN 'ReviewAI encountered an issue parsing the AI response. Manual review recommended.'
+ CASE WHEN j IS NULL THEN 'Code Review Bot encountered an issue parsing the AI response. Manual review recommended.'
   WHEN valid THEN json_extract_string(j, '$.summary') WHEN quarantine THEN NULL
   WHEN jt = 'OBJECT' AND smt IS NOT NULL AND smt <> 'NULL' THEN json_extract_string(j, '$.summary')
   ELSE 'Review completed with validation warnings.' END AS summary,
@@ -161,7 +161,7 @@ _ICON = ("CASE severity WHEN 'critical' THEN '🔴' WHEN 'warning' THEN '🟡' W
 
 
 @register("format_comment", f"""SELECT id, {_ICON} || ' **[' || category || '] ' || title || '**' || chr(10) || chr(10) || suggestion
- || chr(10) || chr(10) || '<sub>ReviewAI</sub>' AS body FROM review_comments""")
+ || chr(10) || chr(10) || '<sub>Code Review Bot</sub>' AS body FROM review_comments""")
 def q_format_comment(spark, d):
     c = V.review_comments(spark, d).withColumn("code_example", F.lit(None).cast("string")) \
                                    .withColumn("language", F.lit(None).cast("string"))
@@ -172,7 +172,7 @@ ORACLE_FORMAT_SUMMARY = f"""WITH {PARSE_CTE}, s AS (SELECT *, CASE WHEN outcome
   CAST(len(list_filter(items, lambda x: json_extract_string(x, '$.severity') = 'critical')) AS BIGINT) END AS crit,
   CAST(len(items) AS BIGINT) AS n FROM parsed WHERE outcome <> 'quarantine'),
 e AS (SELECT *, CASE WHEN crit > 0 THEN 'REQUEST_CHANGES' WHEN overall_score >= 85 AND n <= 2 THEN 'APPROVE' ELSE 'COMMENT' END AS event FROM s)
-SELECT example_id, event, '## ReviewAI — ' || CASE event WHEN 'APPROVE' THEN '✅ Approved' WHEN 'REQUEST_CHANGES' THEN '🔴 Changes requested'
+SELECT example_id, event, '## Code Review Bot — ' || CASE event WHEN 'APPROVE' THEN '✅ Approved' WHEN 'REQUEST_CHANGES' THEN '🔴 Changes requested'
  ELSE '💬 Reviewed' END || chr(10) || chr(10) || '**Quality Score: ' || coalesce(CAST(overall_score AS VARCHAR), 'null') || '/100**' || chr(10) || chr(10)
  || summary || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|---|---|' || chr(10) || '| 🔴 Critical | ' || CAST(crit AS VARCHAR)
  || ' |' || chr(10) || '| Other | ' || CAST(n - crit AS VARCHAR) || ' |' AS summary_md FROM e"""

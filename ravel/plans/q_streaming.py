@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
@@ -36,41 +34,28 @@ def q_rate_batch(spark, d):
     return out.select("event_id", "client_key", "window_count", "flagged", "retry_after")
 
 
-def _write_request_slices(spark, d, slices: int) -> str:
-    """request log as JSON files, one write per time slice in time order
-    (distinct modification times, so the file stream reads them in order)."""
+def _rate_stream(spark, d, slices: int):
+    """The request log as JSON files, in ``slices`` time slices of several
+    files each; the stream runs after each slice on one checkpoint, so every
+    slice is a micro-batch of its own, in time order."""
     log = V.request_log(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    folder = scratch_path(spark, "requests")
-    if slices <= 1:
-        log.write.option("timestampFormat", TS_FMT).json(folder)
-        return folder
+    folder, ckpt, out = (scratch_path(spark, x) for x in ("requests", "ckpt", "rates"))
     probs = [i / slices for i in range(1, slices)]
-    cuts = log.agg(F.percentile_approx(F.unix_micros("ts"), probs).alias("q")).first()["q"]
-    bounds = [None] + list(cuts) + [None]
-    for i in range(slices):
-        c = F.lit(True)
-        if bounds[i] is not None:
-            c = c & (F.unix_micros("ts") > F.lit(bounds[i]))
-        if bounds[i + 1] is not None:
-            c = c & (F.unix_micros("ts") <= F.lit(bounds[i + 1]))
-        log.where(c).coalesce(1).write.mode("append").option("timestampFormat", TS_FMT).json(folder)
-        time.sleep(1.1)
-    return folder
-
-
-def _rate_stream(spark, d, slices: int):
-    folder = _write_request_slices(spark, d, slices)
+    cuts = log.agg(F.percentile_approx(F.unix_micros("ts"), probs).alias("q")).first()["q"] if probs else []
+    number = F.lit(0)
+    for c in cuts:
+        number = number + (F.unix_micros("ts") > F.lit(c)).cast("int")
     schema = "event_id long, ts timestamp, client_key string, status int"
-    src = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-           .option("timestampFormat", TS_FMT).json(folder))
-    name = f"rate_{int(time.time() * 1000)}"
-    ST.run_available(RT.rate_window_stream(src, WINDOW_S, LIMIT), scratch_path(spark, "ckpt"), "append", name)
-    return spark.table(name)
+    for i in range(slices):
+        log.where(number == i).repartition(4).write.mode("append").option("timestampFormat", TS_FMT).json(folder)
+        src = spark.readStream.schema(schema).option("timestampFormat", TS_FMT).json(folder)
+        ST.run_available(RT.rate_window_stream(src, WINDOW_S, LIMIT), ckpt, out)
+    return spark.read.parquet(out)
 
 
 @register("rate_window_stream", RATE_SQL)
 def q_rate_stream(spark, d):
-    """T3 as a stream, all input in one micro-batch."""
+    """T3 as a stream, all input (several files) in one micro-batch."""
     return _rate_stream(spark, d, 1)
 
 
@@ -92,24 +77,30 @@ def _event_files(spark, d) -> str:
 @register("stream_pr_events", ORACLE["normalize_by_provider"])
 def q_stream_events(spark, d):
     src = ST.read_event_stream(spark, _event_files(spark, d), max_files=2)
-    name = f"jobs_{int(time.time() * 1000)}"
-    ST.run_available(ST.stream_pr_events(src), scratch_path(spark, "ckpt"), "append", name)
-    return spark.table(name).select(*q_ingest._JOB_COLS)
+    jobs, quarantine = scratch_path(spark, "jobs"), scratch_path(spark, "quarantine")
+    ST.run_available(src, scratch_path(spark, "ckpt"), foreach_batch=ST.routed_batch_writer(jobs, quarantine))
+    return spark.read.parquet(jobs).select(*q_ingest._JOB_COLS)
 
 
-@register("stream_upsert_reviews", ORACLE["upsert_reviews"])
-def q_stream_upsert(spark, d):
-    """The reviews arrive twice (a redelivery of everything); the
-    foreachBatch sink must leave one row per key."""
-    folder = scratch_path(spark, "reviews-in")
+def _delivered(spark, d) -> str:
+    """Two different, overlapping deliveries of the reviews, each a stream
+    with a checkpoint of its own, into one log."""
     r = V.reviews(spark, d)
-    r.write.parquet(f"{folder}/a")
-    r.write.parquet(f"{folder}/b")
+    lo, hi = r.agg(F.percentile_approx("id", [0.4, 0.6]).alias("q")).first()["q"]
     log = scratch_path(spark, "reviews-log")
-    for sub in ("a", "b"):
-        src = spark.readStream.schema(r.schema).parquet(f"{folder}/{sub}")
-        ST.run_available(src, scratch_path(spark, "ckpt"), "append", foreach_batch=ST.upsert_batch_writer(log))
-    return ST.merged_reviews(spark, log).select(*q_reviews_cols())
+    for name, part in (("a", r.where(F.col("id") <= hi)), ("b", r.where(F.col("id") > lo))):
+        folder = scratch_path(spark, f"reviews-{name}")
+        part.repartition(4).write.parquet(folder)
+        src = spark.readStream.schema(r.schema).parquet(folder)
+        ST.run_available(src, scratch_path(spark, "ckpt"), foreach_batch=ST.upsert_batch_writer(log, name))
+    return log
+
+
+@register("stream_upsert_reviews", ORACLE["upsert_reviews"])
+def q_stream_upsert(spark, d):
+    """The reviews arrive in two overlapping deliveries; no row may be
+    lost and the table must hold one row per key."""
+    return ST.merged_reviews(spark, _delivered(spark, d)).select(*q_reviews_cols())
 
 
 def q_reviews_cols():
@@ -117,15 +108,14 @@ def q_reviews_cols():
             "overall_score"]
 
 
-@register("stream_quality_trend", None)
+@register("stream_quality_trend", """WITH t AS (
+ SELECT arg_min(created_at, id) AS created_at, arg_max(overall_score, id) AS overall_score
+ FROM reviews GROUP BY repo_full_name, pr_number, head_sha)
+SELECT date_trunc('day', created_at) AS day, CAST(round(avg(overall_score)) AS BIGINT) AS avg_score, count(*) AS pr_count
+FROM t GROUP BY 1""")
 def q_stream_trend(spark, d):
-    folder = scratch_path(spark, "trend-in")
-    r = V.reviews(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp"))
-    r.write.parquet(folder)
-    src = spark.readStream.schema(r.schema).parquet(folder)
-    name = f"trend_{int(time.time() * 1000)}"
-    ST.run_available(ST.stream_quality_trend(src), scratch_path(spark, "ckpt"), "complete", name)
-    return spark.table(name)
+    """T5: the daily trend over what the review streams have stored."""
+    return ST.quality_trend_of(ST.merged_reviews(spark, _delivered(spark, d)))
 
 
 _ = q_reviews  # registration order: upsert oracle defined there
@@ -159,9 +149,9 @@ def _webhook_jobs(spark, d, provider: str):
     read = ST.read_github_webhooks if provider == "github" else ST.read_gitlab_webhooks
     norm = I.normalize_github_events if provider == "github" else I.normalize_gitlab_events
     src = read(spark, _payload_files(spark, d, provider))
-    name = f"hooks_{provider}_{int(time.time() * 1000)}"
-    ST.run_available(norm(src), scratch_path(spark, "ckpt"), "append", name)
-    return spark.table(name).select(*q_ingest._JOB_COLS)
+    out = scratch_path(spark, f"jobs-{provider}")
+    ST.run_available(norm(src), scratch_path(spark, "ckpt"), out)
+    return spark.read.parquet(out).select(*q_ingest._JOB_COLS)
 
 
 @register("stream_webhook_github", ORACLE["normalize_github_events"])

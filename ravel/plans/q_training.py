@@ -15,10 +15,15 @@ from ..sources import views as V
 from . import sqlfrag as S
 from .registry import register
 
-N_PRS = 10
+N_PRS = 10            # shown by first_n_prs_per_repo
+COLLECT_PRS = 200     # PRs a repo that examples are collected from
+
+
+def _first_n(n: int) -> str:
+    return f"""fn AS (SELECT * FROM (SELECT repo, pr_number, author_login, row_number() OVER (PARTITION BY repo ORDER BY updated_seq DESC, pr_number) AS rn
+ FROM pulls WHERE state = 'closed' AND merged_seq IS NOT NULL) WHERE rn <= {n})"""
+
 
-_FIRST_N = f"""fn AS (SELECT * FROM (SELECT repo, pr_number, author_login, row_number() OVER (PARTITION BY repo ORDER BY updated_seq DESC, pr_number) AS rn
- FROM pulls WHERE state = 'closed' AND merged_seq IS NOT NULL) WHERE rn <= {N_PRS})"""
 _NIT = r"(?i)^" + JS_SPACE + r"*nit[:" + JS_SPACE[1:]
 _ELIGIBLE = (f"c.user_type <> 'Bot' AND length({sql_js_trim('c.body')}) >= 30 AND NOT regexp_matches(c.body, '{_NIT}')")
 _FILES = """ff AS (SELECT repo, pr_number, path, min(patch) AS patch FROM pr_files GROUP BY ALL)"""
@@ -32,7 +37,7 @@ def q_merged(spark, d):
     return T.merged_prs(V.pulls(spark, d)).select("repo", "pr_number")
 
 
-@register("first_n_prs_per_repo", f"WITH {_FIRST_N} SELECT repo, pr_number FROM fn")
+@register("first_n_prs_per_repo", f"WITH {_first_n(N_PRS)} SELECT repo, pr_number FROM fn")
 def q_first_n(spark, d):
     return T.first_n_prs_per_repo(V.pulls(spark, d), N_PRS).select("repo", "pr_number")
 
@@ -59,7 +64,7 @@ def q_author_ack(spark, d):
     return T.author_ack(V.pr_comments(spark, d), V.pulls(spark, d)).select("comment_id", "author_ack")
 
 
-_COLLECT = f"""{_FIRST_N}, {_FILES},
+_COLLECT = f"""{_first_n(COLLECT_PRS)}, {_FILES},
 ack AS (SELECT DISTINCT c.repo, c.pr_number, c.in_reply_to_id AS comment_id FROM pr_comments c
  JOIN fn p ON p.repo = c.repo AND p.pr_number = c.pr_number
  WHERE c.in_reply_to_id IS NOT NULL AND c.user_login = p.author_login AND {S.rx('c.body', S.ACK)}),
@@ -72,7 +77,7 @@ ex AS (SELECT c.repo, c.pr_number, c.comment_id, c.path AS file_path, substr(ff.
 
 
 def _collect(spark, d):
-    return T.collect_examples(V.pulls(spark, d), V.pr_comments(spark, d), V.pr_files(spark, d), N_PRS)
+    return T.collect_examples(V.pulls(spark, d), V.pr_comments(spark, d), V.pr_files(spark, d), COLLECT_PRS)
 
 
 @register("project_raw_example", f"WITH {_COLLECT} SELECT * FROM ex")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -58,8 +59,9 @@ def build_session(master: str | None = None, app: str = "ravel",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to a shared file system; we only pick a local scratch
-    folder when it is unset (local runs and tests). Works on classic and on
+    A cluster sets this to a shared file system; a local scratch folder is
+    picked only on a local master where it is unset (local runs and tests);
+    elsewhere an unset folder is an error. Works on classic and on
     Spark Connect sessions (no SparkContext there)."""
     try:
         sc = spark.sparkContext
@@ -68,6 +70,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = (sc.getConf().get("spark.checkpoint.dir", None) if sc is not None else None) or \
         spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = (sc.master if sc is not None else spark.conf.get("spark.master", "")) or ""
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that the driver "
+                               f"and all executors share (master {master or 'unknown'})")
         d = tempfile.mkdtemp(prefix="ravel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and sc.getCheckpointDir() is None:

@@ -15,16 +15,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     path = os.path.join(sf_dir, f"{name}.parquet")
     return spark.read.parquet(path)
 
-
-def balance(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when the scan yields fewer partitions than
-    the cluster's parallelism (e.g. one big single-row-group file) and the
-    next stage is CPU-heavy per row (regexes over text). On a large input
-    with many splits this is a no-op, so no shuffle is added at scale."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < par:
-            return df.repartition(par)
-    except Exception:  # Spark Connect has no RDD view: leave the plan as is
-        pass
-    return df

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import balance, table
+from .tables import table
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,17 +59,14 @@ _RAW_SUFFIX = (
 
 
 def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # only the first 2,000 characters of a document are used: cut before
-    # anything moves, then spread the regex-heavy rows over the cores
-    d = balance(table(spark, sf_dir, "documents").select(
-        "doc_id", "source", "lang", F.substring("text", 1, 2000).alias("text"))).alias("d")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").alias("d")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality").alias("l")
     return d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left").selectExpr(
         "d.doc_id AS example_id",
         "d.source AS repo",
         "CAST(d.doc_id % 50 AS INT) AS pr_number",
         "'src/' || d.lang || '/f' || CAST(d.doc_id % 30 AS STRING) || '.py' AS file_path",
-        f"substr(d.text, 1, 20 + CAST(d.doc_id * 37 % 800 AS INT)) || {_RAW_SUFFIX} AS review_comment",
+        f"d.text || {_RAW_SUFFIX} AS review_comment",
         "CASE WHEN d.doc_id % 7 = 0 THEN '' ELSE substr(d.text, 1, 2000) END AS patch",
         "coalesce(l.quality = 1, false) AS author_ack",
         "CAST(d.doc_id % 5 AS INT) AS reactions",
@@ -98,7 +95,7 @@ def pr_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "role AS user_login",
         "CASE WHEN role = 'system' THEN 'Bot' ELSE 'User' END AS user_type",
         "'src/f' || CAST(conv_id % 7 AS STRING) || '.js' AS path",
-        "CASE WHEN (conv_id + turn) % 9 = 0 THEN 'nit: ' ELSE '' END || substr(text, 1, 25 + CAST(turn * 40 AS INT)) "
+        "CASE WHEN (conv_id + turn) % 9 = 0 THEN 'nit: ' ELSE '' END || text "
         "|| CASE WHEN (conv_id + turn) % 4 = 0 THEN ' Good catch, fixed' ELSE '' END AS body",
         "CAST(turn % 4 AS INT) AS reactions",
     )
@@ -168,8 +165,7 @@ _ANSWERS = (
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # JSON parsing per row is the heavy part: spread the rows over the cores
-    return balance(table(spark, sf_dir, "documents").select("doc_id")).selectExpr(
+    return table(spark, sf_dir, "documents").select("doc_id").selectExpr(
         "doc_id AS example_id",
         "CASE WHEN doc_id % 2 = 0 THEN 'tuned' ELSE 'base' END AS model",
         "CASE doc_id % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' WHEN 2 THEN 'style' "
@@ -186,7 +182,7 @@ def pr_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "WHEN 2 THEN '## What' || chr(10) || 'text' || chr(10) || '## Why' || chr(10) || 'because' || chr(10) "
         "|| '## Testing' || chr(10) || 'unit' "
         "WHEN 3 THEN '## what' || chr(10) || '[Describe what this PR does]' || chr(10) || '## Testing' || chr(10) || 'manual' "
-        "WHEN 4 THEN '## Summary' || chr(10) || 'Added a feature' || chr(10) ELSE substr(text, 1, 300) END AS body",
+        "WHEN 4 THEN '## Summary' || chr(10) || 'Added a feature' || chr(10) ELSE text END AS body",
     )
 
 

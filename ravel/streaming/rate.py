@@ -39,8 +39,7 @@ def _epoch_us(c):
 
 
 def rate_window_flags(requests: DataFrame, window_seconds: int = 60, limit: int = 100,
-                      key: str = "client_key", time_col: str = "ts", id_col: str = "event_id",
-                      max_rounds: int = 64) -> DataFrame:
+                      key: str = "client_key", time_col: str = "ts", id_col: str = "event_id") -> DataFrame:
     """T3 (batch). See the module docstring."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(requests.sparkSession)   # checkpoint() below cuts lineage there
@@ -61,7 +60,7 @@ def rate_window_flags(requests: DataFrame, window_seconds: int = 60, limit: int
     # 2. pointer doubling from position 1 of every key
     jump = nodes.select("k", F.col("pos").alias("src"), F.col("nxt").alias("dst"))
     starts = nodes.where("pos = 1").select("k", "pos")
-    for _ in range(max_rounds):
+    while True:   # each round doubles the jumps: at most log2(windows of a key) rounds
         add = (starts.alias("s").join(jump.alias("j"), (F.col("s.k") == F.col("j.k")) & (F.col("s.pos") == F.col("j.src")))
                      .where(F.col("j.dst").isNotNull()).select(F.col("s.k").alias("k"), F.col("j.dst").alias("pos")))
         starts = starts.unionByName(add).distinct().checkpoint()
@@ -117,7 +116,8 @@ def _process_key(window_us: int, limit: int):
             count += j - i
             i = j
         state.update((int(count), int(end)))
-        state.setTimeoutTimestamp(int(end // 1000) + 1)
+        # a window may end before the watermark that this batch has set
+        state.setTimeoutTimestamp(max(int(end // 1000) + 1, state.getCurrentWatermarkMs() + 1))
         flagged = counts > limit
         retry = np.where(flagged, np.ceil((ends - tu) / 1_000_000.0), np.nan)
         yield pd.DataFrame({

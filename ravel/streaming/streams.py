@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ingest import normalize_by_provider
-from ..operators.reviews import REVIEW_KEY, upsert_reviews
+from ..operators.reviews import upsert_reviews
 
 EVENT_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampType()),
@@ -32,51 +32,67 @@ def read_event_stream(spark: SparkSession, folder: str, max_files: int | None =
 
 
 def stream_pr_events(events: DataFrame) -> DataFrame:
-    """Filter + normalise per provider + union into one job stream
-    (stateless; unknown providers are dropped here and can be routed to a
-    quarantine sink with :func:`normalize_by_provider`'s second output)."""
+    """Filter + normalise per provider + union into one job stream. The
+    events of unknown providers are :func:`normalize_by_provider`'s second
+    output; :func:`routed_batch_writer` stores both."""
     jobs, _quarantine = normalize_by_provider(events)
     return jobs
 
 
+def _write_batch(batch: DataFrame, batch_id: int, stream: str, path: str) -> None:
+    """Store a micro-batch under its stream and batch id with dynamic
+    partition overwrite: a batch run again replaces its own rows only."""
+    (batch.withColumn("stream_id", F.lit(stream)).withColumn("batch_id", F.lit(batch_id).cast("long"))
+          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+          .partitionBy("stream_id", "batch_id").parquet(path))
+
+
+def routed_batch_writer(jobs_path: str, quarantine_path: str, stream: str = "events"):
+    """T1 write side: ``foreachBatch`` function that stores the jobs of a
+    batch, and in a second folder the events no provider is known for."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        jobs, quarantine = normalize_by_provider(batch)
+        _write_batch(jobs, batch_id, stream, jobs_path)
+        _write_batch(quarantine, batch_id, stream, quarantine_path)
+        batch.unpersist()
+    return write
+
+
 def merged_reviews(spark: SparkSession, log_path: str) -> DataFrame:
     """T2 read side: the reviews table = K2 over the applied-batch log
-    (merge on read); arrival order = (batch id, id)."""
+    (merge on read); arrival order = (time applied, stream, batch id, id)."""
     log = spark.read.parquet(log_path)
-    return upsert_reviews(None, log.withColumn("_seq", F.struct("batch_id", "id")), seq="_seq").drop("batch_id", "_seq")
+    order = F.struct("applied_at", "stream_id", "batch_id", "id")
+    return upsert_reviews(None, log.withColumn("_seq", order), seq="_seq").drop("stream_id", "batch_id", "applied_at", "_seq")
 
 
-def upsert_batch_writer(log_path: str):
+def upsert_batch_writer(log_path: str, stream: str):
     """T2 write side: ``foreachBatch`` function that stores each micro-batch
-    under its batch id with dynamic partition overwrite, so a re-run of the
-    same batch (after a failure) replaces, never duplicates, its rows."""
+    under (``stream``, batch id). ``stream`` names the checkpoint the query
+    runs on: another stream, or a new checkpoint, has batch ids of its own
+    and must not replace this one's rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-              .partitionBy("batch_id").parquet(log_path))
+        import time
+        _write_batch(batch.withColumn("applied_at", F.lit(time.time_ns())), batch_id, stream, log_path)
     return write
 
 
-def stream_quality_trend(reviews: DataFrame, delay: str = "1 day") -> DataFrame:
-    """T5: live daily trend; a redelivered review (same repo, PR, sha) is
-    counted once within the watermark."""
-    r = (reviews.withWatermark("created_at", delay)
-                .dropDuplicatesWithinWatermark(REVIEW_KEY))
-    return (r.groupBy(F.window("created_at", "1 day").alias("w"))
-             .agg(F.round(F.avg("overall_score")).cast("long").alias("avg_score"),
-                  F.count(F.lit(1)).alias("pr_count"))
-             .select(F.col("w.start").alias("day"), "avg_score", "pr_count"))
+def quality_trend_of(reviews: DataFrame) -> DataFrame:
+    """T5 read side: the daily trend of the stored reviews, each (repo, PR,
+    sha) counted once (the lowest id's day, the last score: K2)."""
+    return (reviews.groupBy(F.date_trunc("day", "created_at").alias("day"))
+                   .agg(F.round(F.avg("overall_score")).cast("long").alias("avg_score"),
+                        F.count(F.lit(1)).alias("pr_count")))
 
 
-def run_available(df: DataFrame, checkpoint: str, mode: str = "append", name: str | None = None,
-                  foreach_batch=None):
+def run_available(df: DataFrame, checkpoint: str, path: str | None = None, foreach_batch=None):
     """Run a streaming query over all currently available input and stop
-    (``availableNow``); returns the finished query."""
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    if foreach_batch is not None:
-        w = w.foreachBatch(foreach_batch)
-    else:
-        w = w.format("memory").queryName(name)
+    (``availableNow``). Rows go to ``foreach_batch``, or are appended to the
+    Parquet folder ``path`` by the file sink, which commits each micro-batch
+    once."""
+    w = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    w = w.foreachBatch(foreach_batch) if foreach_batch is not None else w.format("parquet").option("path", path)
     q = w.start()
     q.awaitTermination()
     return q

@@ -8,6 +8,7 @@ from ravel.plans.compare import compare, duck_connection
 
 load_all()
 SF = "/root/testdata/sf0.001"
+WITHOUT_ORACLE = {"near_duplicate_clusters", "sink_jsonl"}
 
 
 @pytest.fixture(scope="module")
@@ -18,14 +19,14 @@ def duck():
 @pytest.mark.parametrize("key", sorted(QUERIES))
 def test_query_matches_oracle(spark, duck, key):
     r = compare(spark, key, SF, duck)
-    assert r["status"] in ("match", "no-oracle"), r["status"]
+    assert r["status"] == ("no-oracle" if key in WITHOUT_ORACLE else "match"), r["status"]
 
 
 def test_every_key_has_entry():
     import __spark_entry__ as E
-    assert set(E.queries()) == set(QUERIES)
-    assert set(E.oracle_sql()) <= set(QUERIES)
-    assert len(ORACLE) >= len(QUERIES) - 5
+    assert set(QUERIES) <= set(E.queries())
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(QUERIES) - set(ORACLE) == WITHOUT_ORACLE
 
 
 def test_known_values_sf001(spark):
@@ -36,7 +37,7 @@ def test_known_values_sf001(spark):
     dec = {r.event: r.n for r in QUERIES["review_decision"](spark, d).groupBy("event").count()
            .withColumnRenamed("count", "n").collect()}
     assert dec == {"REQUEST_CHANGES": 4973, "COMMENT": 9531, "APPROVE": 496}
-    assert [r.n for r in QUERIES["score_histogram"](spark, d).orderBy("bucket_pos").collect()] == [279, 119, 109, 128, 365]
+    assert [r.n for r in QUERIES["score_histogram"](spark, d).orderBy("bucket_pos").collect()] == [390, 144, 124, 210, 132]
     gh = {r.action: r.n for r in __import__("ravel.sources.views", fromlist=["x"]).pr_events(spark, d)
           .where("event_name = 'pull_request' AND action IN ('opened', 'synchronize')").groupBy("action").count()
           .withColumnRenamed("count", "n").collect()}

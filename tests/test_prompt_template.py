@@ -98,4 +98,4 @@ def test_template_comment(spark):
     none, text = [r[0] for r in df.select(TP.template_comment(F.col("v"), "http://localhost:3000")).collect()]
     assert none is None
     assert "PR Template Checklist" in text and "## Why" in text and "## Testing" in text and "process reminders" in text
-    assert text.endswith("<sub>ReviewAI · [Dashboard](http://localhost:3000)</sub>")
+    assert text.endswith("<sub>Code Review Bot · [Dashboard](http://localhost:3000)</sub>")

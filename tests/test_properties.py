@@ -160,3 +160,45 @@ def test_near_duplicate_clusters(spark):
     df = spark.createDataFrame(rows, "example_id long, review_comment string")
     got = sorted(tuple(r) for r in X.near_duplicate_clusters(df).collect())
     assert got == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6), (7, 7)]
+
+
+def test_template_headers_fold_case_beyond_ascii(spark):
+    from ravel.operators import templates as TP
+    req = TP.template_requirements(spark.createDataFrame([("r", "## écran\n")], "repo string, content string"))
+    prs = spark.createDataFrame([(1, "r", "## Écran\nall of it is described here"), (2, "r", "nothing of that kind is described")],
+                                "pr_id long, repo string, body string")
+    got = {r.pr_id: len(r.violations) for r in TP.template_violations(prs, req).collect()}
+    assert got == {1: 0, 2: 1}
+
+
+def test_window_ends_at_as_of(spark):
+    from ravel.operators.common import trailing_window
+    df = spark.sql("SELECT explode(sequence(DATE'2020-01-01', DATE'2020-01-20')) AS d").selectExpr("CAST(d AS timestamp) AS t")
+    got = [r.t.day for r in trailing_window(df, "t", "2020-01-10", 3).orderBy("t").collect()]
+    assert got == [8, 9, 10]
+
+
+def test_chain_of_near_duplicates_is_one_cluster(spark):
+    """A chain longer than any fixed number of propagation rounds."""
+    from ravel.operators import extras as X
+    word = "abcdefghijklmnopqrstuvwxyz"
+    base = " ".join(f"{word[i % 26]}{i}" for i in range(120))
+    parts = base.split()
+    rows = [(k, " ".join(f"{w}z" if i < 2 * k else w for i, w in enumerate(parts))) for k in range(45)]
+    df = spark.createDataFrame(rows, "example_id long, review_comment string")
+    assert {r.cluster_id for r in X.near_duplicate_clusters(df).collect()} == {0}
+
+
+def test_scratch_folder_must_be_shared_on_a_cluster():
+    import pytest
+    from ravel.session import ensure_checkpoint_dir
+
+    class Conf:
+        def get(self, key, default=None):
+            return "spark://host:7077" if key == "spark.master" else default
+
+    class Session:   # a cluster session without the setting
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(Session())
