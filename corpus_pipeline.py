@@ -53,8 +53,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rates whose expected tokens per domain meet the target weights; a
-    document whose rate is 0 goes."""
+    """Every document gets the rate at which it is drawn, so that expected
+    tokens per domain meet the target weights."""
     prepare(spark)
     return mix(docs, table(spark, sf_dir, "labels"))
 

@@ -30,7 +30,7 @@ DOMAINS = (("good", "toxic = 0 AND quality = 1", 0.92),
            ("toxic", "toxic = 1", 0.01))
 BUCKETS = 1 << 14            # hashed vocabulary
 MAX_LABELLED = 20_000        # labelled rows the classifier is fitted on
-PRIOR_COUNT = 20.0           # words a bucket is taken to hold beforehand
+PRIOR_COUNT = 20.0           # words of each domain a bucket is taken to hold beforehand
 ROUNDS, TOLERANCE = 40, 1e-7
 
 
@@ -68,8 +68,11 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     ids = counts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     per = ids.join(per, "b", "left").na.fill(0.0)
     # BUCKETS rows in all: a bounded table
-    logs = [F.log((F.col(f"n{k}") + PRIOR_COUNT * max(s, 1e-9)) / ((F.col("n") + PRIOR_COUNT) * max(s, 1e-9))).alias(f"w{k}")
-            for k, s in enumerate(share)]
+    # words seen over words expected: a word or two of a rare domain proves nothing
+    odds = [(F.col(f"n{k}") + PRIOR_COUNT) / (F.col("n") * s + PRIOR_COUNT) for k, s in enumerate(share)]
+    # each domain's words have probabilities that add up to 1, or long texts would lean to one domain
+    mass = per.agg(*[F.sum(F.col("n") / total * x) for x in odds]).first()
+    logs = [F.log(x / float(z)).alias(f"w{k}") for k, (x, z) in enumerate(zip(odds, mass))]
     rows = F.sort_array(F.collect_list(F.struct("b", *[f"w{k}" for k in range(len(domains))])))
     model = per.select("b", *logs).agg(rows.alias("r")).select(
         F.array(*[F.lit(max(s, 1e-9)) for s in share]).alias("priors"),
@@ -137,6 +140,9 @@ def fit_rates(rows: DataFrame, domains=DOMAINS, rounds: int = ROUNDS) -> list[li
         got = rows.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * r) for i in k]).first()
         error = [float(x) / total - t for x, t in zip(got, target)]
         worst = max(abs(x) for x in error)
+        if best is not None and worst >= best:
+            steps.pop()
+            break
         if worst < TOLERANCE or (best is not None and worst > best * (1 - 1e-4)):
             break
         best = worst
@@ -172,9 +178,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
 
 
 def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", domains=DOMAINS) -> DataFrame:
-    """``docs`` with the column ``rate`` (named so that it does not clash),
-    without the documents whose rate is 0."""
+    """``docs`` with the column ``rate`` (named so that it does not clash): how
+    often a document is to be drawn. No document is left out here, for rates
+    weigh and do not judge; one whose rate is 0 is not drawn."""
     out = fresh(docs, "_mix")
     rows, r = mixed(docs, labels, out, doc_id, text, domains)
     name = fresh(docs, "rate")
-    return rows.withColumn(name, r).drop(out).where(F.col(name) > 0)
+    return rows.withColumn(name, r).drop(out)

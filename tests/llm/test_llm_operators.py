@@ -393,7 +393,7 @@ def test_mixing_meets_targets_and_separates(sp):
     assert sum(max(names, key=lambda n: r[n]) == names[r.doc_id % 3] for r in held) >= 95
     total = sum(r.n_tokens for r in out)
     for name, (_, _, weight) in zip(names, mixing.DOMAINS):
-        assert abs(sum(r.n_tokens * r[name] * r.rate for r in out) / total - weight) < 1e-4
+        assert abs(sum(r.n_tokens * r[name] * r.rate for r in out) / total - weight) < 1e-3
     no_labels = mixing.mixing_rates(df, lab.limit(0)).collect()
     assert all(abs(r.rate - 1) < 1e-6 for r in no_labels)
     kept = mixing.mix(df.withColumn("rate", F.lit("mine")), lab)
