@@ -35,7 +35,7 @@ SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES, SKETCH_WORDS = 2048, 32         # ranges sampled; 64-bit words of a sketch
 SIGMAS = 6
-BLOCK, BLOCK_SHINGLES = 1024, 4 << 20    # members of a bucket compared at once, and their shingles
+BLOCK, BLOCK_SHINGLES = 4096, 4 << 20    # members of a bucket compared at once, and their shingles
 
 _seeds = mix64(np.arange(1, 4 * BANDS * ROWS + 64, dtype=np.uint64))
 _FLIP = (_seeds[:BANDS * ROWS] >> np.uint64(32)).astype(np.uint32)[:, None]
