@@ -1,15 +1,17 @@
 """Mixing to target weights with soft domain membership, in DataFrame
 functions.
 
-A naive Bayes classifier over hashed words, fitted on labelled rows, gives
-every document posteriors over the domains. Nonnegative rates per document are
+A naive Bayes classifier over the distinct hashed words of a document, fitted
+on labelled rows, gives every document posteriors over the domains. Words that
+are as frequent in a domain as elsewhere, give or take chance, say nothing;
+without that rule the chance of hundreds of words outweighs the few that tell. Nonnegative rates per document are
 then fitted by projected-gradient least squares so that the expected tokens of
 each domain (rate * tokens * posterior, summed) meet the targets.
 
 A gradient step changes a document's rate by its posteriors times one number
-per domain. The numbers of all steps are small and known to the driver, so a
-rate is an expression over the document's own posteriors and no table of rates
-is carried from step to step; each step is one aggregate over the stored
+per domain. The sum of all steps is a number per domain, known to the driver,
+so a rate is an expression over the document's own posteriors and no table of
+rates is carried from step to step; each step is one aggregate over the stored
 posteriors."""
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from .common import SPACE_CLASS, fresh, sample_bound, saved
 DOMAINS = (("good", "toxic = 0 AND quality = 1", 0.92),
            ("low", "toxic = 0 AND quality = 0", 0.07),
            ("toxic", "toxic = 1", 0.01))
-BUCKETS = 1 << 14            # hashed vocabulary
+BUCKETS = 1 << 16            # hashed vocabulary
 MAX_LABELLED = 20_000        # labelled rows the classifier is fitted on
-PRIOR_COUNT = 20.0           # words of each domain a bucket is taken to hold beforehand
-ROUNDS, TOLERANCE = 40, 1e-7
+PRIOR_COUNT = 5.0            # documents of each domain a bucket is taken to hold beforehand
+SIGMAS = 4                   # a bucket counts for a domain if its share lies so many standard errors off
+ROUNDS, PATIENCE, TOLERANCE = 60, 8, 1e-6
 
 
 def _words(text: str) -> Column:
@@ -44,9 +47,10 @@ def _bucket(word: Column) -> Column:
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                    domains=DOMAINS, max_labelled: int = MAX_LABELLED) -> DataFrame | None:
-    """One row: priors (array by domain) and weights (array by domain of an
-    array by bucket: log of the bucket's share in the domain over its share in
-    all). Fitted on about ``max_labelled`` labelled rows (whose id's hash lies
+    """One row: priors (array by domain), weights (array by domain of an array
+    by bucket: log of the bucket's share in the domain over its share in all, 0
+    where the two do not differ by more than chance) and masses (array by
+    domain: log of what those shares add up to). Fitted on about ``max_labelled`` labelled rows (whose id's hash lies
     under a bound); None where no labelled row has a text. A row that fits
     several domains' conditions belongs to the first; conflicting rows of one
     id count each."""
@@ -56,8 +60,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     sample = known.where(F.xxhash64("_lid") < sample_bound(known.count(), max_labelled))
     # about max_labelled rows of two numbers
     rows = docs.select(F.col(doc_id).alias("_lid"), F.col(text).alias("_t")).join(F.broadcast(sample), "_lid")
-    counts = saved(rows.select("_domain", F.explode(_words("_t")).alias("w"))
-                       .groupBy("_domain", _bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("n")),
+    counts = saved(rows.select("_domain", F.explode(F.array_distinct(F.transform(_words("_t"), _bucket))).alias("b"))
+                       .groupBy("_domain", "b").agg(F.count(F.lit(1)).cast("double").alias("n")),
                    "counts")
     total = counts.agg(F.sum("n")).first()[0]
     if not total:
@@ -68,15 +72,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     ids = counts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"))
     per = ids.join(per, "b", "left").na.fill(0.0)
     # BUCKETS rows in all: a bounded table
-    # words seen over words expected: a word or two of a rare domain proves nothing
-    odds = [(F.col(f"n{k}") + PRIOR_COUNT) / (F.col("n") * s + PRIOR_COUNT) for k, s in enumerate(share)]
+    # seen over expected, where the two differ by more than chance
+    odds = [F.when(F.abs(F.col(f"n{k}") - F.col("n") * s) > F.sqrt(F.col("n") * (s * (1 - s)) + 1) * SIGMAS,
+                   (F.col(f"n{k}") + PRIOR_COUNT) / (F.col("n") * s + PRIOR_COUNT)).otherwise(1.0)
+            for k, s in enumerate(share)]
     # each domain's words have probabilities that add up to 1, or long texts would lean to one domain
     mass = per.agg(*[F.sum(F.col("n") / total * x) for x in odds]).first()
-    logs = [F.log(x / float(z)).alias(f"w{k}") for k, (x, z) in enumerate(zip(odds, mass))]
+    logs = [F.log(x).alias(f"w{k}") for k, x in enumerate(odds)]
     rows = F.sort_array(F.collect_list(F.struct("b", *[f"w{k}" for k in range(len(domains))])))
     model = per.select("b", *logs).agg(rows.alias("r")).select(
         F.array(*[F.lit(max(s, 1e-9)) for s in share]).alias("priors"),
-        F.array(*[_pick("r", f"w{k}") for k in range(len(domains))]).alias("weights"))
+        F.array(*[_pick("r", f"w{k}") for k in range(len(domains))]).alias("weights"),
+        F.array(*[F.lit(math.log(z)) for z in mass]).alias("masses"))
     return saved(model, "model")
 
 
@@ -95,14 +102,16 @@ def with_posteriors(docs: DataFrame, model: DataFrame | None, text: str, out: st
         p = F.array(*[F.lit(float(w)) for _, _, w in domains])
         return df.withColumn(out, F.struct(tokens, p.alias("p"))).drop(idx)
 
+    df = compute_once(df, **{out + "_d": F.array_distinct(idx), out + "_n": tokens}).drop(idx)
     fitted = model.first()   # BUCKETS numbers by domain; a constant of the plan
 
     def score(k: int) -> Column:
         weights = F.from_json(F.lit(json.dumps([round(x, 9) for x in fitted.weights[k]])), "array<double>")
-        return F.lit(math.log(fitted.priors[k])) + F.aggregate(idx, F.lit(0.0), lambda a, i: a + F.get(weights, i))
+        return (F.lit(math.log(fitted.priors[k])) - F.size(out + "_d") * F.lit(fitted.masses[k])
+                + F.aggregate(out + "_d", F.lit(0.0), lambda a, i: a + F.get(weights, i)))
 
     s = fresh(docs, "_score")
-    df = compute_once(df, **{s: F.array(*[score(k) for k in range(len(domains))])}, **{out + "_n": tokens}).drop(idx)
+    df = compute_once(df, **{s: F.array(*[score(k) for k in range(len(domains))])}).drop(out + "_d")
     e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
     df = compute_once(df, **{out + "_e": e}).drop(s)
     z = F.aggregate(out + "_e", F.lit(0.0), lambda a, x: a + x)
@@ -110,44 +119,48 @@ def with_posteriors(docs: DataFrame, model: DataFrame | None, text: str, out: st
               .drop(out + "_n", out + "_e"))
 
 
-def rate(p: Column, steps: list[list[float]]) -> Column:
-    """The rate of a document with posteriors ``p`` after the given steps."""
-    r = F.lit(1.0)
-    for g in steps:
-        move = sum((p[k] * x for k, x in enumerate(g[1:], 1)), p[0] * g[0])
-        r = F.greatest(F.lit(0.0), r - move)
-    return r
+def rate(p: Column, moved: list[float]) -> Column:
+    """The rate of a document with posteriors ``p`` after steps that add up to
+    ``moved`` (a number per domain)."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((p[k] * x for k, x in enumerate(moved[1:], 1)), p[0] * moved[0]))
 
 
-def fit_rates(rows: DataFrame, domains=DOMAINS, rounds: int = ROUNDS) -> list[list[float]]:
-    """The steps of the projected gradient for ``rows`` (tokens, p), a stored
-    table. The error of a domain is measured relative to its expected tokens
-    now, and rates are weighted by tokens; in that metric the largest
-    curvature is 1, and so is the step. Stops when no error exceeds TOLERANCE
-    of all tokens, or stops shrinking (targets that no rates can meet)."""
+def fit_rates(rows: DataFrame, domains=DOMAINS, rounds: int = ROUNDS) -> list[float]:
+    """The sum of the gradient steps for ``rows`` (tokens, p), a stored table.
+    Steps add up and the sum is projected to rates of 0 and more, so that a
+    rate stays a short expression however many steps there are. The error of a
+    domain is measured relative to its expected tokens at first, and rates are
+    weighted by tokens; in that metric the largest curvature is 1, and so is
+    the step, sped up by momentum. Stops when no error exceeds TOLERANCE of all
+    tokens, or after PATIENCE steps without a shorter gradient (targets that
+    no rates can meet)."""
     k = range(len(domains))
     have = rows.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in k]).first()
     have = [float(x or 0) for x in have]
     total = sum(have)
-    steps: list[list[float]] = []
+    moved = [0.0 for _ in k]
     if not total:
-        return steps
+        return moved
     weight = sum(w for _, _, w in domains)
     target = [w / weight for _, _, w in domains]
-    best = None
+    best, found, before, last, k0, idle = None, moved, moved, None, 0, 0
     for _ in range(rounds):
-        r = rate(F.col("p"), steps)
+        r = rate(F.col("p"), moved)
         got = rows.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * r) for i in k]).first()
         error = [float(x) / total - t for x, t in zip(got, target)]
-        worst = max(abs(x) for x in error)
-        if best is not None and worst >= best:
-            steps.pop()
+        length = sum(x * x * total / h for x, h in zip(error, have) if h > 0)
+        if best is None or length < best * (1 - 1e-3):
+            best, found, idle = length, moved, 0
+        elif (idle := idle + 1) == PATIENCE:
             break
-        if worst < TOLERANCE or (best is not None and worst > best * (1 - 1e-4)):
+        if max(map(abs, error)) < TOLERANCE:
             break
-        best = worst
-        steps.append([x * total / h if h > 0 else 0.0 for x, h in zip(error, have)])
-    return steps
+        # momentum; it starts anew where the gradient grows
+        k0 = 0 if last is not None and length > last else k0 + 1
+        stepped = [m + (x * total / h if h > 0 else 0.0) for m, x, h in zip(moved, error, have)]
+        moved = [x + (x - y) * k0 / (k0 + 3) for x, y in zip(stepped, before)]
+        before, last = stepped, length
+    return found
 
 
 def mixed(docs: DataFrame, labels: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text",
@@ -156,8 +169,8 @@ def mixed(docs: DataFrame, labels: DataFrame, out: str, doc_id: str = "doc_id",
     and the column expression of the fitted rate."""
     model = fit_classifier(docs, labels, doc_id, text, domains)
     rows = saved(with_posteriors(docs, model, text, out, domains), "posteriors")
-    steps = fit_rates(rows.select(f"{out}.tokens", f"{out}.p"), domains)
-    return rows, rate(F.col(out)["p"], steps)
+    moved = fit_rates(rows.select(f"{out}.tokens", f"{out}.p"), domains)
+    return rows, rate(F.col(out)["p"], moved)
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -171,10 +184,10 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     # only the numbers are stored
     model = fit_classifier(d, labels, "doc_id", "text", domains)
     rows = saved(with_posteriors(d, model, "text", "_m", domains).select("doc_id", "_m.*"), "posteriors")
-    steps = fit_rates(rows, domains)
+    moved = fit_rates(rows, domains)
     return rows.select("doc_id", F.col("tokens").alias("n_tokens"),
                        *[F.col("p")[i].alias(f"p_{name}") for i, (name, _, _) in enumerate(domains)],
-                       rate(F.col("p"), steps).alias("rate"))
+                       rate(F.col("p"), moved).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", domains=DOMAINS) -> DataFrame:
