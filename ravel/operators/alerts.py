@@ -28,7 +28,7 @@ def top3_critical_per_review(comments: DataFrame, n: int = TOP_CRITICAL) -> Data
     """The first ``n`` critical comments of each review, in comment (id)
     order."""
     crit = comments.where(F.col("severity") == "critical")
-    return top_n_per_group(crit, ["review_id"], [F.col("id")], n, salt_cols=["id"])
+    return top_n_per_group(crit, ["review_id"], [F.col("id")], n)
 
 
 def _issue_line() -> Column:

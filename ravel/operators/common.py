@@ -37,22 +37,13 @@ def compute_once(df: DataFrame, **cols: Column) -> DataFrame:
     return df.select("*", F.inline(packed))
 
 
-def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column],
-                    n: int, salt_cols: list[str] | None = None, salts: int = 64,
+def top_n_per_group(df: DataFrame, group_cols: list[str], order_cols: list[Column], n: int,
                     rank_col: str = "rn") -> DataFrame:
     """Exact top-``n`` rows per group, ordered by ``order_cols`` (a total order).
 
-    A hot group would make one window task sort all its rows, so the first
-    pass ranks inside (group, salt) sub-groups, keeps ``n`` per sub-group, and
-    the second pass ranks the ≤ n·salts survivors per group. Exact because
-    the global top-n is contained in the union of the sub-group top-n."""
-    if salt_cols:
-        salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(salts))
-        w1 = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
-        df = (df.withColumn("_salt", salt)
-                .withColumn("_r1", F.row_number().over(w1))
-                .where(F.col("_r1") <= n)
-                .drop("_r1", "_salt"))
+    Spark cuts ``row_number() <= n`` before the shuffle as well (a partial
+    window group limit), so each task sends at most ``n`` rows of a hot group
+    and no salt is needed."""
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)
     return df.withColumn(rank_col, F.row_number().over(w)).where(F.col(rank_col) <= n)
 

@@ -84,7 +84,7 @@ def top_files_per_pr(files: DataFrame, n: int = MAX_FILES) -> DataFrame:
     """Per PR the ``n`` files with most changes, stable on ties (``pos``),
     patch cut to 3,000 characters before anything is shuffled further."""
     f = files.withColumn("patch", F.substring("patch", 1, MAX_PATCH))
-    return top_n_per_group(f, ["pr_id"], [F.col("changes").desc(), F.col("pos")], n, salt_cols=["pos"])
+    return top_n_per_group(f, ["pr_id"], [F.col("changes").desc(), F.col("pos")], n)
 
 
 def touched_files_semi(comments_with_repo: DataFrame, job_files: DataFrame) -> DataFrame:
@@ -143,8 +143,7 @@ def recent_issue_context(jobs: DataFrame, files: DataFrame, reviews: DataFrame,
     first = F.greatest(F.col("k_hi") - (limit - 1), F.col("k_lo") + 1)
     pr = rng.select("repo", "path", "pr_id", F.explode(F.sequence(first, F.col("k_hi"))).alias("cnum"))
     cand = pr.join(cm, ["repo", "path", "cnum"])
-    top = top_n_per_group(cand, ["pr_id"], [F.col("comment_at").desc(), F.col("comment_id")], limit,
-                          salt_cols=["path"], rank_col="rank")
+    top = top_n_per_group(cand, ["pr_id"], [F.col("comment_at").desc(), F.col("comment_id")], limit, rank_col="rank")
     return top.select("pr_id", "rank", "comment_id", F.col("path").alias("file_path"), "category", "suggestion",
                       "comment_at")
 

@@ -204,6 +204,3 @@ def log_levels(request_log: DataFrame) -> DataFrame:
     lvl = F.when(s >= 500, "ERROR").when(s >= 400, "WARN").otherwise("INFO")
     return request_log.withColumn("level", lvl).groupBy("level").agg(F.count(F.lit(1)).alias("requests"))
 
-
-def category_list():
-    return list(CATEGORIES)

@@ -28,8 +28,7 @@ def first_n_prs_per_repo(pulls: DataFrame, n: int = 200) -> DataFrame:
     """The ``n`` most recently updated merged PRs of each repo (ties by PR
     number). Hot repos are ranked in salted sub-groups first."""
     return top_n_per_group(merged_prs(pulls), ["repo"],
-                           [F.col("updated_seq").desc(), F.col("pr_number")], n,
-                           salt_cols=["pr_number"]).drop("rn")
+                           [F.col("updated_seq").desc(), F.col("pr_number")], n).drop("rn")
 
 
 def first_file_per_path(files: DataFrame, pos_col: str | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ whole input in one task and the split sizes are exactly floor(n·p).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import json_string, render
@@ -155,7 +155,7 @@ def train_category_share(split_df: DataFrame) -> DataFrame:
     """Train rows per category and their percent (one decimal)."""
     t = split_df.where(F.col("split") == "train")
     per = t.groupBy("category").agg(F.count(F.lit(1)).alias("n"))
-    total = t.agg(F.count(F.lit(1))).scalar()
+    total = F.sum("n").over(Window.partitionBy())       # one row per category
     return (per.withColumn("pct", F.round(F.col("n") * 100.0 / total, 1))
                .orderBy(F.col("n").desc(), "category"))
 

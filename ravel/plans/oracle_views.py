@@ -43,14 +43,14 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
  'org/r' || CAST(user_id % 10 AS STRING) AS repo_full_name, CAST(event_id % 400 AS INT) AS pr_number, CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END AS body, 'user_' || CAST(user_id AS STRING) AS author_login FROM events""",
     "responses": """SELECT doc_id AS example_id, CASE WHEN doc_id % 2 = 0 THEN 'tuned' ELSE 'base' END AS model,
  CASE doc_id % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' WHEN 2 THEN 'style' WHEN 3 THEN 'correctness' ELSE NULL END AS expected_category,
- CASE doc_id % 12 WHEN 0 THEN 'not json at all' WHEN 1 THEN '' WHEN 2 THEN '{"overallScore": 90, "summary": "ok", "comments": []}'
-  WHEN 3 THEN '{"overallScore": 150, "summary": "too high", "comments": []}'
-  WHEN 4 THEN '```json' || chr(10) || '{"overallScore": 55, "summary": "s", "comments": [{"filePath": "a.py", "line": 3, "category": "security", "severity": "critical", "title": "Use `verify()`", "suggestion": "You should replace decode() here."}]}' || chr(10) || '```'
-  WHEN 5 THEN '```' || chr(10) || '{"overallScore": 70, "summary": "s", "comments": []}' || chr(10) || '```'
-  WHEN 6 THEN '{"overallScore": 60, "summary": "s", "comments": [{"filePath": 5, "category": "style", "severity": "info", "title": "t", "suggestion": "x"}, {"filePath": "b.py", "category": "bogus", "severity": "info", "title": "t", "suggestion": "x"}]}'
-  WHEN 7 THEN 'null' WHEN 8 THEN '{"overallScore": 60, "summary": "s", "comments": {}}' WHEN 9 THEN '{"overallScore": 88, "summary": "s", "comments": []} trailing'
-  WHEN 10 THEN '{"summary": "no score", "comments": [{"filePath": "c.py", "line": null, "category": "style", "severity": "info", "title": "t", "suggestion": "x"}]}'
-  ELSE '{"overallScore": 86, "summary": "s", "comments": [{"filePath": "c.py", "line": 9, "category": "correctness", "severity": "warning", "title": "t", "suggestion": "Consider this method", "codeExample": null}]}' END AS raw_text,
+ replace(CASE doc_id % 12 WHEN 0 THEN 'not json at all: @text' WHEN 1 THEN '' WHEN 2 THEN '{"overallScore": 90, "summary": "@text", "comments": []}'
+  WHEN 3 THEN '{"overallScore": 150, "summary": "too high: @text", "comments": []}'
+  WHEN 4 THEN '```json' || chr(10) || '{"overallScore": 55, "summary": "@text", "comments": [{"filePath": "a.py", "line": 3, "category": "security", "severity": "critical", "title": "Use `verify()`", "suggestion": "@text You should replace decode() here."}]}' || chr(10) || '```'
+  WHEN 5 THEN '```' || chr(10) || '{"overallScore": 70, "summary": "@text", "comments": []}' || chr(10) || '```'
+  WHEN 6 THEN '{"overallScore": 60, "summary": "@text", "comments": [{"filePath": 5, "category": "style", "severity": "info", "title": "t", "suggestion": "x"}, {"filePath": "b.py", "category": "bogus", "severity": "info", "title": "t", "suggestion": "x"}]}'
+  WHEN 7 THEN 'null' WHEN 8 THEN '{"overallScore": 60, "summary": "@text", "comments": {}}' WHEN 9 THEN '{"overallScore": 88, "summary": "@text", "comments": []} trailing'
+  WHEN 10 THEN '{"summary": "no score: @text", "comments": [{"filePath": "c.py", "line": null, "category": "style", "severity": "info", "title": "@text", "suggestion": "@text"}]}'
+  ELSE '{"overallScore": 86, "summary": "@text", "comments": [{"filePath": "c.py", "line": 9, "category": "correctness", "severity": "warning", "title": "t", "suggestion": "@text Consider this method", "codeExample": null}]}' END, '@text', substr(CAST(to_json(coalesce(text, '')) AS VARCHAR), 2, length(CAST(to_json(coalesce(text, '')) AS VARCHAR)) - 2)) AS raw_text,
  CASE WHEN doc_id % 29 = 0 THEN 'timeout' ELSE NULL END AS error FROM documents""",
     "pr_bodies": """SELECT doc_id AS pr_id, source AS repo, CASE doc_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'fix stuff'
  WHEN 2 THEN '## What' || chr(10) || 'text' || chr(10) || '## Why' || chr(10) || 'because' || chr(10) || '## Testing' || chr(10) || 'unit'
@@ -60,6 +60,7 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "review_jobs": """SELECT c_custkey AS pr_id, 'team' || CAST(c_nationkey % 5 AS STRING) || '/repo' || CAST(c_custkey % 20 AS STRING) AS repo_full_name,
  'PR ' || c_name AS pr_title, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE 'Segment ' || c_mktsegment END AS pr_body, o.created_at
 FROM customer JOIN (SELECT o_custkey, max(o_orderdate) AS created_at FROM orders GROUP BY o_custkey) o ON o.o_custkey = c_custkey""",
-    "repo_languages": """SELECT source AS repo, lang, min(doc_id) AS pos, sum(n_chars) AS bytes FROM documents GROUP BY source, lang""",
+    "repo_languages": """SELECT 'team' || CAST(CAST(floor(doc_id / 20) AS BIGINT) % 5 AS STRING) || '/repo' || CAST(doc_id % 20 AS STRING) AS repo, lang,
+ min(doc_id) AS pos, sum(n_chars) AS bytes FROM documents GROUP BY 1, 2""",
     "pr_templates": """SELECT repo, arg_min(body, pr_id) AS content FROM pr_bodies WHERE len(regexp_extract_all(body, '(?m)^## ')) >= 2 GROUP BY repo""",
 }

@@ -127,12 +127,14 @@ def q_title(spark, d):
 
 
 def _with_title(df):
+    """PR titles, and descriptions for two of three examples."""
     return df.withColumn("pr_title", F.concat(F.lit("PR #"), F.col("pr_number").cast("string"))) \
-             .withColumn("pr_body", F.lit(""))
+             .withColumn("pr_body", F.when(F.col("example_id") % 3 == 0, "").otherwise(F.concat(F.lit("Changes "), "file_path")))
 
 
 _PROMPT_SQL = S.render_sql(
-    TR.USER_PROMPT, title="'PR #' || CAST(pr_number AS VARCHAR)", description="''", path="file_path", patch="patch")
+    TR.USER_PROMPT, title="'PR #' || CAST(pr_number AS VARCHAR)", path="file_path", patch="patch",
+    description="CASE WHEN example_id % 3 = 0 THEN '' ELSE '**Description:** Changes ' || file_path || chr(10) END")
 
 
 @register("user_prompt", f"SELECT example_id, {_PROMPT_SQL} AS prompt FROM raw_examples")
@@ -171,25 +173,38 @@ def q_train_share(spark, d):
     return TR.train_category_share(TR.exact_split(_kept(spark, d), "example_id"))
 
 
+_MESSAGES_SQL = (f"'system' || chr(10) || {S.sql_str(TR.SYSTEM_PROMPT)} || chr(10) || 'user' || chr(10) || ({_PROMPT_SQL}) || "
+                 f"CASE WHEN split = 'train' THEN chr(10) || 'assistant' || chr(10) || ({_TARGET_JSON_SQL}) ELSE '' END")
+
+
+def _messages():
+    """All messages as one text: roles and contents."""
+    return F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit("\n"), m["content"])), "\n")
+
+
 @register("chat_messages", f"""WITH {_SPLIT}
-SELECT example_id, split, CASE WHEN split = 'train' THEN 'system,user,assistant' ELSE 'system,user' END AS roles,
+SELECT example_id, split, {_MESSAGES_SQL} AS messages, CASE WHEN split = 'eval' THEN {_TARGET_JSON_SQL} END AS expected,
  repo AS meta_repo, category AS meta_category, round(quality_score, 6) AS meta_quality_score,
  CASE WHEN split = 'train' THEN author_ack END AS meta_author_ack FROM sp2""")
 def q_chat_messages(spark, d):
     sp = _with_title(TR.exact_split(_kept(spark, d), "example_id"))
     ch = TR.chat_examples(sp)
     return ch.select("example_id", "split",
-                     F.array_join(F.transform("messages", lambda m: m["role"]), ",").alias("roles"),
+                     _messages().alias("messages"), "expected",
                      F.col("metadata.repo").alias("meta_repo"), F.col("metadata.category").alias("meta_category"),
                      F.round("metadata.qualityScore", 6).alias("meta_quality_score"),
                      F.col("metadata.authorAck").alias("meta_author_ack"))
 
 
-@register("sink_jsonl", None)
+@register("sink_jsonl", f"""WITH {_SPLIT}
+SELECT example_id, split, CASE WHEN split = 'train' THEN 3 ELSE 2 END AS n_messages, md5({_MESSAGES_SQL}) AS messages_md5,
+ CASE WHEN split = 'eval' THEN md5({_TARGET_JSON_SQL}) END AS expected_md5 FROM sp2""")
 def q_sink_jsonl(spark, d):
     """K1: write the formatted train/eval examples as JSON lines (one folder
     per split) under the shared checkpoint folder and read them back."""
     sp = _with_title(TR.exact_split(_kept(spark, d), "example_id"))
     out = f"{ensure_checkpoint_dir(spark)}/sink-jsonl-{uuid.uuid4().hex}"
     TR.write_jsonl(TR.chat_examples(sp), out, partition_by="split")
-    return spark.read.json(out).select("example_id", "split", F.size("messages").alias("n_messages"))
+    back = spark.read.schema("example_id bigint, messages array<struct<role:string,content:string>>, expected string, split string").json(out)
+    return back.select("example_id", "split", F.size("messages").alias("n_messages"), F.md5(_messages()).alias("messages_md5"),
+                       F.md5("expected").alias("expected_md5"))

@@ -142,35 +142,38 @@ def pr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# The twelve answer shapes, one per parser path (fixed values of the fixture).
+# The twelve answer shapes, one per parser path (fixed values of the fixture);
+# @text stands for the document's whole text, escaped as in a JSON string.
+_ESCAPED = ("substr(to_json(named_struct('v', coalesce(text, ''))), 7, "
+            "length(to_json(named_struct('v', coalesce(text, '')))) - 8)")
 _ANSWERS = (
-    "CASE doc_id % 12 WHEN 0 THEN 'not json at all' WHEN 1 THEN '' "
-    "WHEN 2 THEN '{\"overallScore\": 90, \"summary\": \"ok\", \"comments\": []}' "
-    "WHEN 3 THEN '{\"overallScore\": 150, \"summary\": \"too high\", \"comments\": []}' "
-    "WHEN 4 THEN '```json' || chr(10) || '{\"overallScore\": 55, \"summary\": \"s\", \"comments\": [{\"filePath\": \"a.py\", "
+    "CASE doc_id % 12 WHEN 0 THEN 'not json at all: @text' WHEN 1 THEN '' "
+    "WHEN 2 THEN '{\"overallScore\": 90, \"summary\": \"@text\", \"comments\": []}' "
+    "WHEN 3 THEN '{\"overallScore\": 150, \"summary\": \"too high: @text\", \"comments\": []}' "
+    "WHEN 4 THEN '```json' || chr(10) || '{\"overallScore\": 55, \"summary\": \"@text\", \"comments\": [{\"filePath\": \"a.py\", "
     "\"line\": 3, \"category\": \"security\", \"severity\": \"critical\", \"title\": \"Use `verify()`\", "
-    "\"suggestion\": \"You should replace decode() here.\"}]}' || chr(10) || '```' "
-    "WHEN 5 THEN '```' || chr(10) || '{\"overallScore\": 70, \"summary\": \"s\", \"comments\": []}' || chr(10) || '```' "
-    "WHEN 6 THEN '{\"overallScore\": 60, \"summary\": \"s\", \"comments\": [{\"filePath\": 5, \"category\": \"style\", "
+    "\"suggestion\": \"@text You should replace decode() here.\"}]}' || chr(10) || '```' "
+    "WHEN 5 THEN '```' || chr(10) || '{\"overallScore\": 70, \"summary\": \"@text\", \"comments\": []}' || chr(10) || '```' "
+    "WHEN 6 THEN '{\"overallScore\": 60, \"summary\": \"@text\", \"comments\": [{\"filePath\": 5, \"category\": \"style\", "
     "\"severity\": \"info\", \"title\": \"t\", \"suggestion\": \"x\"}, {\"filePath\": \"b.py\", \"category\": \"bogus\", "
     "\"severity\": \"info\", \"title\": \"t\", \"suggestion\": \"x\"}]}' "
-    "WHEN 7 THEN 'null' WHEN 8 THEN '{\"overallScore\": 60, \"summary\": \"s\", \"comments\": {}}' "
-    "WHEN 9 THEN '{\"overallScore\": 88, \"summary\": \"s\", \"comments\": []} trailing' "
-    "WHEN 10 THEN '{\"summary\": \"no score\", \"comments\": [{\"filePath\": \"c.py\", \"line\": null, \"category\": \"style\", "
-    "\"severity\": \"info\", \"title\": \"t\", \"suggestion\": \"x\"}]}' "
-    "ELSE '{\"overallScore\": 86, \"summary\": \"s\", \"comments\": [{\"filePath\": \"c.py\", \"line\": 9, "
-    "\"category\": \"correctness\", \"severity\": \"warning\", \"title\": \"t\", \"suggestion\": \"Consider this method\", "
+    "WHEN 7 THEN 'null' WHEN 8 THEN '{\"overallScore\": 60, \"summary\": \"@text\", \"comments\": {}}' "
+    "WHEN 9 THEN '{\"overallScore\": 88, \"summary\": \"@text\", \"comments\": []} trailing' "
+    "WHEN 10 THEN '{\"summary\": \"no score: @text\", \"comments\": [{\"filePath\": \"c.py\", \"line\": null, \"category\": \"style\", "
+    "\"severity\": \"info\", \"title\": \"@text\", \"suggestion\": \"@text\"}]}' "
+    "ELSE '{\"overallScore\": 86, \"summary\": \"@text\", \"comments\": [{\"filePath\": \"c.py\", \"line\": 9, "
+    "\"category\": \"correctness\", \"severity\": \"warning\", \"title\": \"t\", \"suggestion\": \"@text Consider this method\", "
     "\"codeExample\": null}]}' END"
 )
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id").selectExpr(
+    return table(spark, sf_dir, "documents").select("doc_id", "text").selectExpr(
         "doc_id AS example_id",
         "CASE WHEN doc_id % 2 = 0 THEN 'tuned' ELSE 'base' END AS model",
         "CASE doc_id % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' WHEN 2 THEN 'style' "
         "WHEN 3 THEN 'correctness' ELSE NULL END AS expected_category",
-        f"{_ANSWERS} AS raw_text",
+        f"replace({_ANSWERS}, '@text', {_ESCAPED}) AS raw_text",
         "CASE WHEN doc_id % 29 = 0 THEN 'timeout' ELSE NULL END AS error",
     )
 
@@ -194,7 +197,7 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def review_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Review jobs (normalised PRs, ``provider.js`` ReviewJob) keyed like
+    """Review jobs (normalised PRs) keyed like
     ``changed_files.pr_id``: one per customer with orders, in the repo the
     ``reviews`` view gives that customer, created at its latest order."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
@@ -209,10 +212,11 @@ def review_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repo_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Languages per repo (``getLanguages``): bytes per language, in order of
-    first appearance (``pos``), from the documents of each source."""
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy(F.col("source").alias("repo"), "lang").agg(
+    """Languages per repo: bytes per language, in order of
+    first appearance (``pos``), from the documents dealt to each repo."""
+    d = table(spark, sf_dir, "documents").withColumn("repo", F.expr(
+        "'team' || CAST(CAST(floor(doc_id / 20) AS BIGINT) % 5 AS STRING) || '/repo' || CAST(doc_id % 20 AS STRING)"))
+    return d.groupBy("repo", "lang").agg(
         F.min("doc_id").alias("pos"), F.sum("n_chars").alias("bytes"))
 
 

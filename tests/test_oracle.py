@@ -8,7 +8,7 @@ from ravel.plans.compare import compare, duck_connection
 
 load_all()
 SF = "/root/testdata/sf0.001"
-WITHOUT_ORACLE = {"near_duplicate_clusters", "sink_jsonl"}
+WITHOUT_ORACLE = {"near_duplicate_clusters"}
 
 
 @pytest.fixture(scope="module")

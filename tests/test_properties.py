@@ -47,7 +47,7 @@ def test_top_n_per_group_hot_key(spark):
     random.seed(1)
     data = [(0 if i % 3 else i % 7, i, random.randint(0, 50)) for i in range(2000)]  # group 0 is hot
     df = spark.createDataFrame(data, "g long, id long, v long")
-    got = C.top_n_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 5, salt_cols=["id"], salts=16)
+    got = C.top_n_per_group(df, ["g"], [F.col("v").desc(), F.col("id")], 5)
     got = sorted((r.g, r.rn, r.id) for r in got.collect())
     expect = []
     for g in {d[0] for d in data}:
