@@ -1,9 +1,10 @@
 """URL filters by a path-template tree, in DataFrame functions only.
 
-Per host, the tree of path segments is generalised level by level: digits
-become a wildcard within a segment, segments that few of a node's paths take
-become the wildcard ``*``, and frequent branches with like statistics (share
-of labelled bad pages, share of paths that end there) are merged. A path's
+Per host, the tree of path segments is generalised level by level down to its
+last: digits become a wildcard within a segment, segments with few pages and
+without labels that tell become the wildcard ``*``, and named branches with
+like statistics (share of labelled bad pages, share of paths that end there)
+are merged. A path's
 generalised segments are its template; templates whose labelled pages are bad
 by a smoothed share are rejected.
 
@@ -12,7 +13,9 @@ given, the pages that rules decide are the labels."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import compute_once
@@ -22,11 +25,12 @@ from .common import LOWER, UPPER, saved
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"),
          ("block", "com/de/"))
 
-DEPTH = 4                   # levels of the tree; what lies deeper is one tail
-LEAST_SHARE = 0.04          # of a node's pages a branch needs to keep its name: at most 25 named branches a node
-LEAST_PAGES = 5
-LEAST_LABELS = 5            # labelled pages for two branches to be compared by their bad share
-LIKE = 1.64                 # branches closer than so many standard errors are merged
+LEAST_PAGES = 5             # pages that give a branch a name; a node with less is not split
+LEAST_LABELS = 5            # labelled pages for a branch to be judged by its bad share
+LIKE = 1.64                 # standard errors (and one page) by which a branch's labels differ from the rest of its node
+BAD_EDGES = (0.2, 0.5, 0.8, 0.95)   # branches with bad shares in one band are alike; REJECT is an edge
+LEAF_EDGES = (0.05, 0.5, 0.95)      # and those with shares of ending paths in one band
+MOST_NAMES = 25             # names written out in a merged branch's label
 PRIOR_PAGES = 5.0           # labelled pages a template is taken to have beforehand
 REJECT = 0.8
 
@@ -50,54 +54,83 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def _segments(path: Column) -> list[Column]:
-    """DEPTH generalised segments ('' behind the last) and the tail's mark."""
-    parts = F.array_remove(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), "")
-    return ([F.coalesce(F.get(parts, F.lit(k)), F.lit("")).alias(f"s{k}") for k in range(DEPTH)]
-            + [F.when(F.size(parts) > DEPTH, "/**").otherwise("").alias("tail")])
-
-
-def _unlike(x: str, n: str, before: Window) -> Column:
-    """Standard errors between the shares x/n of a branch and of the one
-    before (null without one; 0 if both shares are alike or unknown)."""
-    x0, n0 = F.lag(x).over(before), F.lag(n).over(before)
-    pooled = (F.col(x) + x0) / F.greatest(F.col(n) + n0, F.lit(1))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / F.greatest(F.col(n), F.lit(1)) + 1 / F.greatest(n0, F.lit(1))))
-    gap = F.abs(F.col(x) / F.greatest(F.col(n), F.lit(1)) - x0 / F.greatest(n0, F.lit(1)))
-    return F.when(n0.isNotNull(), F.when(error > 0, gap / error).otherwise(0.0))
+def _segments(path: Column) -> Column:
+    """The generalised segments of a path."""
+    return F.array_remove(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), "")
+
+
+def _band(share: Column, edges: tuple) -> Column:
+    return sum((F.when(share >= e, 1).otherwise(0) for e in edges[1:]), F.when(share >= edges[0], 1).otherwise(0))
+
+
+def _groups(kids: DataFrame, node: DataFrame) -> DataFrame:
+    """``kids`` (host, template, seg, n, good, bad, leaf: one row per branch of
+    a node) plus ``grp``, the branches of a node that become one: ``*`` for those
+    without a name. A branch is named by its own counts, however small its
+    share of the node is: by its pages, or if its labelled pages differ from
+    the rest of the node by more than chance. Named branches with like
+    statistics go together; one with few labels goes to the labelled ones that
+    end as often, if those agree in their bad share."""
+    kids = kids.join(node.select("host", "template", "node_good", "node_bad"), ["host", "template"])
+    known = F.col("good") + F.col("bad")
+    rest = F.col("node_good") + F.col("node_bad") - known
+    share = (F.col("node_bad") - F.col("bad") + 0.5) / (rest + 1)
+    differs = (rest > 0) & (F.abs(F.col("bad") - known * share) > F.sqrt(known * share * (1 - share) + 1) * LIKE)
+    named = (F.col("n") >= LEAST_PAGES) | differs
+    kids = kids.select("host", "template", "seg", "n", "good", "bad", named.alias("named"), (known >= LEAST_LABELS).alias("tested"),
+                       _band(F.col("leaf") / F.col("n"), LEAF_EDGES).alias("ends"),
+                       _band(F.col("bad") / F.greatest(known, F.lit(1)), BAD_EDGES).alias("badness"))
+    agreed = (kids.where("named AND tested").groupBy("host", "template", "ends")
+                  .agg(F.min("badness").alias("agreed"), F.max("badness").alias("most")).where("agreed = most").drop("most"))
+    kids = kids.join(agreed, ["host", "template", "ends"], "left")
+    badness = F.coalesce(F.when(F.col("tested"), F.col("badness")), F.col("agreed"), F.lit(-1))
+    return kids.withColumn("grp", F.when(F.col("named"), F.concat_ws(":", "ends", badness)).otherwise("*"))
+
+
+def _labels(kids: DataFrame) -> DataFrame:
+    """(host, template, grp, label) of the groups: the names of the branches,
+    or the first and last and the number of those between where they are many."""
+    keys = ["host", "template", "grp"]
+    groups = saved(kids.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"), F.min("seg").alias("low"), F.max("seg").alias("high")),
+                   "groups")
+    few = groups.where(F.col("grp") != "*").where(F.col("size").between(3, MOST_NAMES)).select(*keys)
+    lists = kids.join(few, keys).groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list("seg")), "|").alias("names"))
+    names = F.coalesce("names", F.when(F.col("size") == 2, F.concat_ws("|", "low", "high")).otherwise(
+        F.concat("low", F.lit("|+"), F.col("size") - 2, F.lit("|"), "high")))
+    label = (F.when(F.col("grp") == "*", "*").when(F.col("size") == 1, F.col("low"))
+              .otherwise(F.concat(F.lit("("), names, F.lit(")"))))
+    return groups.join(lists, keys, "left").select(*keys, label.alias("label"))
 
 
 def template_tree(shapes: DataFrame) -> DataFrame:
-    """``shapes`` (host, s0.., tail, n, good, bad: one row per generalised
-    path of a host) plus ``template``."""
-    df = shapes.withColumn("template", F.lit(""))
-    for k in range(DEPTH):
-        seg = f"s{k}"
-        ends = F.col(f"s{k + 1}") == "" if k + 1 < DEPTH else F.col("tail") == ""
-        kids = (df.where(F.col(seg) != "").groupBy("host", "template", seg)
-                  .agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"),
-                       F.sum(F.when(ends, F.col("n")).otherwise(0)).alias("leaf"))
-                  .withColumn("known", F.col("good") + F.col("bad")))
-        node = kids.groupBy("host", "template").agg(F.sum("n").alias("all"))
-        named = (kids.join(node, ["host", "template"])
-                     .where((F.col("n") >= LEAST_PAGES) & (F.col("n") >= F.col("all") * LEAST_SHARE)))
-        # at most 1 / LEAST_SHARE branches of a node are left to compare
-        tested = F.col("known") >= LEAST_LABELS
-        side = Window.partitionBy("host", "template", tested).orderBy(
-            F.when(tested, F.col("bad") / F.col("known")).otherwise(0), F.col("leaf") / F.col("n"), seg)
-        apart = F.greatest(F.when(tested, _unlike("bad", "known", side)).otherwise(_unlike("leaf", "n", side) * 0),
-                           _unlike("leaf", "n", side))
-        named = named.withColumn("tested", tested).withColumn("new", F.when(F.coalesce(apart, F.lit(9.9)) > LIKE, 1).otherwise(0))
-        named = named.withColumn("grp", F.sum("new").over(side.rowsBetween(Window.unboundedPreceding, 0)))
-        group = Window.partitionBy("host", "template", "tested", "grp")
-        members = F.sort_array(F.collect_list(seg).over(group))
-        label = F.when(F.size(members) > 1, F.concat(F.lit("("), F.array_join(members, "|"), F.lit(")"))).otherwise(F.col(seg))
-        named = named.select("host", "template", seg, label.alias("label"))
-        df = df.join(named, ["host", "template", seg], "left")
-        step = F.when(F.col(seg) == "", "").otherwise(F.concat(F.lit("/"), F.coalesce("label", F.lit("*"))))
-        # each level is stored: the next one reads it twice
-        df = saved(df.withColumn("template", F.concat("template", step)).drop("label"), "tree")
-    return df.withColumn("template", F.concat("template", "tail"))
+    """``shapes`` (host, segs, n, good, bad: one row per generalised path of a
+    host) plus ``template``. Level by level until no node has branches: a node
+    with one path left keeps its tail, one with less than LEAST_PAGES pages is
+    not split by names."""
+    df, done, k = shapes.withColumn("template", F.lit("")), [], 0
+    while True:
+        more = F.size("segs") > k
+        node = saved(df.groupBy("host", "template").agg(
+            F.sum("n").alias("node_n"), F.sum("good").alias("node_good"), F.sum("bad").alias("node_bad"),
+            F.count_if(more).alias("paths")), "nodes")
+        if node.where("paths > 0").isEmpty():
+            return functools.reduce(DataFrame.unionByName, done, df)
+        tail = F.slice("segs", F.lit(k + 1), F.greatest(F.size("segs") - k, F.lit(0)))
+        tail = F.when(F.col("paths") > 1, F.transform(tail, lambda _: F.lit("*"))).otherwise(tail)
+        ended = ~more | (F.col("paths") == 1) | (F.col("node_n") < LEAST_PAGES)
+        at = df.join(node.select("host", "template", "node_n", "paths"), ["host", "template"])
+        at = saved(at.select("host", "segs", "n", "good", "bad", "template", ended.alias("ended"),
+                             F.concat("template", F.array_join(F.transform(tail, lambda x: F.concat(F.lit("/"), x)), "")).alias("whole")),
+                   "tree")
+        done.append(at.where("ended").select("host", "segs", "n", "good", "bad", F.col("whole").alias("template")))
+        at = at.where("NOT ended").drop("ended", "whole").withColumn("seg", F.get("segs", F.lit(k)))
+        kids = saved(_groups(at.groupBy("host", "template", "seg").agg(
+            F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("bad").alias("bad"),
+            F.sum(F.when(F.size("segs") == k + 1, F.col("n")).otherwise(0)).alias("leaf")), node), "branches")
+        to = kids.select("host", "template", "seg", "grp").join(_labels(kids), ["host", "template", "grp"]).drop("grp")
+        df = saved(at.join(to, ["host", "template", "seg"]).select(
+            "host", "segs", "n", "good", "bad", F.concat("template", F.lit("/"), "label").alias("template")), "tree")
+        k += 1
 
 
 def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", rules=RULES,
@@ -119,8 +152,8 @@ def url_verdicts(pages: DataFrame, page_id: str = "page_id", url: str = "url", r
     else:
         known = labels.groupBy("page_id").agg(F.max(F.col("bad").cast("boolean")).alias("_bad"))
         p = p.join(known, "page_id", "left")
-    p = p.select("*", *_segments(F.col("path")))
-    keys = ["host", *[f"s{k}" for k in range(DEPTH)], "tail"]
+    p = p.withColumn("segs", _segments(F.col("path")))
+    keys = ["host", "segs"]
     shapes = saved(p.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(~F.col("_bad")).alias("good"), F.count_if("_bad").alias("bad")), "shapes")
     tree = template_tree(shapes)

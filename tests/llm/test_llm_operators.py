@@ -374,6 +374,20 @@ def test_url_templates_reject_bad_branches(sp):
     assert got[0].template == "/spam/#" and got[1].template == "/(blog|news)/#" and got[1000].template == "/*/x"
 
 
+def test_url_small_and_deep_sections_keep_their_names(sp):
+    """A section with a small share of its host, and sections under a fifth segment, are judged by their own labels."""
+    sections = [f"s{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(50)]
+    rows = [f"http://big.net/{x}/{i}" for x in sections for i in range(30)]
+    rows += [f"http://deep.net/a/b/c/d/e/{x}/{i}" for x in ("good", "spam") for i in range(30)]
+    rows += [f"http://bad.net/{x}/x" for x in [f"o{chr(97 + i)}" for i in range(26)] * 2] + ["http://bad.net/fine/x"] * 3
+    bad = [("/saa/" in u) or ("/spam/" in u) or ("bad.net" in u and "/fine/" not in u) for u in rows]
+    df = sp.createDataFrame(list(enumerate(rows)), "page_id int, url string")
+    labels = sp.createDataFrame(list(enumerate(bad)), "page_id int, bad boolean")
+    got = {r.page_id: r for r in url_filters.url_verdicts(df, labels=labels).collect()}
+    assert [got[i].verdict == "block" for i in range(len(rows))] == bad
+    assert got[0].template == "/saa/#" and got[len(rows) - 1].template == "/fine/x"
+
+
 def test_mixing_meets_targets_and_separates(sp):
     rnd = random.Random(2)
     good, bad, toxic = ([f"{p}{i}" for i in range(30)] for p in ("g", "b", "t"))
