@@ -388,6 +388,22 @@ def test_url_small_and_deep_sections_keep_their_names(sp):
     assert got[0].template == "/saa/#" and got[len(rows) - 1].template == "/fine/x"
 
 
+def test_url_templates_judge_pages_without_labels(sp):
+    """Unlabelled pages are judged by their host's other pages and by the same path on other hosts, not by one host alone."""
+    rows = [(f"http://farm.net/{x}/{i}", x != "new") for x in ("pills", "casino", "new") for i in range(30)]
+    rows += [(f"http://h{chr(97 + k)}.com/{x}/{i}", x == "bets") for k in range(26) for x in ("bets", "news") for i in range(3)]
+    rows += [(f"http://one.com/odd/{i}", True) for i in range(40)] + [(f"http://fine.com/about/{i}", False) for i in range(300)]
+    fresh = ([f"http://unseen.com/{x}/{i}" for x in ("bets", "news", "odd") for i in range(6)])
+    urls = [u for u, _ in rows] + fresh
+    lab = [(i, b) for i, (u, b) in enumerate(rows) if "/new/" not in u]
+    got = {r.page_id: r for r in url_filters.url_verdicts(sp.createDataFrame(list(enumerate(urls)), "page_id int, url string"),
+                                                          labels=sp.createDataFrame(lab, "page_id int, bad boolean")).collect()}
+    blocked = {"/".join(u.split("/")[2:4]) for i, u in enumerate(urls) if got[i].verdict == "block"}
+    assert {"farm.net/pills", "farm.net/casino", "farm.net/new", "one.com/odd", "unseen.com/bets"} <= blocked
+    assert not blocked & {"unseen.com/news", "unseen.com/odd"} and not any("/news" in x for x in blocked)
+    assert got[0].template == "/(casino|new|pills)/#"
+
+
 def test_mixing_meets_targets_and_separates(sp):
     rnd = random.Random(2)
     good, bad, toxic = ([f"{p}{i}" for i in range(30)] for p in ("g", "b", "t"))
