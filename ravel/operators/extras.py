@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import JS_SPACE, col_, js_trim
 from .common import as_of_lit, compute_once, trailing_window
 
+BLOCK = 1024    # members of a near-duplicate bucket on one side of a block
+
 
 def normalized_text(c) -> Column:
     """Lower case, white-space runs → one space, trimmed."""
@@ -99,6 +101,41 @@ def minhash_signatures(df: DataFrame, text: str, id_col: str, num_hashes: int =
     return sig.select("id", F.array(*[F.col(f"_h{seed}") for seed in range(num_hashes)]).alias("sig"))
 
 
+def _min_labels(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, label) with label = the smallest id of the component of ``edges`` (a, b)."""
+    und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    labels = ids.select("id", F.col("id").alias("label"))
+    while True:
+        nb = (und.join(labels.withColumnRenamed("id", "b"), "b")
+                 .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("nl")))
+        new = (labels.join(nb, "id", "left")
+                     .select("id", F.least("label", F.coalesce("nl", "label")).alias("label"),
+                             (F.coalesce("nl", "label") < F.col("label")).alias("_chg"))).checkpoint()
+        changed = new.where("_chg").limit(1).count() > 0
+        labels = new.drop("_chg")
+        if not changed:
+            return labels
+
+
+def _block_links(least: int):
+    """Links between members of different components in one block."""
+    def compare(rows):
+        import numpy as np
+        import pyarrow as pa
+        side, ids, label = (rows.column(c).to_numpy().copy() for c in ("side", "id", "label"))
+        sig = np.array(rows.column("sig").combine_chunks().flatten()).reshape(len(ids), -1)
+        out = []
+        for x in np.flatnonzero(side != 1):
+            far = (label != label[x]) & ((side == 1) | ((side == 2) & (ids > ids[x])))
+            y = np.flatnonzero(far)
+            for j in y[(sig[y] == sig[x]).sum(axis=1) >= least]:
+                if label[j] != label[x]:
+                    out.append((ids[x], ids[j]))
+                    label[label == label[j]] = label[x]
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
+    return compare
+
+
 def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col: str = "example_id",
                             bands: int = 16, rows_per_band: int = 4, min_similarity: float = 0.8) -> DataFrame:
     """E1 (near-duplicate part): cluster texts whose MinHash similarity is at
@@ -106,12 +143,13 @@ def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col:
     smallest id of the connected component.
 
     Texts with equal signatures are collapsed first. LSH banding puts the
-    others in buckets; each member is linked to its bucket's smallest id (a
-    star, never all pairs in a bucket) if the two signatures agree on at least
-    ``min_similarity`` of their positions. Members that the smallest id rejects
-    are linked to the smallest of those that remain, until none is left.
-    Components come from min-label propagation until no label changes; every
-    round cuts the lineage with ``checkpoint()`` in the shared folder."""
+    others in buckets; each member is linked to its bucket's smallest id if the
+    two signatures agree on at least ``min_similarity`` of their positions. In
+    buckets that then hold several components, members of different ones are
+    compared in blocks of bounded size, so any two texts that share a bucket
+    and agree end in one cluster. Components come from min-label propagation
+    until no label changes; every round cuts the lineage with ``checkpoint()``
+    in the shared folder."""
     from ..session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)   # checkpoint() below cuts lineage there
     k = bands * rows_per_band
@@ -123,28 +161,21 @@ def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col:
         .alias("band", "bucket"))
     one, two = sig.select("id", "sig"), sig.select(F.col("id").alias("head"), F.col("sig").alias("hsig"))
     agree = F.aggregate(F.zip_with("sig", "hsig", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x)
-    edges = df.sparkSession.createDataFrame([], "a bigint, b bigint")
-    while True:
-        heads = keys.groupBy("band", "bucket").agg(F.min("id").alias("head"))      # combined map-side
-        tried = keys.join(heads, ["band", "bucket"]).where(F.col("id") != F.col("head"))
-        pairs = tried.select("id", "head").distinct()
-        linked = (pairs.join(one, "id").join(two, "head").where(agree >= F.lit(least)).select("id", "head")).checkpoint()
-        edges = edges.unionByName(linked.select(F.col("id").alias("a"), F.col("head").alias("b")))
-        keys = tried.join(linked, ["id", "head"], "left_anti").select("id", "band", "bucket").checkpoint()
-        if keys.isEmpty():
-            break
-    und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = sig.select("id", F.col("id").alias("label"))
-    while True:
-        nb = (und.join(labels.withColumnRenamed("id", "b"), "b")
-                 .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("nl")))
-        new = (labels.join(nb, "id", "left")
-                     .select("id", F.least("label", F.coalesce("nl", "label")).alias("label"),
-                             (F.coalesce("nl", "label") < F.col("label")).alias("_chg"))).checkpoint()
-        changed = new.where("_chg").limit(1).count() > 0
-        labels = new.drop("_chg")
-        if not changed:
-            break
+    heads = keys.groupBy("band", "bucket").agg(F.min("id").alias("head"))      # combined map-side
+    pairs = keys.join(heads, ["band", "bucket"]).where(F.col("id") != F.col("head")).select("id", "head").distinct()
+    edges = (pairs.join(one, "id").join(two, "head").where(agree >= F.lit(least))
+                  .select(F.col("id").alias("a"), F.col("head").alias("b"))).checkpoint()
+    mine = keys.join(_min_labels(sig.select("id"), edges), "id").checkpoint()
+    mixed = (mine.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
+                 .where("low < high").select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    rows = mine.join(mixed, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # block (i, j) with i <= j holds part i as its left and part j as its right side; (i, i) holds it once
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).join(one, "id")
+    rows = rows.select("band", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
+                       F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
+                       F.col("id").cast("bigint").alias("id"), F.col("label").cast("bigint").alias("label"), "sig")
+    across = rows.groupBy("band", "bucket", "i", "j").applyInArrow(_block_links(least), "a bigint, b bigint").checkpoint()
+    labels = _min_labels(sig.select("id"), edges.unionByName(across))
     member = full.join(sig.select("sig", F.col("id").alias("rep")), "sig").select("id", "rep")
     return member.join(labels.select(F.col("id").alias("rep"), "label"), "rep").select(
         F.col("id").alias(id_col), F.col("label").alias("cluster_id"))

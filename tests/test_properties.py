@@ -189,6 +189,21 @@ def test_chain_of_near_duplicates_is_one_cluster(spark):
     assert {r.cluster_id for r in X.near_duplicate_clusters(df).collect()} == {0}
 
 
+def test_star_of_near_duplicates_with_a_large_centre_is_one_cluster(spark, monkeypatch):
+    """40 signatures that agree with the centre's in 52 of 64 places and with each other's in at most 48."""
+    from itertools import combinations
+    from ravel.operators import extras as X
+    changed = list(combinations(range(16), 3))[::14]
+    rows = [(k, [100 + k if p // 4 in bands else p for p in range(64)]) for k, bands in enumerate(changed)]
+    rows += [(1000, list(range(64))), (2000, [-p for p in range(1, 65)])]
+    df = spark.createDataFrame(rows, "id long, sig array<long>")
+    monkeypatch.setattr(X, "minhash_signatures", lambda *_: df)
+    for block in (1024, 5):
+        monkeypatch.setattr(X, "BLOCK", block, raising=False)
+        got = {r.id: r.cluster_id for r in X.near_duplicate_clusters(df, "sig", "id").collect()}
+        assert got == {i: 2000 if i == 2000 else 0 for i, _ in rows}
+
+
 def test_scratch_folder_must_be_shared_on_a_cluster():
     import pytest
     from ravel.session import ensure_checkpoint_dir
