@@ -38,12 +38,14 @@ LICENSES = (
     ("agpl-3", "agpl", ("agpl(?: v| version )?3(?: 0)?", "agplv3")),
     ("mpl-2", "mozilla", ("mozilla public license(?: version)? 2(?: 0)?", "mozilla public license v 2 0")),
     ("epl-2", "eclipse", ("eclipse public license(?: version)? 2(?: 0)?", "eclipse public license v 2 0")),
-    ("isc", "isc", ("isc", "internet systems consortium")),
+    ("isc", "isc", ("isc",)),
+    ("isc", "consortium", ("internet systems consortium",)),
     ("zlib", "zlib", ("zlib", "zlib libpng")),
     ("unlicense", "unlicense", ("unlicense", "the unlicense")),
     ("boost-1", "boost", ("boost software license(?: version 1 0)?", "boost")),
     ("wtfpl", "wtfpl", ("wtfpl",)),
-    ("cc0-1", "cc0", ("cc0(?: 1 0)?", "creative commons zero", "creative commons cc0")),
+    ("cc0-1", "cc0", ("cc0(?: 1 0)?", "creative commons cc0")),
+    ("cc0-1", "zero", ("creative commons zero",)),
     ("cc-by-nc", "cc", ("cc by nc(?: [1-4] 0)?",)),
     ("cc-by-nc", "commons", ("creative commons attribution non ?commercial(?: [1-4] 0)?",)),
     ("cc-by-sa", "cc", ("cc by sa(?: [1-4] 0)?",)),

@@ -270,6 +270,18 @@ def test_licenses(sp):
     assert len(licenses.RULES) > 300
 
 
+def test_every_license_wording_holds_its_keywords(sp):
+    least = lambda pattern: re.sub(r"\(\?:[^()]*\)\?", "", pattern)    # without its optional parts
+    for _, kw, names in licenses.LICENSES:
+        assert all(kw in least(name) for name in names), (kw, names)
+    assert all(kw in least(pattern) for kw, pattern, _, _ in licenses.GRANTS)
+    assert all(kw in least(pattern) for _, kw, pattern, _ in licenses.PHRASES)
+    assert all(r.kw in r.words and r.kw2 in r.words for r in licenses.RULES)
+    t = ["licensed under creative commons zero", "licensed under the internet systems consortium license"]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(sp.createDataFrame(list(enumerate(t)), "doc_id int, text string")).collect()}
+    assert got == {0: ("cc0-1", 0.95), 1: ("isc", 0.95)}
+
+
 def test_token_counts(sp):
     import os
     if not os.path.exists(token_counts.VOCABULARY):
