@@ -1,8 +1,8 @@
 """Mixing to target weights with soft domain membership, in DataFrame
 functions.
 
-A naive Bayes classifier over the distinct hashed words of a document, fitted
-on labelled rows, gives every document posteriors over the domains. Words that
+A naive Bayes classifier over the distinct hashed words of a document (lower-
+cased alphanumeric runs; tokens are split at white space), fitted on labelled rows, gives every document posteriors over the domains. Words that
 are as frequent in a domain as elsewhere, give or take chance, say nothing;
 without that rule the chance of hundreds of words outweighs the few that tell. Nonnegative rates per document are
 then fitted by projected-gradient least squares so that the expected tokens of
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import compute_once
-from .common import SPACE_CLASS, fresh, sample_bound, saved
+from .common import LOWER, NONALNUM_CLASS, SPACE_CLASS, UPPER, fresh, sample_bound, saved
 
 # Domains by their condition on a labelled row, and their default weights in
 # the mixture.
@@ -33,7 +33,7 @@ DOMAINS = (("good", "toxic = 0 AND quality = 1", 0.92),
 BUCKETS = 1 << 16            # hashed vocabulary
 MAX_LABELLED = 20_000        # labelled rows the classifier is fitted on
 PRIOR_COUNT = 5.0            # documents of each domain a bucket is taken to hold beforehand
-SIGMAS = 4                   # a bucket counts for a domain if its share lies so many standard errors off
+SIGMAS = 3                   # a bucket counts for a domain if its share lies so many standard errors off
 ROUNDS, PATIENCE, TOLERANCE = 60, 8, 1e-6
 
 
@@ -41,6 +41,12 @@ def _words(text: str) -> Column:
     return F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE_CLASS + "+"), "")
 
 
+def _terms(text: str) -> Column:
+    """The alphanumeric words, A-Z lower-cased, that the classifier looks at."""
+    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
+    return F.array_remove(F.split(low, NONALNUM_CLASS + "+"), "")
+
+
 def _bucket(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
 
@@ -60,7 +66,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     sample = known.where(F.xxhash64("_lid") < sample_bound(known.count(), max_labelled))
     # about max_labelled rows of two numbers
     rows = docs.select(F.col(doc_id).alias("_lid"), F.col(text).alias("_t")).join(F.broadcast(sample), "_lid")
-    counts = saved(rows.select("_domain", F.explode(F.array_distinct(F.transform(_words("_t"), _bucket))).alias("b"))
+    counts = saved(rows.select("_domain", F.explode(F.array_distinct(F.transform(_terms("_t"), _bucket))).alias("b"))
                        .groupBy("_domain", "b").agg(F.count(F.lit(1)).cast("double").alias("n")),
                    "counts")
     total = counts.agg(F.sum("n")).first()[0]
@@ -96,13 +102,13 @@ def with_posteriors(docs: DataFrame, model: DataFrame | None, text: str, out: st
     posteriors by domain). Texts without words have the priors; without a
     model, every posterior is the domain's weight."""
     idx = fresh(docs, "_idx")
-    df = compute_once(docs, **{idx: F.transform(_words(text), _bucket)})
-    tokens = F.size(idx).cast("bigint").alias("tokens")
+    df = compute_once(docs, **{idx: F.array_distinct(F.transform(_terms(text), _bucket))})
+    tokens = F.size(_words(text)).cast("bigint").alias("tokens")
     if model is None:
         p = F.array(*[F.lit(float(w)) for _, _, w in domains])
         return df.withColumn(out, F.struct(tokens, p.alias("p"))).drop(idx)
 
-    df = compute_once(df, **{out + "_d": F.array_distinct(idx), out + "_n": tokens}).drop(idx)
+    df = compute_once(df, **{out + "_d": F.col(idx), out + "_n": tokens}).drop(idx)
     fitted = model.first()   # BUCKETS numbers by domain; a constant of the plan
 
     def score(k: int) -> Column:

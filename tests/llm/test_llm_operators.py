@@ -442,6 +442,22 @@ def test_mixing_meets_targets_and_separates(sp):
     assert kept.columns == ["doc_id", "text", "rate", "_rate"] and kept.where("rate <> 'mine'").count() == 0
 
 
+def test_mixing_classifier_ignores_case_and_punctuation(sp):
+    rnd = random.Random(5)
+    plain, bad = [f"w{i}" for i in range(40)], [f"bad{i}" for i in range(6)]
+    forms = [str, str.upper, str.title, lambda w: w + ".", lambda w: f"({w})", lambda w: w.upper() + "!", lambda w: f'"{w}",']
+    rows, labels = [], []
+    for i in range(200):
+        worst = [forms[rnd.randrange(3 if i < 100 else 7)](w) for w in bad] if i % 4 == 0 else []
+        rows.append((i, " ".join(rnd.choices(plain, k=40) + worst)))
+        if i < 100:
+            labels.append((i, 1, int(i % 4 == 0)))
+    out = mixing.mixing_rates(sp.createDataFrame(rows, "doc_id bigint, text string"),
+                              sp.createDataFrame(labels, "doc_id bigint, quality int, toxic int")).collect()
+    assert all((r.p_toxic > 0.5) == (r.doc_id % 4 == 0) for r in out if r.doc_id >= 100)
+    assert all(r.n_tokens == len(dict(rows)[r.doc_id].split()) for r in out)
+
+
 def test_empty_tables(sp):
     none = sp.createDataFrame([], DOCS)
     labels = sp.createDataFrame([], "doc_id bigint, quality int, toxic int")
