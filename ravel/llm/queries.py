@@ -209,3 +209,21 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     from .url_filters import url_verdicts
     return url_verdicts(table(spark, sf_dir, "pages"))
+
+
+@register("op11_tokenizer_alignment")
+def _(spark, sf_dir):
+    from .alignment import alignment
+    return alignment(table(spark, sf_dir, "documents"))
+
+
+@register("op12_simhash_near_duplicates")
+def _(spark, sf_dir):
+    from .simhash import simhash_groups
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@register("op13_spelling_groups")
+def _(spark, sf_dir):
+    from .spelling import spelling_groups
+    return spelling_groups(table(spark, sf_dir, "documents"))
