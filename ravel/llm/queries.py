@@ -223,7 +223,47 @@ def _(spark, sf_dir):
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-@register("op13_spelling_groups")
+_SPELLING_SQL = r"""
+WITH RECURSIVE tab AS (SELECT [{table}]::UBIGINT[] AS t),
+runs AS (
+  SELECT d, run, count(*) AS c, hex(d || ':' || run) AS x FROM (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM documents, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS u(r) WHERE length(r) >= 5) y GROUP BY d, run),
+crc AS (
+  SELECT run, c, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(range(1, length(x) + 1, 2), lambda i: ('0x' || substring(x, i, 2))::UBIGINT)),
+    lambda a, y: xor(a >> 8, t[CAST(xor(a, y) & 255 AS BIGINT) + 1]))) AS h FROM runs, tab),
+v AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT c, CASE WHEN h % 97 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2)
+      ELSE run END AS word FROM crc) z
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(c) >= 3),
+cut AS (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS s FROM v, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS (
+  SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.s = b.s AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN v b ON a.s = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN v b ON a.s = b.word),
+best AS (
+  SELECT word, other, n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY n DESC, other) AS k FROM near),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * v.n THEN other END AS form,
+    CASE WHEN best.n >= 2 * v.n THEN best.n END AS form_n
+  FROM v LEFT JOIN best ON best.word = v.word AND k = 1),
+way AS (SELECT word, word AS at FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON f.word = way.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN way ON way.word = f.word JOIN f e ON e.word = way.at AND e.form IS NULL
+"""
+
+
+def _crc_table() -> list[int]:
+    """The table of the reflected CRC-32 by its polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+@register("op13_spelling_groups", _SPELLING_SQL.format(table=", ".join(map(str, _crc_table()))))
 def _(spark, sf_dir):
     from .spelling import spelling_groups
     return spelling_groups(table(spark, sf_dir, "documents"))
