@@ -20,7 +20,16 @@ SUGGESTION_CUT = 120
 ELLIPSIS = "…"
 STATUS_NAME = "Code Review Bot"
 STATUS_TEXT = "Score: {{score}}/100 · {{n}} issues"
+STATUS_STATES = {"pending": "running", "REQUEST_CHANGES": "failed"}   # any other decision: success
+PENDING_TEXT = "AI review in progress..."
 ISSUE_LINE = "• *{{title}}* in `{{path}}`{{line}}\n  {{text}}"
+PULL_URL = "https://github.com/{{repo}}/pull/{{number}}"
+CRITICAL_HEADLINE = "🔴 *Critical issues found in PR*\n*<{{url}}|{{repo}}#{{number}}: {{title}}>*"
+APPROVAL_HEADLINE = "✅ *PR auto-approved by Code Review Bot*\n*<{{url}}|{{repo}}#{{number}}: {{title}}>*"
+DROP_HEADLINE = "⚠️ *Quality score drop detected*\n*{{repo}}* quality score has fallen below the threshold."
+CRITICAL_DETAILS = "*Author*\n{{author}}\n*Quality Score*\n{{score}}/100\n*Critical Issues*\n{{n}}\n*Action*\nChanges requested"
+APPROVAL_DETAILS = "*Author*\n{{author}}\n*Quality Score*\n{{score}}/100 🏆"
+DROP_DETAILS = "*Current Score*\n{{cur}}/100\n*Previous Score*\n{{prev}}/100\n*Threshold*\n{{least}}/100\n*Change*\n{{change}} pts"
 # ------------------------------------------------------------ end fixed values
 
 
@@ -40,9 +49,18 @@ def _issue_line() -> Column:
     return render(ISSUE_LINE, title=F.col("title"), path=F.col("file_path"), line=line, text=text)
 
 
+def _pull_message(df: DataFrame, headline: str, details: str, **more: Column) -> DataFrame:
+    """Add url, headline and details of a message about a pull request."""
+    pull = {"repo": F.col("repo_full_name"), "number": F.col("pr_number")}
+    url = render(PULL_URL, **pull)
+    return (df.withColumn("url", url).withColumn("headline", render(headline, url=url, title=F.col("pr_title"), **pull))
+              .withColumn("details", render(details, author=F.col("author_login"), score=F.col("overall_score"), **more)))
+
+
 def alert_critical(reviews: DataFrame, comments: DataFrame) -> DataFrame:
     """One alert per review with critical comments: their number and the
-    first three as a text list (suggestions cut to 120 + '…')."""
+    first three as a text list (suggestions cut to 120 + '…'), with the
+    message's headline, details and link."""
     counts = (comments.where(F.col("severity") == "critical").groupBy("review_id")
               .agg(F.count(F.lit(1)).alias("critical_count")))
     first = top3_critical_per_review(comments).withColumn("_line", _issue_line())
@@ -50,14 +68,16 @@ def alert_critical(reviews: DataFrame, comments: DataFrame) -> DataFrame:
     lists = lists.select("review_id", F.array_join(F.transform("_l", lambda x: x["_line"]), "\n\n").alias("issue_list"))
     r = reviews.select(F.col("id").alias("review_id"), "repo_full_name", "pr_number", "pr_title", "author_login",
                        "overall_score")
-    return r.join(counts, "review_id").join(lists, "review_id").withColumn("kind", F.lit("critical"))
+    out = r.join(counts, "review_id").join(lists, "review_id").withColumn("kind", F.lit("critical"))
+    return _pull_message(out, CRITICAL_HEADLINE, CRITICAL_DETAILS, n=F.col("critical_count"))
 
 
 def alert_approval(decided_reviews: DataFrame) -> DataFrame:
-    """Approved reviews (``event`` = APPROVE)."""
-    return (decided_reviews.where(F.col("event") == "APPROVE")
-            .select(F.col("id").alias("review_id"), "repo_full_name", "pr_number", "pr_title", "author_login",
-                    "overall_score", F.lit("approval").alias("kind")))
+    """Approved reviews (``event`` = APPROVE), as messages."""
+    out = (decided_reviews.where(F.col("event") == "APPROVE")
+           .select(F.col("id").alias("review_id"), "repo_full_name", "pr_number", "pr_title", "author_login",
+                   "overall_score", F.lit("approval").alias("kind")))
+    return _pull_message(out, APPROVAL_HEADLINE, APPROVAL_DETAILS)
 
 
 def score_drop(reviews: DataFrame, period: str = "month", threshold: int = SCORE_DROP_THRESHOLD) -> DataFrame:
@@ -71,7 +91,10 @@ def score_drop(reviews: DataFrame, period: str = "month", threshold: int = SCORE
     return (per.where((F.col("current_score") < threshold) & (F.col("current_score") < F.col("previous_score")))
                .withColumn("change", F.col("current_score") - F.col("previous_score"))
                .withColumn("threshold", F.lit(threshold))
-               .withColumn("kind", F.lit("score_drop")))
+               .withColumn("kind", F.lit("score_drop"))
+               .withColumn("headline", render(DROP_HEADLINE, repo=F.col("repo_full_name")))
+               .withColumn("details", render(DROP_DETAILS, cur=F.col("current_score"), prev=F.col("previous_score"),
+                                             least=F.col("threshold"), change=F.col("change"))))
 
 
 def inline_predicate(line: str = "line_number", path: str = "file_path") -> Column:
@@ -80,13 +103,23 @@ def inline_predicate(line: str = "line_number", path: str = "file_path") -> Colu
     return (F.col(line).isNotNull() & (F.col(line) != 0) & F.col(path).isNotNull() & (F.col(path) != ""))
 
 
-def commit_status_records(decided: DataFrame) -> DataFrame:
-    """K4: commit status per review: failed for REQUEST_CHANGES, else success."""
-    return decided.select(
-        F.col("id").alias("review_id"), "head_sha",
-        F.when(F.col("event") == "REQUEST_CHANGES", "failed").otherwise("success").alias("state"),
-        F.lit(STATUS_NAME).alias("name"),
-        render(STATUS_TEXT, score=F.col("overall_score"), n=F.col("n_comments")).alias("description"))
+def commit_status_records(decided: DataFrame, dashboard_url: str = "") -> DataFrame:
+    """K4: commit status per finished review: failed for REQUEST_CHANGES, else
+    success. ``target_url`` is the review's page under ``dashboard_url``."""
+    state = F.coalesce(*[F.when(F.col("event") == e, s) for e, s in STATUS_STATES.items()], F.lit("success"))
+    return _statuses(decided.withColumn("state", state).withColumn(
+        "description", render(STATUS_TEXT, score=F.col("overall_score"), n=F.col("n_comments"))), dashboard_url)
+
+
+def pending_status_records(jobs: DataFrame, dashboard_url: str = "") -> DataFrame:
+    """K4: the status of a review that has begun."""
+    return _statuses(jobs.withColumn("state", F.lit(STATUS_STATES["pending"])).withColumn(
+        "description", F.lit(PENDING_TEXT)), dashboard_url)
+
+
+def _statuses(df: DataFrame, dashboard_url: str) -> DataFrame:
+    return df.select(F.col("id").alias("review_id"), "head_sha", "state", F.lit(STATUS_NAME).alias("name"), "description",
+                     F.concat(F.lit(f"{dashboard_url}/pr/"), F.col("pr_number").cast("string")).alias("target_url"))
 
 
 def inline_comment_records(comments: DataFrame, reviews: DataFrame) -> DataFrame:

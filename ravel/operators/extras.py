@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import JS_SPACE, col_, js_trim
 from .common import as_of_lit, compute_once, trailing_window
+from .components import connected_components, extended_components
 
 BLOCK = 1024    # members of a near-duplicate bucket on one side of a block
 
@@ -85,38 +86,35 @@ def author_and_size_metrics(reviews: DataFrame, comments: DataFrame) -> DataFram
              .agg(F.count(F.lit(1)).alias("reviews"), F.round(F.avg("overall_score"), 3).alias("avg_score")))
 
 
+def _grams(text: Column, k: int) -> Column:
+    """The 64-bit hashes of the ``k``-character grams of a text, as an array;
+    a text shorter than ``k`` is one gram. One pass splits the text into its
+    code points, and each further character is paired with them by position,
+    so the work grows with the length and not with its square."""
+    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+    grams = F.transform(chars, lambda c: F.xxhash64(c))
+    for i in range(1, k):
+        ahead = F.slice(chars, i + 1, F.size(chars))
+        grams = F.zip_with(F.slice(grams, 1, F.size(ahead)), ahead, lambda g, c: F.xxhash64(g, c))
+    return F.when(F.length(text) >= k, grams).otherwise(F.array(F.xxhash64(text)))
+
+
 def minhash_signatures(df: DataFrame, text: str, id_col: str, num_hashes: int = 64,
                        shingle: int = 5) -> DataFrame:
     """(id, sig): ``num_hashes`` MinHash values over the character
     ``shingle``-grams of the normalised text (a text shorter than a shingle is
-    one gram). The text is normalised once; grams are exploded and hashed by
-    generated code, then reduced with ``min`` per id — a partial aggregate on
-    a unique key, so it is combined before any shuffle and never skewed."""
+    one gram, a null text has no signature).
+
+    Grams are hashed once, by one pass over the text, and only their distinct
+    64-bit hashes are exploded; the values are minima of these, hashed again
+    by generated code and combined before any shuffle (ids are unique)."""
     base = compute_once(df.select(F.col(id_col).alias("id"), F.col(text).alias("_raw")), _t=normalized_text("_raw"))
-    n = F.greatest(F.length("_t") - (shingle - 1), F.lit(1))
-    grams = (base.select("id", "_t", F.explode(F.sequence(F.lit(1), n)).alias("_i"))
-                 .select("id", F.expr(f"substring(_t, _i, {int(shingle)})").alias("gram")))
+    grams = base.where(F.col("_t").isNotNull()).select("id", F.explode(F.array_distinct(_grams(F.col("_t"), int(shingle)))).alias("gram"))
     sig = grams.groupBy("id").agg(*[F.min(F.xxhash64(F.lit(seed), F.col("gram"))).alias(f"_h{seed}")
                                     for seed in range(num_hashes)])
     return sig.select("id", F.array(*[F.col(f"_h{seed}") for seed in range(num_hashes)]).alias("sig"))
 
 
-def _min_labels(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, label) with label = the smallest id of the component of ``edges`` (a, b)."""
-    und = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = ids.select("id", F.col("id").alias("label"))
-    while True:
-        nb = (und.join(labels.withColumnRenamed("id", "b"), "b")
-                 .groupBy(F.col("a").alias("id")).agg(F.min("label").alias("nl")))
-        new = (labels.join(nb, "id", "left")
-                     .select("id", F.least("label", F.coalesce("nl", "label")).alias("label"),
-                             (F.coalesce("nl", "label") < F.col("label")).alias("_chg"))).checkpoint()
-        changed = new.where("_chg").limit(1).count() > 0
-        labels = new.drop("_chg")
-        if not changed:
-            return labels
-
-
 def _block_links(least: int):
     """Links between members of different components in one block."""
     def compare(rows):
@@ -147,15 +145,20 @@ def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col:
     two signatures agree on at least ``min_similarity`` of their positions. In
     buckets that then hold several components, members of different ones are
     compared in blocks of bounded size, so any two texts that share a bucket
-    and agree end in one cluster. Components come from min-label propagation
-    until no label changes; every round cuts the lineage with ``checkpoint()``
-    in the shared folder."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)   # checkpoint() below cuts lineage there
+    and agree end in one cluster. Components are found in rounds whose number
+    grows with the logarithm of the longest chain; the links of the blocks only
+    extend those found before."""
+    from ..session import scratch_path
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(df.sparkSession, name)
+        rows.write.parquet(path)
+        return df.sparkSession.read.schema(rows.schema).parquet(path)
+
     k = bands * rows_per_band
     least = math.ceil(min_similarity * k)
-    full = minhash_signatures(df, text, id_col, k).checkpoint()
-    sig = full.groupBy("sig").agg(F.min("id").alias("id")).checkpoint()
+    full = stored(minhash_signatures(df, text, id_col, k), "signatures")
+    sig = stored(full.groupBy("sig").agg(F.min("id").alias("id")), "classes")
     keys = sig.select("id", F.posexplode(F.array(*[
         F.xxhash64(F.lit(b), F.slice("sig", b * rows_per_band + 1, rows_per_band)) for b in range(bands)]))
         .alias("band", "bucket"))
@@ -164,8 +167,10 @@ def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col:
     heads = keys.groupBy("band", "bucket").agg(F.min("id").alias("head"))      # combined map-side
     pairs = keys.join(heads, ["band", "bucket"]).where(F.col("id") != F.col("head")).select("id", "head").distinct()
     edges = (pairs.join(one, "id").join(two, "head").where(agree >= F.lit(least))
-                  .select(F.col("id").alias("a"), F.col("head").alias("b"))).checkpoint()
-    mine = keys.join(_min_labels(sig.select("id"), edges), "id").checkpoint()
+                  .select(F.col("id").alias("a"), F.col("head").alias("b")))
+    labels = connected_components(edges)
+    mine = stored(keys.join(labels.withColumnRenamed("component", "label"), "id", "left")
+                      .withColumn("label", F.coalesce("label", "id")), "buckets")
     mixed = (mine.groupBy("band", "bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
                  .where("low < high").select("band", "bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     rows = mine.join(mixed, ["band", "bucket"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
@@ -174,8 +179,8 @@ def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col:
     rows = rows.select("band", "bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"),
                        F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"),
                        F.col("id").cast("bigint").alias("id"), F.col("label").cast("bigint").alias("label"), "sig")
-    across = rows.groupBy("band", "bucket", "i", "j").applyInArrow(_block_links(least), "a bigint, b bigint").checkpoint()
-    labels = _min_labels(sig.select("id"), edges.unionByName(across))
+    across = rows.groupBy("band", "bucket", "i", "j").applyInArrow(_block_links(least), "a bigint, b bigint")
+    labels = extended_components(labels, across)
     member = full.join(sig.select("sig", F.col("id").alias("rep")), "sig").select("id", "rep")
-    return member.join(labels.select(F.col("id").alias("rep"), "label"), "rep").select(
-        F.col("id").alias(id_col), F.col("label").alias("cluster_id"))
+    return member.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
+        F.col("id").alias(id_col), F.coalesce("component", "rep").alias("cluster_id"))

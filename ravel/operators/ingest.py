@@ -54,6 +54,18 @@ def scan_reviews(spark: SparkSession, path: str | None = None, jdbc: dict | None
     return spark.read.parquet(path)
 
 
+RESPONSES_SCHEMA = T.StructType([
+    T.StructField("example_id", T.LongType(), False), T.StructField("model", T.StringType()),
+    T.StructField("expected_category", T.StringType()), T.StructField("raw_text", T.StringType()),
+    T.StructField("error", T.StringType())])
+
+
+def scan_model_responses(spark: SparkSession, path: str) -> DataFrame:
+    """The answers of the models that are compared, one folder per model
+    (``model=<name>``); a filter on the model reads its folder only."""
+    return spark.read.schema(RESPONSES_SCHEMA).parquet(path).select(*RESPONSES_SCHEMA.names)
+
+
 # --------------------------------------------------------- normalisation
 
 GITHUB_ACTIONS = ["opened", "synchronize"]

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.patterns import CATEGORIES, SEVERITIES
+from ..functions.render import render
 from .common import optional_eq, trailing_window
 
 # dashboard column names of the category counts (fixed values)
@@ -90,9 +91,9 @@ def pr_rollup(reviews: DataFrame, comments: DataFrame, limit: int = 20, offset:
     to the sizes met at run time."""
     r = optional_eq(reviews, "repo_full_name", repo).select(
         "id", "repo_full_name", "pr_number", "pr_title", "author_login", "overall_score",
-        "created_at")
+        "review_event", "summary", "created_at")
     page = recent_prs_page(r, limit, offset)
-    out = _rollup_for(page, comments)
+    out = _rollup_for(page, comments).withColumn("decision", decision_label("review_event"))
     return with_score_band(out).orderBy(F.col("created_at").desc(), F.col("id"))
 
 
@@ -198,9 +199,21 @@ def comments_by_severity_rank(df: DataFrame) -> DataFrame:
     return df.withColumn("severity_rank", severity_rank()).orderBy("severity_rank", "id")
 
 
+def log_level(status: str = "status"):
+    """≥ 500 ERROR, ≥ 400 WARN, else INFO."""
+    s = F.col(status)
+    return F.when(s >= 500, "ERROR").when(s >= 400, "WARN").otherwise("INFO")
+
+
+def log_lines(request_log: DataFrame) -> DataFrame:
+    """The line logged when a request is done, with its duration."""
+    line = render("[{{level}}] {{method}} {{url}} {{status}} {{duration}}ms ip={{ip}}", level=log_level(), method=F.col("method"),
+                  url=F.col("url"), status=F.col("status"), duration=F.col("duration_ms"), ip=F.col("client_key"))
+    return request_log.select("event_id", log_level().alias("level"), "duration_ms", line.alias("line"))
+
+
 def log_levels(request_log: DataFrame) -> DataFrame:
-    """≥ 500 ERROR, ≥ 400 WARN, else INFO, counted per level."""
-    s = F.col("status")
-    lvl = F.when(s >= 500, "ERROR").when(s >= 400, "WARN").otherwise("INFO")
-    return request_log.withColumn("level", lvl).groupBy("level").agg(F.count(F.lit(1)).alias("requests"))
+    """Requests per level, with their mean and longest duration."""
+    return request_log.withColumn("level", log_level()).groupBy("level").agg(
+        F.count(F.lit(1)).alias("requests"), F.round(F.avg("duration_ms"), 3).alias("avg_ms"), F.max("duration_ms").alias("max_ms"))
 

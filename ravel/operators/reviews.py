@@ -103,8 +103,8 @@ def _lenient_ok(x: Column) -> Column:
 def parse_review(df: DataFrame, text: str = "raw_text", bare_fence: bool = True) -> DataFrame:
     """X19 + X20: parse and validate a model answer.
 
-    Adds ``outcome``, ``overall_score``, ``summary``, ``comments`` (typed
-    array) and ``violations`` (array of rule codes, empty when valid)."""
+    Adds ``outcome``, ``overall_score`` (a double: only valid answers have a
+    whole number for sure), ``summary``, ``comments`` (typed array) and ``violations`` (array of rule codes, empty when valid)."""
     clean = strip_fences(F.col(text), bare_fence)
     d = compute_once(df, _v=parse_json_strict(clean))
     v = F.col("_v")
@@ -136,16 +136,16 @@ def parse_review(df: DataFrame, text: str = "raw_text", bare_fence: bool = True)
     typed_all = F.transform(arr, _typed_comment)
     typed_lenient = F.transform(F.filter(F.coalesce(arr, F.array().cast("array<variant>")), _lenient_ok),
                                 _typed_comment)
-    partial_score = F.when(obj & _present(score_t), F.try_variant_get(v, "$.overallScore", "bigint")) \
-                     .otherwise(F.lit(PARTIAL_SCORE).cast("bigint"))
+    # an answer that fails validation keeps the score it has, fraction and all
+    partial_score = F.when(obj & _present(score_t), score_d).otherwise(F.lit(PARTIAL_SCORE).cast("double"))
     partial_summary = F.when(obj & _present(summ_t), F.try_variant_get(v, "$.summary", "string")) \
                        .otherwise(F.lit(PARTIAL_SUMMARY))
     d = compute_once(d, outcome=outcome)
     o = F.col("outcome")
     return compute_once(
         d,
-        overall_score=F.when(o == "valid", score_d.cast("bigint"))
-                       .when(o == "unparsable", F.lit(UNPARSABLE_SCORE).cast("bigint"))
+        overall_score=F.when(o == "valid", score_d)
+                       .when(o == "unparsable", F.lit(UNPARSABLE_SCORE).cast("double"))
                        .when(o == "partial", partial_score),
         summary=F.when(o == "valid", F.try_variant_get(v, "$.summary", "string"))
                  .when(o == "unparsable", F.lit(UNPARSABLE_SUMMARY))
@@ -209,10 +209,16 @@ def format_summary(event: Column, score: Column, summary: Column, critical: Colu
     """Markdown summary with decision label and severity counts."""
     label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_LABELS.items() for x in kv]), event),
                        F.lit(DEFAULT_EVENT_LABEL))
-    return render(SUMMARY_TEMPLATE, label=label, score=score, summary=summary, critical=critical,
+    return render(SUMMARY_TEMPLATE, label=label, score=number_text(score), summary=summary, critical=critical,
                   other=total - critical)
 
 
+def number_text(c: Column) -> Column:
+    """A number as JavaScript prints it: no fraction where there is none."""
+    whole = c.cast("bigint")
+    return F.when(c == whole, whole.cast("string")).otherwise(c.cast("string"))
+
+
 REVIEW_KEY = ["repo_full_name", "pr_number", "head_sha"]
 
 
@@ -234,11 +240,13 @@ def upsert_reviews(existing: DataFrame | None, incoming: DataFrame, seq: str = "
     return agg.select(*REVIEW_KEY, "_first.*", "overall_score").select(*cols)
 
 
-def review_comment_rows(parsed: DataFrame, review_id: str = "review_id") -> DataFrame:
+def review_comment_rows(parsed: DataFrame, review_id: str = "review_id", created_at: Column | None = None) -> DataFrame:
     """K3: one stored-comment row per parsed comment (the write the reference
-    never does, Q6)."""
-    e = parsed.select(F.col(review_id).alias("review_id"), F.posexplode("comments").alias("pos", "c"))
-    return e.select("review_id", "pos",
+    never does, Q6). ``created_at``: the time of the write, now by default.
+    :func:`ravel.streaming.store.append_comments` gives ids and stores them."""
+    when = F.current_timestamp() if created_at is None else created_at
+    e = parsed.select(F.col(review_id).alias("review_id"), when.alias("created_at"), F.posexplode("comments").alias("pos", "c"))
+    return e.select("review_id", "pos", "created_at",
                     F.col("c.filePath").alias("file_path"), F.col("c.line").alias("line_number"),
                     F.col("c.category").alias("category"), F.col("c.severity").alias("severity"),
                     F.col("c.title").alias("title"), F.col("c.suggestion").alias("suggestion"),

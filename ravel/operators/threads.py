@@ -26,19 +26,17 @@ def merged_prs(pulls: DataFrame) -> DataFrame:
 
 def first_n_prs_per_repo(pulls: DataFrame, n: int = 200) -> DataFrame:
     """The ``n`` most recently updated merged PRs of each repo (ties by PR
-    number). Hot repos are ranked in salted sub-groups first."""
+    number). Each task sends at most ``n`` rows of a repo."""
     return top_n_per_group(merged_prs(pulls), ["repo"],
                            [F.col("updated_seq").desc(), F.col("pr_number")], n).drop("rn")
 
 
-def first_file_per_path(files: DataFrame, pos_col: str | None = None) -> DataFrame:
-    """J1 helper: one file record per (repo, pr, path). With a position column
-    the first one wins (``files.find``); otherwise the smallest patch text.
-    An aggregate, so a hot path is combined map-side."""
-    keys = ["repo", "pr_number", "path"]
-    if pos_col:
-        return files.groupBy(*keys).agg(F.min_by("patch", pos_col).alias("patch"))
-    return files.groupBy(*keys).agg(F.min("patch").alias("patch"))
+def first_file_per_path(files: DataFrame, pos_col: str = "pos") -> DataFrame:
+    """J1 helper: one file record per (repo, pr, path): the first in the
+    change's order. Its patch counts even if it is null and a later record of
+    the same path has one. An aggregate, so a hot path is combined map-side."""
+    first = F.min_by(F.struct("patch"), pos_col).alias("f")
+    return files.groupBy("repo", "pr_number", "path").agg(first).select("repo", "pr_number", "path", "f.patch")
 
 
 def comment_eligibility(comments: DataFrame) -> DataFrame:
@@ -52,8 +50,8 @@ def comment_eligibility(comments: DataFrame) -> DataFrame:
 
 
 def comment_file_join(comments: DataFrame, files: DataFrame) -> DataFrame:
-    """J1 + P5 (file rule): attach the comment's file by (repo, pr, path);
-    comments whose file is missing or has no patch are dropped."""
+    """J1 + P5 (file rule): attach the comment's file, the first of its path
+    in (repo, pr); comments whose file is missing or has no patch are dropped."""
     f = first_file_per_path(files).where(F.col("patch").isNotNull() & (F.col("patch") != ""))
     return comments.join(f, ["repo", "pr_number", "path"], "inner")
 
@@ -97,7 +95,8 @@ def collect_examples(pulls: DataFrame, comments: DataFrame, files: DataFrame,
            (F.col("line") if "line" in c.columns else F.lit(None).cast("int")).alias("comment_line"),
            F.col("author_ack"),
            falsy_to(F.col("reactions"), F.lit(0), kind="number").alias("reactions"),
-           (F.col("association") if "association" in c.columns else F.lit(None).cast("string")).alias("association")]
+           (F.col("association") if "association" in c.columns else F.lit(None).cast("string")).alias("association"),
+           (F.col("created_at") if "created_at" in c.columns else F.lit(None).cast("timestamp")).alias("created_at")]
     return c.select(*out)
 
 

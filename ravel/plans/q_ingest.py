@@ -51,8 +51,13 @@ def q_scan_strict(spark, d):
     return I.scan_jsonl_strict(spark, _write_lines(spark, d, False), RAW_SCHEMA).select("example_id", "repo", "author_ack")
 
 
-@register("scan_pr_dump", """SELECT 'pulls' AS name, count(*) AS n FROM pulls UNION ALL SELECT 'pr_files', count(*) FROM pr_files
-UNION ALL SELECT 'pr_comments', count(*) FROM pr_comments""")
+_DUMP = {"pulls": "coalesce(pr_title, '') || '/' || coalesce(pr_body, '')", "pr_files": "path || '/' || coalesce(patch, '')",
+         "pr_comments": "path || '/' || body"}
+
+
+@register("scan_pr_dump", " UNION ALL ".join(
+    f"SELECT '{k}' AS name, repo, pr_number, count(*) AS n, CAST(sum(length({t})) AS BIGINT) AS chars, min(md5({t})) AS least FROM {k} GROUP BY repo, pr_number"
+    for k, t in _DUMP.items()))
 def q_scan_dump(spark, d):
     folder = scratch_path(spark, "dump")
     for name, fn in (("pulls", V.pulls), ("pr_files", V.pr_files), ("pr_comments", V.pr_comments)):
@@ -60,7 +65,9 @@ def q_scan_dump(spark, d):
     dump = I.scan_pr_dump(spark, folder)
     out = None
     for name, df in dump.items():
-        part = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        text = F.expr(_DUMP[name])
+        part = df.groupBy("repo", "pr_number").agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.length(text)).alias("chars"), F.min(F.md5(text)).alias("least")).withColumn("name", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -72,34 +79,40 @@ def q_scan_reviews(spark, d):
     return I.scan_reviews(spark, path).select("id", "repo_full_name", "overall_score")
 
 
-@register("scan_model_responses", "SELECT example_id, model, error FROM responses")
+@register("scan_model_responses", "SELECT example_id, model, expected_category, raw_text, error FROM responses")
 def q_scan_responses(spark, d):
     path = scratch_path(spark, "responses")
-    V.responses(spark, d).write.parquet(path)
-    return spark.read.parquet(path).select("example_id", "model", "error")
+    V.responses(spark, d).write.partitionBy("model").parquet(path)
+    return I.scan_model_responses(spark, path)
 
 
-_GH = """SELECT 'github' AS provider, repo_full_name, pr_number, coalesce(nullif(body, ''), '') AS pr_body, author_login, event_id
+_GH = """SELECT 'github' AS provider, repo_full_name, pr_number, pr_title, coalesce(nullif(body, ''), '') AS pr_body, head_sha, base_sha,
+ author_login, installation_id, CAST(NULL AS BIGINT) AS project_id, event_id, ts
 FROM pr_events WHERE event_name = 'pull_request' AND action IN ('opened', 'synchronize')"""
-_GL = """SELECT 'gitlab' AS provider, repo_full_name, pr_number, coalesce(nullif(body, ''), '') AS pr_body, author_login, event_id
+_GL = """SELECT 'gitlab' AS provider, repo_full_name, pr_number, pr_title, coalesce(nullif(body, ''), '') AS pr_body, head_sha,
+ coalesce(base_sha, '') AS base_sha, author_login, CAST(NULL AS BIGINT) AS installation_id, project_id, event_id, ts
 FROM pr_events WHERE event_name = 'Merge Request Hook' AND action IN ('open', 'update', 'reopen')"""
-_JOB_COLS = ["provider", "repo_full_name", "pr_number", "pr_body", "author_login", "event_id"]
+
+
+def job_columns(jobs):
+    """All columns of the review jobs; times without a zone, as the tables have them."""
+    return jobs.select(*[F.col(c).cast("timestamp_ntz").alias(c) if c == "ts" else c for c in I.JOB_COLUMNS])
 
 
 @register("normalize_github_events", _GH)
 def q_norm_gh(spark, d):
-    return I.normalize_github_events(V.pr_events(spark, d)).select(*_JOB_COLS)
+    return job_columns(I.normalize_github_events(V.pr_events(spark, d)))
 
 
 @register("normalize_gitlab_events", _GL)
 def q_norm_gl(spark, d):
-    return I.normalize_gitlab_events(V.pr_events(spark, d)).select(*_JOB_COLS)
+    return job_columns(I.normalize_gitlab_events(V.pr_events(spark, d)))
 
 
 @register("normalize_by_provider", f"{_GH} UNION ALL {_GL}")
 def q_norm_any(spark, d):
     jobs, _quarantine = I.normalize_by_provider(V.pr_events(spark, d))
-    return jobs.select(*_JOB_COLS)
+    return job_columns(jobs)
 
 
 @register("unknown_provider_quarantine", """SELECT event_id, 'Unknown VCS provider: ' || coalesce(provider, 'undefined') AS reason

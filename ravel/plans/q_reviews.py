@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.text import JS_SPACE, sql_js_trim
 from ..operators import reports as R
 from ..operators import reviews as RV
+from ..session import scratch_path
 from ..sources import views as V
+from ..streaming import store as ST
 from .registry import register
 
 
@@ -57,9 +59,9 @@ p2 AS (SELECT *, j IS NOT NULL AND jt = 'OBJECT' AND {_int_sql('j', '$.overallSc
   OR coalesce(list_bool_or(list_transform(arr, lambda x: json_type(x) = 'NULL')), false)) AS quarantine FROM p1),
 parsed AS (SELECT example_id, model, expected_category, error, clean,
  CASE WHEN j IS NULL THEN 'unparsable' WHEN valid THEN 'valid' WHEN quarantine THEN 'quarantine' ELSE 'partial' END AS outcome,
- CASE WHEN j IS NULL THEN 70 WHEN valid THEN CAST(TRY_CAST(json_extract_string(j, '$.overallScore') AS DOUBLE) AS BIGINT)
-  WHEN quarantine THEN NULL WHEN jt = 'OBJECT' AND st IS NOT NULL AND st <> 'NULL' THEN TRY_CAST(json_extract_string(j, '$.overallScore') AS BIGINT)
-  ELSE 70 END AS overall_score,
+ CAST(CASE WHEN j IS NULL THEN 70 WHEN valid THEN TRY_CAST(json_extract_string(j, '$.overallScore') AS DOUBLE)
+  WHEN quarantine THEN NULL WHEN jt = 'OBJECT' AND st IS NOT NULL AND st <> 'NULL' THEN TRY_CAST(json_extract_string(j, '$.overallScore') AS DOUBLE)
+  ELSE 70 END AS DOUBLE) AS overall_score,
  CASE WHEN j IS NULL THEN 'Code Review Bot encountered an issue parsing the AI response. Manual review recommended.'
   WHEN valid THEN json_extract_string(j, '$.summary') WHEN quarantine THEN NULL
   WHEN jt = 'OBJECT' AND smt IS NOT NULL AND smt <> 'NULL' THEN json_extract_string(j, '$.summary')
@@ -173,7 +175,7 @@ ORACLE_FORMAT_SUMMARY = f"""WITH {PARSE_CTE}, s AS (SELECT *, CASE WHEN outcome
   CAST(len(items) AS BIGINT) AS n FROM parsed WHERE outcome <> 'quarantine'),
 e AS (SELECT *, CASE WHEN crit > 0 THEN 'REQUEST_CHANGES' WHEN overall_score >= 85 AND n <= 2 THEN 'APPROVE' ELSE 'COMMENT' END AS event FROM s)
 SELECT example_id, event, '## Code Review Bot — ' || CASE event WHEN 'APPROVE' THEN '✅ Approved' WHEN 'REQUEST_CHANGES' THEN '🔴 Changes requested'
- ELSE '💬 Reviewed' END || chr(10) || chr(10) || '**Quality Score: ' || coalesce(CAST(overall_score AS VARCHAR), 'null') || '/100**' || chr(10) || chr(10)
+ ELSE '💬 Reviewed' END || chr(10) || chr(10) || '**Quality Score: ' || coalesce(CASE WHEN overall_score = floor(overall_score) THEN CAST(CAST(overall_score AS BIGINT) AS VARCHAR) ELSE CAST(overall_score AS VARCHAR) END, 'null') || '/100**' || chr(10) || chr(10)
  || summary || chr(10) || chr(10) || '| Severity | Count |' || chr(10) || '|---|---|' || chr(10) || '| 🔴 Critical | ' || CAST(crit AS VARCHAR)
  || ' |' || chr(10) || '| Other | ' || CAST(n - crit AS VARCHAR) || ' |' AS summary_md FROM e"""
 
@@ -206,23 +208,37 @@ def q_rubric(spark, d):
 
 @register("upsert_reviews", """SELECT repo_full_name, pr_number, head_sha, arg_min(id, id) AS id, arg_min(pr_title, id) AS pr_title,
  arg_min(author_login, id) AS author_login, arg_min(provider, id) AS provider, arg_min(created_at, id) AS created_at,
- arg_max(overall_score, id) AS overall_score FROM reviews GROUP BY repo_full_name, pr_number, head_sha""")
+ arg_min(review_event, id) AS review_event, first(summary ORDER BY id) AS summary, arg_max(overall_score, id) AS overall_score FROM reviews GROUP BY repo_full_name, pr_number, head_sha""")
 def q_upsert(spark, d):
-    r = V.reviews(spark, d)
-    mid = r.agg(F.max("id") / 2).scalar()  # two batches; arrival order = id
-    half = r.where(F.col("id") <= mid)
-    rest = r.where(F.col("id") > mid)
-    first = RV.upsert_reviews(None, half)
-    return RV.upsert_reviews(first, rest)
-
-
-@register("sink_review_comments", f"""WITH {PARSE_CTE}
-SELECT example_id AS review_id, CAST(i - 1 AS INT) AS pos, json_extract_string(items[i], '$.filePath') AS file_path,
- json_extract_string(items[i], '$.category') AS category, json_extract_string(items[i], '$.severity') AS severity
-FROM parsed, range(1, CAST(coalesce(len(items), 0) + 1 AS BIGINT)) t(i) WHERE outcome IN ('valid', 'partial')""")
+    """K2 as a write: three overlapping batches are applied to the bucketed
+    table, one of them twice."""
+    r = V.reviews(spark, d).withColumn("created_at", F.col("created_at").cast("timestamp"))
+    lo, hi = r.agg(F.percentile_approx("id", [0.3, 0.7]).alias("q")).first()["q"]
+    path = scratch_path(spark, "reviews")
+    parts = [r.where(F.col("id") <= hi), r.where(F.col("id").between(lo, hi)), r.where(F.col("id") > lo)]
+    for batch_id, part in ((0, parts[0]), (1, parts[1]), (2, parts[2]), (2, parts[2])):
+        ST.apply_reviews(spark, path, part, batch_id, buckets=8)
+    return ST.stored_reviews(spark, path).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+@register("sink_review_comments", f"""WITH {PARSE_CTE},
+c AS (SELECT example_id AS review_id, CAST(i - 1 AS INT) AS pos, items[i] AS x
+ FROM parsed, range(1, CAST(coalesce(len(items), 0) + 1 AS BIGINT)) t(i) WHERE outcome IN ('valid', 'partial'))
+SELECT row_number() OVER (ORDER BY review_id, pos) AS id, review_id, pos, json_extract_string(x, '$.filePath') AS file_path,
+ CAST(json_extract_string(x, '$.line') AS BIGINT) AS line_number, json_extract_string(x, '$.category') AS category,
+ json_extract_string(x, '$.severity') AS severity, json_extract_string(x, '$.title') AS title,
+ json_extract_string(x, '$.suggestion') AS suggestion, json_extract_string(x, '$.codeExample') AS code_example,
+ TIMESTAMP '2024-05-01 12:00:00' AS created_at FROM c""")
 def q_sink_comments(spark, d):
+    """K3 as a write: two batches in order of the answers, the second one run
+    twice."""
     p = _parsed(spark, d).where(F.col("outcome").isin("valid", "partial"))
-    return RV.review_comment_rows(p, "example_id").select("review_id", "pos", "file_path", "category", "severity")
+    mid = V.responses(spark, d).agg(F.percentile_approx("example_id", 0.5)).first()[0]
+    path, now = scratch_path(spark, "comments"), F.expr("TIMESTAMP '2024-05-01 12:00:00'")
+    for batch_id, part in ((0, p.where(F.col("example_id") <= mid)), (1, p.where(F.col("example_id") > mid)),
+                           (1, p.where(F.col("example_id") > mid))):
+        ST.append_comments(spark, path, part, batch_id, review_id="example_id", created_at=now)
+    return ST.stored_comments(spark, path).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
 
 @register("constraint_not_null", """

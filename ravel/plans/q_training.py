@@ -26,7 +26,7 @@ def _first_n(n: int) -> str:
 
 _NIT = r"(?i)^" + JS_SPACE + r"*nit[:" + JS_SPACE[1:]
 _ELIGIBLE = (f"c.user_type <> 'Bot' AND length({sql_js_trim('c.body')}) >= 30 AND NOT regexp_matches(c.body, '{_NIT}')")
-_FILES = """ff AS (SELECT repo, pr_number, path, min(patch) AS patch FROM pr_files GROUP BY ALL)"""
+_FILES = """ff AS (SELECT repo, pr_number, path, first(patch ORDER BY pos) AS patch FROM pr_files GROUP BY repo, pr_number, path)"""
 _ACK = f"""ack AS (SELECT DISTINCT c.repo, c.pr_number, c.in_reply_to_id AS comment_id FROM pr_comments c
  JOIN pulls p ON p.repo = c.repo AND p.pr_number = c.pr_number
  WHERE c.in_reply_to_id IS NOT NULL AND c.user_login = p.author_login AND {S.rx('c.body', S.ACK)})"""
@@ -69,8 +69,10 @@ ack AS (SELECT DISTINCT c.repo, c.pr_number, c.in_reply_to_id AS comment_id FROM
  JOIN fn p ON p.repo = c.repo AND p.pr_number = c.pr_number
  WHERE c.in_reply_to_id IS NOT NULL AND c.user_login = p.author_login AND {S.rx('c.body', S.ACK)}),
 ex AS (SELECT c.repo, c.pr_number, c.comment_id, c.path AS file_path, substr(ff.patch, 1, 2000) AS patch, c.body AS review_comment,
- ack.comment_id IS NOT NULL AS author_ack, coalesce(nullif(c.reactions, 0), 0) AS reactions
+ ack.comment_id IS NOT NULL AS author_ack, coalesce(nullif(c.reactions, 0), 0) AS reactions, p.pr_title, substr(coalesce(p.pr_body, ''), 1, 500) AS pr_body,
+ c.line AS comment_line, c.association, c.created_at
  FROM pr_comments c JOIN fn ON fn.repo = c.repo AND fn.pr_number = c.pr_number
+ JOIN pulls p ON p.repo = c.repo AND p.pr_number = c.pr_number
  JOIN ff ON ff.repo = c.repo AND ff.pr_number = c.pr_number AND ff.path = c.path
  LEFT JOIN ack ON ack.repo = c.repo AND ack.pr_number = c.pr_number AND ack.comment_id = c.comment_id
  WHERE {_ELIGIBLE} AND ff.patch IS NOT NULL AND ff.patch <> '')"""
@@ -82,8 +84,7 @@ def _collect(spark, d):
 
 @register("project_raw_example", f"WITH {_COLLECT} SELECT * FROM ex")
 def q_project(spark, d):
-    return _collect(spark, d).select("repo", "pr_number", "comment_id", "file_path", "patch", "review_comment",
-                                     "author_ack", "reactions")
+    return _collect(spark, d)
 
 
 @register("examples_per_repo", f"WITH {_COLLECT} SELECT repo, count(*) AS n FROM ex GROUP BY ROLLUP (repo)")

@@ -27,6 +27,8 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'h' || o_orderstatus AS head_sha",
         "CAST(floor(o_totalprice) AS BIGINT) % 101 AS overall_score",
         "CASE WHEN o_orderkey % 3 = 0 THEN 'gitlab' ELSE 'github' END AS provider",
+        "CASE o_orderstatus WHEN 'F' THEN 'APPROVE' WHEN 'O' THEN 'REQUEST_CHANGES' ELSE 'COMMENT' END AS review_event",
+        "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 'Summary of ' || o_orderpriority END AS summary",
         "o_orderdate AS created_at",
     )
 
@@ -83,6 +85,8 @@ def pulls(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'closed' AS state",
         "CASE WHEN conv_id % 6 = 0 THEN NULL ELSE conv_id END AS merged_seq",
         "conv_id * 7919 % 1000 AS updated_seq",
+        "'Change ' || CAST(conv_id AS STRING) AS pr_title",
+        "CASE WHEN conv_id % 5 = 0 THEN NULL ELSE 'Adds part ' || CAST(conv_id AS STRING) || repeat(' and more', CAST(conv_id % 80 AS INT)) END AS pr_body",
     ).distinct()
 
 
@@ -98,6 +102,9 @@ def pr_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN (conv_id + turn) % 9 = 0 THEN 'nit: ' ELSE '' END || text "
         "|| CASE WHEN (conv_id + turn) % 4 = 0 THEN ' Good catch, fixed' ELSE '' END AS body",
         "CAST(turn % 4 AS INT) AS reactions",
+        "CASE WHEN turn % 5 = 4 THEN NULL ELSE CAST(turn * 3 + 1 AS INT) END AS line",
+        "CASE conv_id % 4 WHEN 0 THEN 'OWNER' WHEN 1 THEN 'MEMBER' WHEN 2 THEN 'NONE' ELSE 'CONTRIBUTOR' END AS association",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, CAST(conv_id AS INT), turn) AS created_at",
     )
 
 
@@ -105,10 +112,12 @@ def pr_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").selectExpr(
         "'org/r' || CAST(conv_id % 4 AS STRING) AS repo",
         "conv_id AS pr_number",
-        "'src/f' || CAST(conv_id % 7 AS STRING) || '.js' AS path",
-        "CASE WHEN conv_id % 9 = 0 THEN NULL ELSE '@@ -1 +1 @@' || chr(10) || '-old ' || CAST(conv_id AS STRING) "
+        "turn AS pos",
+        # several records of a path, so that the first and the smallest patch differ
+        "'src/f' || CAST((conv_id + CASE WHEN turn % 3 = 2 THEN 1 ELSE 0 END) % 7 AS STRING) || '.js' AS path",
+        "CASE WHEN (conv_id + turn) % 9 = 0 THEN NULL ELSE '@@ -1 +1 @@' || chr(10) || '-old ' || CAST(99 - turn AS STRING) "
         "|| chr(10) || '+new' || chr(10) || '+more' END AS patch",
-    ).distinct()
+    )
 
 
 def changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,15 +148,20 @@ def pr_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CAST(event_id % 400 AS INT) AS pr_number",
         "CASE WHEN event_id % 5 = 0 THEN NULL ELSE props END AS body",
         "'user_' || CAST(user_id AS STRING) AS author_login",
+        "CASE WHEN event_id % 8 = 0 THEN NULL ELSE 'Change ' || CAST(event_id AS STRING) END AS pr_title",
+        "'h' || CAST(event_id AS STRING) AS head_sha",
+        "CASE WHEN event_id % 6 = 0 THEN NULL ELSE 'b' || CAST(event_id % 1000 AS STRING) END AS base_sha",
+        "CASE WHEN event_id % 3 <> 0 THEN user_id * 10 END AS installation_id",
+        "CASE WHEN event_id % 3 = 0 THEN user_id * 10 + 1 END AS project_id",
     )
 
 
-# The twelve answer shapes, one per parser path (fixed values of the fixture);
+# The thirteen answer shapes, one per parser path (fixed values of the fixture);
 # @text stands for the document's whole text, escaped as in a JSON string.
 _ESCAPED = ("substr(to_json(named_struct('v', coalesce(text, ''))), 7, "
             "length(to_json(named_struct('v', coalesce(text, '')))) - 8)")
 _ANSWERS = (
-    "CASE doc_id % 12 WHEN 0 THEN 'not json at all: @text' WHEN 1 THEN '' "
+    "CASE doc_id % 13 WHEN 0 THEN 'not json at all: @text' WHEN 1 THEN '' "
     "WHEN 2 THEN '{\"overallScore\": 90, \"summary\": \"@text\", \"comments\": []}' "
     "WHEN 3 THEN '{\"overallScore\": 150, \"summary\": \"too high: @text\", \"comments\": []}' "
     "WHEN 4 THEN '```json' || chr(10) || '{\"overallScore\": 55, \"summary\": \"@text\", \"comments\": [{\"filePath\": \"a.py\", "
@@ -161,6 +175,7 @@ _ANSWERS = (
     "WHEN 9 THEN '{\"overallScore\": 88, \"summary\": \"@text\", \"comments\": []} trailing' "
     "WHEN 10 THEN '{\"summary\": \"no score: @text\", \"comments\": [{\"filePath\": \"c.py\", \"line\": null, \"category\": \"style\", "
     "\"severity\": \"info\", \"title\": \"@text\", \"suggestion\": \"@text\"}]}' "
+    "WHEN 12 THEN '{\"overallScore\": 72.5, \"summary\": \"@text\", \"comments\": []}' "
     "ELSE '{\"overallScore\": 86, \"summary\": \"@text\", \"comments\": [{\"filePath\": \"c.py\", \"line\": 9, "
     "\"category\": \"correctness\", \"severity\": \"warning\", \"title\": \"t\", \"suggestion\": \"@text Consider this method\", "
     "\"codeExample\": null}]}' END"
@@ -193,6 +208,9 @@ def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").selectExpr(
         "event_id", "ts", "'ip_' || CAST(user_id AS STRING) AS client_key",
         "CASE event_type WHEN 'error' THEN 500 WHEN 'signup' THEN 404 ELSE 200 END AS status",
+        "CASE WHEN event_id % 4 = 0 THEN 'POST' ELSE 'GET' END AS method",
+        "'/api/' || event_type AS url",
+        "CAST(floor(value * 10) AS BIGINT) AS duration_ms",
     )
 
 

@@ -25,12 +25,13 @@ Stream form — ``applyInPandasWithState`` keeps (count, window end) per key
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.common import running_count
 
+REQUEST_SCHEMA = "event_id long, ts timestamp, client_key string, status int"
 STREAM_SCHEMA = "event_id long, client_key string, window_count long, flagged boolean, retry_after long"
 
 
@@ -88,28 +89,33 @@ def rate_window_flags(requests: DataFrame, window_seconds: int = 60, limit: int
                       F.when(count > limit, retry).cast("long").alias("retry_after"))
 
 
+PIECE = 65_536      # rows of one frame that the state function gives
+
+
 def _process_key(window_us: int, limit: int):
-    """State function for ``applyInPandasWithState``: state = (count, end_us)."""
+    """State function for ``applyInPandasWithState``: state = (count, end_us).
+
+    Of a key's rows in a micro-batch only the times and ids are held, 16 bytes
+    a row; the source bounds the micro-batch (:func:`read_requests`), so a hot
+    key's share of it is bounded too. Results leave in pieces."""
     import numpy as np
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:          # T4: the window ended, forget the key
             state.remove()
             return
-        pdf = pd.concat(list(pdfs), ignore_index=True)
-        if pdf.empty:
+        held = [(f["ts"].astype("datetime64[us]").astype("int64").to_numpy(), f["event_id"].to_numpy(np.int64)) for f in pdfs]
+        tu, ids = (np.concatenate([h[i] for h in held]) for i in (0, 1)) if held else (np.empty(0, np.int64),) * 2
+        if not len(tu):
             return
-        pdf = pdf.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
-        tu = (pdf["ts"].astype("datetime64[us]").astype("int64")).to_numpy()
+        order = np.lexsort((ids, tu))
+        tu, ids = tu[order], ids[order]
         count, end = (state.get if state.exists else (0, -1))
-        counts = np.empty(len(tu), dtype="int64")
-        ends = np.empty(len(tu), dtype="int64")
+        counts, ends = np.empty(len(tu), np.int64), np.empty(len(tu), np.int64)
         i = 0
-        n = len(tu)
-        while i < n:
+        while i < len(tu):
             if end < 0 or tu[i] > end:       # open a new window at request i
-                end = int(tu[i]) + window_us
-                count = 0
+                count, end = 0, int(tu[i]) + window_us
             j = int(np.searchsorted(tu, end, side="right"))  # requests up to the window end
             counts[i:j] = np.arange(count + 1, count + 1 + (j - i))
             ends[i:j] = end
@@ -118,19 +124,31 @@ def _process_key(window_us: int, limit: int):
         state.update((int(count), int(end)))
         # a window may end before the watermark that this batch has set
         state.setTimeoutTimestamp(max(int(end // 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        flagged = counts > limit
-        retry = np.where(flagged, np.ceil((ends - tu) / 1_000_000.0), np.nan)
-        yield pd.DataFrame({
-            "event_id": pdf["event_id"].astype("int64"), "client_key": pdf["client_key"],
-            "window_count": counts, "flagged": flagged,
-            "retry_after": pd.array([None if np.isnan(x) else int(x) for x in retry], dtype="Int64")})
+        for i in range(0, len(tu), PIECE):
+            c = counts[i:i + PIECE]
+            wait = -((tu[i:i + PIECE] - ends[i:i + PIECE]) // 1_000_000)     # rounded up
+            yield pd.DataFrame({"event_id": ids[i:i + PIECE], "client_key": key[0], "window_count": c, "flagged": c > limit,
+                                "retry_after": pd.array(wait, dtype="Int64").copy()}).assign(
+                retry_after=lambda f: f["retry_after"].where(f["flagged"]))
     return fn
 
 
+def read_requests(spark: SparkSession, folder: str, max_bytes: str = "256m", max_files: int | None = None) -> DataFrame:
+    """The request log as a stream of JSON-lines files that arrive in time
+    order. A micro-batch takes at most ``max_bytes`` (or ``max_files`` files),
+    however much lies there, so no client's rows in it can outgrow that."""
+    r = spark.readStream.schema(REQUEST_SCHEMA).option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    r = r.option("maxFilesPerTrigger", max_files) if max_files else r.option("maxBytesPerTrigger", max_bytes)
+    return r.json(folder)
+
+
 def rate_window_stream(requests: DataFrame, window_seconds: int = 60, limit: int = 100) -> DataFrame:
     """T3 + T4 (stream): per-key state (count, window end), expired by an
-    event-time timeout when the window has ended."""
-    r = requests.withWatermark("ts", f"{int(window_seconds)} seconds")
+    event-time timeout when the window has ended. Requests that come later
+    than the watermark (one window behind the newest) are not judged; run with
+    ``late_path`` (:func:`ravel.streaming.streams.run_available`) their number
+    per batch is stored."""
+    r = requests.select("client_key", "event_id", "ts").withWatermark("ts", f"{int(window_seconds)} seconds")
     return r.groupBy("client_key").applyInPandasWithState(
         _process_key(int(window_seconds) * 1_000_000, int(limit)), STREAM_SCHEMA, "count long, end_us long",
         "append", GroupStateTimeout.EventTimeTimeout)

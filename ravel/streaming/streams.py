@@ -1,4 +1,5 @@
-"""Structured Streaming jobs (T1, T2, T5) and runners.
+"""Structured Streaming jobs (T1, T2) and runners; T5 is in :mod:`.trend`,
+T6/T7 in :mod:`.outbox`, tables that streams keep in :mod:`.store`.
 
 Sources are file streams with explicit schemas (a Kafka source plugs in the
 same way: parse ``value`` with ``from_json`` and the same schema). Each job
@@ -8,9 +9,13 @@ query resumes where it stopped; sinks are idempotent per micro-batch id.
 
 from __future__ import annotations
 
+import threading
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from ..operators.ingest import normalize_by_provider
 from ..operators.reviews import upsert_reviews
@@ -20,7 +25,9 @@ EVENT_SCHEMA = T.StructType([
     T.StructField("provider", T.StringType()), T.StructField("event_name", T.StringType()),
     T.StructField("action", T.StringType()), T.StructField("repo_full_name", T.StringType()),
     T.StructField("pr_number", T.IntegerType()), T.StructField("body", T.StringType()),
-    T.StructField("author_login", T.StringType())])
+    T.StructField("author_login", T.StringType()), T.StructField("pr_title", T.StringType()),
+    T.StructField("head_sha", T.StringType()), T.StructField("base_sha", T.StringType()),
+    T.StructField("installation_id", T.LongType()), T.StructField("project_id", T.LongType())])
 
 
 def read_event_stream(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
@@ -39,7 +46,13 @@ def stream_pr_events(events: DataFrame) -> DataFrame:
     return jobs
 
 
-def _write_batch(batch: DataFrame, batch_id: int, stream: str, path: str) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there something at ``path``, in whichever store it lies?"""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def write_batch(batch: DataFrame, batch_id: int, stream: str, path: str) -> None:
     """Store a micro-batch under its stream and batch id with dynamic
     partition overwrite: a batch run again replaces its own rows only."""
     (batch.withColumn("stream_id", F.lit(stream)).withColumn("batch_id", F.lit(batch_id).cast("long"))
@@ -47,14 +60,27 @@ def _write_batch(batch: DataFrame, batch_id: int, stream: str, path: str) -> Non
           .partitionBy("stream_id", "batch_id").parquet(path))
 
 
+def stored_batches(spark: SparkSession, path: str, but: tuple[str, int]) -> DataFrame | None:
+    """What :func:`write_batch` has stored, without one batch's rows; None
+    before the first rows."""
+    if not exists(spark, path):
+        return None
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException:     # batches without rows leave no file to take a schema from
+        return None
+    stream, batch_id = but
+    return stored.where((F.col("stream_id") != stream) | (F.col("batch_id") != batch_id))
+
+
 def routed_batch_writer(jobs_path: str, quarantine_path: str, stream: str = "events"):
     """T1 write side: ``foreachBatch`` function that stores the jobs of a
     batch, and in a second folder the events no provider is known for."""
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         jobs, quarantine = normalize_by_provider(batch)
-        _write_batch(jobs, batch_id, stream, jobs_path)
-        _write_batch(quarantine, batch_id, stream, quarantine_path)
+        write_batch(jobs, batch_id, stream, jobs_path)
+        write_batch(quarantine, batch_id, stream, quarantine_path)
         batch.unpersist()
     return write
 
@@ -74,27 +100,59 @@ def upsert_batch_writer(log_path: str, stream: str):
     and must not replace this one's rows."""
     def write(batch: DataFrame, batch_id: int) -> None:
         import time
-        _write_batch(batch.withColumn("applied_at", F.lit(time.time_ns())), batch_id, stream, log_path)
+        write_batch(batch.withColumn("applied_at", F.lit(time.time_ns())), batch_id, stream, log_path)
     return write
 
 
-def quality_trend_of(reviews: DataFrame) -> DataFrame:
-    """T5 read side: the daily trend of the stored reviews, each (repo, PR,
-    sha) counted once (the lowest id's day, the last score: K2)."""
-    return (reviews.groupBy(F.date_trunc("day", "created_at").alias("day"))
-                   .agg(F.round(F.avg("overall_score")).cast("long").alias("avg_score"),
-                        F.count(F.lit(1)).alias("pr_count")))
+class _Dropped(StreamingQueryListener):
+    """Rows that stateful operators of one query left out as too late, by batch id."""
+
+    def __init__(self):
+        self.run, self.rows, self.over = None, {}, threading.Event()
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        if self.run in (None, str(p.runId)):
+            n = sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+            self.rows[p.batchId] = max(n, self.rows.get(p.batchId, 0))
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        if self.run in (None, str(event.runId)):
+            self.over.set()
 
 
-def run_available(df: DataFrame, checkpoint: str, path: str | None = None, foreach_batch=None):
+def run_available(df: DataFrame, checkpoint: str, path: str | None = None, foreach_batch=None, mode: str = "append",
+                  late_path: str | None = None, stream: str = "stream"):
     """Run a streaming query over all currently available input and stop
     (``availableNow``). Rows go to ``foreach_batch``, or are appended to the
     Parquet folder ``path`` by the file sink, which commits each micro-batch
-    once."""
-    w = df.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    once. ``late_path``: a side table (stream_id, batch_id, late_rows) of the
+    rows that came after the watermark and were not counted."""
+    spark = df.sparkSession
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     w = w.foreachBatch(foreach_batch) if foreach_batch is not None else w.format("parquet").option("path", path)
-    q = w.start()
-    q.awaitTermination()
+    dropped = _Dropped() if late_path else None
+    if dropped:
+        spark.streams.addListener(dropped)
+    try:
+        q = w.start()
+        if dropped:
+            dropped.run = str(q.runId)
+        q.awaitTermination()
+        if dropped:
+            dropped.over.wait(60)
+            late = {b: n for b, n in dropped.rows.items() if n}
+            for b, n in late.items():
+                write_batch(spark.range(1).select(F.lit(n).cast("long").alias("late_rows")), b, stream, late_path)
+    finally:
+        if dropped:
+            spark.streams.removeListener(dropped)
     return q
 
 
