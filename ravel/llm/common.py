@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components, extended_components  # noqa: F401 (for the operators)
 from ..session import ensure_checkpoint_dir, scratch_path
 
 # Regexes over text: white-space separated words, and their separators.
@@ -84,36 +85,6 @@ def running_sum(lens: Column, chunk: int = 512) -> Column:
     return F.when(F.size(lens) <= chunk, run(lens)).otherwise(long_form(lens))
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) for every id of ``edges`` with component = the smallest
-    id reachable. Alternates large-star and small-star steps (each node points
-    its larger, then its smaller-or-equal, neighbours at the smallest one)
-    until the edge set stops changing; the number of rounds grows with the
-    logarithm of the diameter. Minima are combined map-side; each round is
-    checkpointed."""
-    ensure_checkpoint_dir(edges.sparkSession)
-    cur = (edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-                .where("u <> v").distinct().checkpoint())
-    mark = None
-    while True:
-        both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = (both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                     .where("u <> v").distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hooked = large.join(low, "u")
-        small = (hooked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-                 .unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        cur = small.checkpoint()
-        now = cur.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark or now[0] == 0:
-            break
-        mark = now
-    comp = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    roots = comp.select(F.col("component").alias("id"), "component").distinct()
-    return comp.unionByName(roots)
-
-
 def word_hashes(texts, lower: bool = False):
     """64-bit hashes of the white-space separated words of an Arrow array of
     texts (null: none), in order, and the offsets of each text's words. Words

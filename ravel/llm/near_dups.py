@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, fresh, mix64, saved, word_hashes
+from .common import connected_components, extended_components, fresh, mix64, saved, word_hashes
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
@@ -275,7 +275,7 @@ def linked_classes(classes: DataFrame, texts_of, percent: int) -> DataFrame:
     best = _sketched(pairs, busy, percent).groupBy("a").agg(F.min(F.struct("differ", "b")).alias("m"))
     tried = saved(best.select("a", "m.b"), "tried")
     links = _confirmed(tried, texts, percent)
-    labels = connected_components(links)
+    labels = saved(connected_components(links), "labels")
 
     mine = _labelled(buckets, labels)
     heads = mine.groupBy("bucket", "label").agg(F.min("key").alias("key"))
@@ -286,10 +286,9 @@ def linked_classes(classes: DataFrame, texts_of, percent: int) -> DataFrame:
              .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
              .join(tried, ["a", "b"], "left_anti"))
     more = saved(_sketched(pairs, busy, percent).select("a", "b"), "tried")
-    links = links.unionByName(_confirmed(more, texts, percent))
-    labels = connected_components(links)
+    labels = saved(extended_components(labels, _confirmed(more, texts, percent)), "labels")
 
-    return connected_components(links.unionByName(_across(buckets, labels, busy, texts, percent)))
+    return extended_components(labels, _across(buckets, labels, busy, texts, percent))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 85) -> DataFrame:
@@ -328,17 +327,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
     """One document of each group, that with the smallest id, with its own
     columns; of repeated rows, one."""
-    found = saved(near_duplicates(docs, doc_id, text, percent).where("kept"), "kept")
-    names = {c: fresh(docs, c) for c in ("_id", "_tkey", "_comp", "_n")}
-    once = found.where("doc_id IS NOT NULL").groupBy("doc_id", "tkey", "component_id").agg(F.count(F.lit(1)).alias("n"))
-    n = F.sum("n").over(Window.partitionBy("doc_id", "component_id"))
-    once = saved(once.select(F.col("doc_id").alias(names["_id"]), F.col("tkey").alias(names["_tkey"]),
-                             F.col("component_id").alias(names["_comp"]), n.alias(names["_n"])), "kept")
-    d = docs.withColumn(names["_id"], F.col(doc_id).cast("bigint")).withColumn(names["_tkey"], F.xxhash64(text))
+    found = saved(near_duplicates(docs, doc_id, text, percent).where("doc_id IS NOT NULL"), "found")
+    id_, key, comp = (fresh(docs, c) for c in ("_id", "_tkey", "_comp"))
+    # rows that go are few against those that stay, and known by id and text hash; a row without an id stays
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(id_), F.col("tkey").alias(key)).distinct()
+    kept = found.where("kept").select(F.col("doc_id").alias(id_), F.col("component_id").alias(comp), F.col("tkey").alias(key))
+    several = kept.groupBy(id_, comp).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_, comp)
+    again = saved(kept.distinct().join(several, [id_, comp], "left_semi"), "again")
+    d = docs.withColumn(id_, F.col(doc_id).cast("bigint")).withColumn(key, F.xxhash64(text))
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    mine = d.join(once, [names["_id"], names["_tkey"]])
-    out = mine.where(F.col(names["_n"]) == 1).select(*cols)
-    if not once.where(F.col(names["_n"]) > 1).isEmpty():
-        again = mine.where(F.col(names["_n"]) > 1).dropDuplicates([names["_id"], names["_comp"]])
-        out = out.unionByName(again.select(*cols))
-    return out.unionByName(docs.where(F.col(doc_id).isNull())) if not found.where("doc_id IS NULL").isEmpty() else out
+    if again.isEmpty():
+        return d.join(saved(gone, "gone"), [id_, key], "left_anti").select(*cols)
+    gone = saved(gone.unionByName(again.select(id_, key)).distinct(), "gone")
+    once = d.join(again, [id_, key]).dropDuplicates([id_, comp])
+    return d.join(gone, [id_, key], "left_anti").select(*cols).unionByName(once.select(*cols))
