@@ -149,12 +149,15 @@ def _distance(df: DataFrame) -> DataFrame:
                                    F.col("_z0") * F.col("_z0"))).drop(*[f"_z{i}" for i in range(len(VECTOR))])
 
 
-def mcd_fit(rows: DataFrame, key: str, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
-    """One row per ``key`` of ``rows`` (columns key and the vector): means and
-    Cholesky factor of the minimum covariance determinant estimate."""
+def mcd_fit(rows: DataFrame, key: str, coverage: float = COVERAGE, steps: int = STEPS, least: int = 1) -> DataFrame:
+    """One row per ``key`` of ``rows`` (columns key and the vector) with at
+    least ``least`` rows: means and Cholesky factor of the minimum covariance
+    determinant estimate. The rows are never dealt by key: the table of the
+    groups, stored and so of known size, is joined to them."""
     p, vs = len(VECTOR), [v for v, _, _ in VECTOR]
     inflate = coverage / chi2_cdf(chi2_quantile(coverage, p), p + 2)
-    mid = rows.groupBy(key).agg(*[F.percentile_approx(v, 0.5, 10000).alias(f"m{i}") for i, v in enumerate(vs)])
+    mid = saved(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *[
+        F.percentile_approx(v, 0.5, 10000).alias(f"m{i}") for i, v in enumerate(vs)]).where(F.col("_n") >= least).drop("_n"), "mcd")
     dev = rows.join(mid, key).groupBy(key).agg(
         *[F.first(f"m{i}").alias(f"m{i}") for i in range(p)],
         *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10000).alias(f"s{i}") for i, v in enumerate(vs)])
@@ -164,7 +167,7 @@ def mcd_fit(rows: DataFrame, key: str, coverage: float = COVERAGE, steps: int =
     for _ in range(steps):
         fit = saved(fit, "mcd")
         far = _distance(rows.join(fit, key)).select(key, *vs, "d2")
-        limit = far.groupBy(key).agg(F.percentile_approx("d2", coverage, 10000).alias("_limit"))
+        limit = saved(far.groupBy(key).agg(F.percentile_approx("d2", coverage, 10000).alias("_limit")), "mcd")
         fit = _cholesky(_moments(far.join(limit, key).where(F.col("d2") <= F.col("_limit")), key), inflate)
     return saved(fit, "mcd")
 
@@ -175,17 +178,18 @@ def judged(docs: DataFrame, counts: DataFrame, lang: str, source: str, tail: flo
     null_safe = [F.concat(F.when(F.col(c).isNull(), F.lit("n")).otherwise(F.lit("v")), F.coalesce(F.col(c), F.lit("")))
                  for c in (lang, source)]
     df = counts.withColumn("_lang", null_safe[0]).withColumn("_src", F.concat_ws("\n", *null_safe))
+    # one fit over both kinds of groups: a row counts for its language and for its language's source
     vec = df.where(F.col("n_words") >= MIN_WORDS).select(
-        "_lang", "_src", *[F.expr(e).cast("double").alias(v) for v, e, _ in VECTOR])
-    fit = vec.groupBy("_src").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_GROUP).select("_src")
-    by_source = mcd_fit(vec.join(fit, "_src", "left_semi").drop("_lang"), "_src")
-    small = vec.groupBy("_lang").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIN_GROUP).select("_lang")
-    by_lang = mcd_fit(vec.join(small, "_lang", "left_semi").drop("_src"), "_lang")
-    pars = [c for c in by_source.columns if c != "_src"]
-    df = (df.join(by_source, "_src", "left")
-            .join(by_lang.select("_lang", *[F.col(c).alias(f"_b_{c}") for c in pars]), "_lang", "left"))
-    df = df.select(*[c for c in df.columns if c not in pars and not c.startswith("_b_")],
-                   *[F.coalesce(c, f"_b_{c}").alias(c) for c in pars])
+        F.explode(F.array(F.concat(F.lit("l"), "_lang"), F.concat(F.lit("s"), "_src"))).alias("_key"),
+        *[F.expr(e).cast("double").alias(v) for v, e, _ in VECTOR])
+    fit = mcd_fit(vec, "_key", least=MIN_GROUP)
+    pars = [c for c in fit.columns if c != "_key"]
+    for name, kind, group in (("a", "s", "_src"), ("b", "l", "_lang")):
+        of = fit.where(F.substring("_key", 1, 1) == kind).select(
+            F.expr("substring(_key, 2)").alias(group), *[F.col(c).alias(f"_{name}_{c}") for c in pars])
+        df = df.join(of, group, "left")
+    df = df.select(*[c for c in df.columns if not c.startswith(("_a_", "_b_"))],
+                   *[F.coalesce(f"_a_{c}", f"_b_{c}").alias(c) for c in pars])
     enough = F.col("n_words") >= MIN_WORDS
     for v, e, _ in VECTOR:
         df = df.withColumn(v, F.when(enough, F.expr(e).cast("double")))
