@@ -200,7 +200,9 @@ def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     """``docs`` with the column ``rate`` (named so that it does not clash): how
     often a document is to be drawn. No document is left out here, for rates
     weigh and do not judge; one whose rate is 0 is not drawn."""
-    out = fresh(docs, "_mix")
+    out = "_mix"
+    while any(fresh(docs, out + x) != out + x for x in ("", "_n", "_d", "_e", "_s")):
+        out = "_" + out
     rows, r = mixed(docs, labels, out, doc_id, text, domains)
     name = fresh(docs, "rate")
     return rows.withColumn(name, r).drop(out)

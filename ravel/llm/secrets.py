@@ -102,7 +102,7 @@ def update_ledger(versions: DataFrame, ledger: str, text: str = "text", rules=RU
     """Scan the blobs of ``versions`` that the ledger lacks for these rules,
     append them, and return the ledger's (blob, spans) of this rule version."""
     spark, version = versions.sparkSession, rules_version(rules)
-    blobs = addressed(versions, text).select("_blob", "_text").dropDuplicates(["_blob"])
+    blobs = versions.select(address(F.col(text)).alias("_blob"), F.coalesce(F.col(text), F.lit("")).alias("_text")).dropDuplicates(["_blob"])
     seen = read_ledger(spark, ledger, version)
     if seen is not None:
         blobs = blobs.join(seen.select(F.col("blob").alias("_blob")), "_blob", "left_anti")
@@ -112,18 +112,18 @@ def update_ledger(versions: DataFrame, ledger: str, text: str = "text", rules=RU
     return read_ledger(spark, ledger, version)
 
 
-def addressed(versions: DataFrame, text: str = "text") -> DataFrame:
-    """``versions`` plus _text (null: empty) and _blob, the address of it."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return versions.withColumn("_text", t).withColumn("_blob", F.unhex(F.sha2("_text", 256)))
+def address(text: Column) -> Column:
+    """The address of a text (null: of the empty text)."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
 def with_findings(versions: DataFrame, ledger: str, out: str, text: str = "text", rules=RULES) -> DataFrame:
     """``versions`` plus the array column ``out`` of each row's spans."""
+    blob = fresh(versions, "_blob")
     found = (update_ledger(versions, ledger, text, rules).where(F.size("spans") > 0)
-             .dropDuplicates(["blob"]).select(F.col("blob").alias("_blob"), F.col("spans").alias(out)))
+             .dropDuplicates(["blob"]).select(F.col("blob").alias(blob), F.col("spans").alias(out)))
     empty = F.array().cast("array<struct<start:bigint,ord:int,end:bigint,kind:string>>")
-    return (addressed(versions, text).join(found, "_blob", "left").drop("_blob", "_text")
+    return (versions.withColumn(blob, address(F.col(text))).join(found, blob, "left").drop(blob)
             .withColumn(out, F.coalesce(out, empty)))
 
 

@@ -479,3 +479,37 @@ def test_very_long_text(sp):
     assert {r.n_repeat_words for r in quality.quality_report(df).collect()} == {0}
     assert decontamination.contamination(df, df.select(F.col("doc_id").alias("item_id"), F.substring("text", 9, 90).alias("text"))
                                          ).where("n_hit > 10").count() == 2
+
+
+def test_clashing_columns_of_every_kind(sp):
+    """Columns of the names that operators use inside stay as they are."""
+    names = ["_text", "_blob", "_mix", "_mix_d", "_mix_n", "_mix_e", "_mix_s", "_found", "_id", "_tkey", "_comp", "_row", "_lang", "_src", "_key", "rate"]
+    rows = [(i, f"plain words number {i} and some more of them to read password=abcdefgh{i}", "en", "s", None) for i in range(12)]
+    rows += [(20, None, None, None, None), (21, "", "en", "s", 0), rows[0]]
+    d = sp.createDataFrame(rows, DOCS).withColumns({n: F.concat(F.lit(n), F.col("doc_id")) for n in names})
+    labels = sp.createDataFrame([(0, 1, 0), (1, 0, 1)], "doc_id bigint, quality int, toxic int")
+    bench = sp.createDataFrame([(1, "nothing of the kind")], "item_id bigint, text string")
+    for out in (secrets.redact(d, scratch_path(sp, "ledger")), mixing.mix(d, labels), quality.keep_good(d),
+                near_dups.drop_near_duplicates(d), decontamination.drop_contaminated(d, bench)):
+        assert out.columns[:len(d.columns)] == d.columns
+        assert out.where(" OR ".join(f"`{n}` <> concat('{n}', doc_id)" for n in names)).count() == 0
+
+
+def test_substring_dedup_many_equal_rows(sp):
+    """Rows of one id and text, or without an id, cost no more than their number."""
+    text = " ".join(f"w{i}" for i in range(60))
+    d = sp.createDataFrame([(None, text, "en", "s", None)] * 300 + [(7, text, "en", "s", None)] * 300 + [(8, "other", "en", "s", None)], DOCS).repartition(6)
+    runs = substrings.repeated_windows(d.select(F.coalesce("doc_id", F.lit(-1).cast("bigint")).alias("k1"), F.xxhash64("text").alias("k2"), "text"))
+    got = Counter(tuple(r) for r in substrings.substring_dedup(d).collect())
+    gone = (60, 60, hashlib.sha256(b"").hexdigest())
+    assert got == Counter({(None, *gone): 300, (7, *gone): 300, (8, 1, 0, hashlib.sha256(b"other").hexdigest()): 1})
+    assert runs.distinct().count() <= 2 * 60
+
+
+def test_near_duplicates_of_one_id(sp):
+    """Repeated rows and several texts of one id, which is one document, leave one row of it."""
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base), (1, base), (1, base + " more"), (1, "something else entirely here"), (2, base), (None, base), (None, base)]
+    d = sp.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).repartition(3)
+    kept = Counter(r.doc_id for r in near_dups.drop_near_duplicates(d).collect())
+    assert kept == Counter({1: 1, None: 2})
