@@ -271,7 +271,7 @@ def repeated_windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     spans = saved(spans.where(repeated).select("k1", "k2", "start", "n", again.alias("done"), probe.alias("probe"))
                   .where("done OR probe"), "spans")
 
-    probes = spans.where("probe").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("probes"))
+    probes = spans.where("probe").groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("probes"))
     rows = (docs.join(probes, ["k1", "k2"]).select("k1", "k2", "text", "probes")
                 .mapInArrow(_window_rows(width), "k1 bigint, k2 bigint, meet bigint, start int, known boolean"))
     alone = F.when(F.col("meet").isNull(), F.xxhash64("k1", "k2", "start")).otherwise(F.col("meet"))
@@ -293,7 +293,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     F.coalesce(F.col(doc_id).cast("bigint"), F.lit(-1)).alias("k1"),
                     F.xxhash64(F.col(text), F.col(doc_id).isNull()).alias("k2"))
     runs = repeated_windows(d.select("k1", "k2", "text"), width)
-    found = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "n")).alias("found"))
+    found = runs.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "n")).alias("found"))
     both = d.join(found, ["k1", "k2"], "left").select("doc_id", "text", "found")
     schema = docs.select(F.col(doc_id).alias("doc_id")).schema["doc_id"].dataType.simpleString()
     return both.mapInArrow(_remover(width), f"doc_id {schema}, n_words bigint, n_removed bigint, kept_sha256 string")
