@@ -7,14 +7,17 @@ every request counts; requests beyond ``limit`` in a window are flagged with
 
 Batch form — exact and distributed, no per-key group in one task:
 
-* at most one window can start inside any ``window``-long time block;
-* positions and "first request after t + window" come from hot-key-safe
-  running counts (:func:`running_count`);
-* the chain of window starts from each key's first request is found by
-  pointer doubling: ``jump_{i+1} = jump_i ∘ jump_i`` and
-  ``starts ∪= jump_i(starts)``, log₂(max windows per key) rounds of equi-joins
-  on the unique (key, position); lineage is cut with ``checkpoint()`` (in the
-  shared ``spark.checkpoint.dir``) every round;
+* time is cut into blocks of one window's length; requests are sorted and
+  numbered inside a (key, block), and everything that spans blocks comes from
+  the table of blocks (first and last time and number of requests of each);
+* a gap longer than the window always starts a new window, so it cuts a key's
+  log into pieces; a piece no longer than one window is that window;
+* only in longer pieces must the chain of window starts be followed. At most
+  one window starts in a block. "The first request after t + window" lies behind
+  the requests of t's block and those of the next block up to t + window, and
+  pointer doubling over it (``jump_{i+1} = jump_i ∘ jump_i``,
+  ``starts ∪= jump_i(starts)``) reaches all starts in log₂(windows of a piece)
+  rounds of equi-joins; each round is written to the scratch folder once;
 * a request belongs to the start in its own block or in the previous one.
 
 Stream form — ``applyInPandasWithState`` keeps (count, window end) per key
@@ -25,11 +28,11 @@ Stream form — ``applyInPandasWithState`` keeps (count, window end) per key
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.common import running_count
+from ..session import scratch_path
 
 REQUEST_SCHEMA = "event_id long, ts timestamp, client_key string, status int"
 STREAM_SCHEMA = "event_id long, client_key string, window_count long, flagged boolean, retry_after long"
@@ -39,54 +42,86 @@ def _epoch_us(c):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """``df`` written to the scratch folder and read again, and its rows."""
+    spark, path, seen = df.sparkSession, scratch_path(df.sparkSession, name), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
+def _blocks(r: DataFrame, w_us: int) -> DataFrame:
+    """One row per (k, blk): piece (its first block), before (requests of the
+    piece in earlier blocks), here (requests in the block), and of the piece
+    its first time, its number of requests and whether it is one window."""
+    per = r.groupBy("k", "blk").agg(F.min("tu").alias("lo"), F.max("tu").alias("hi"), F.count(F.lit(1)).alias("here"))
+    order = Window.partitionBy("k").orderBy("blk")         # one row per block that has requests
+    prev = F.lag("hi").over(order)
+    per = per.withColumn("new", prev.isNull() | (F.col("lo") - prev > w_us))
+    per = per.withColumn("piece", F.max(F.when(F.col("new"), F.col("blk"))).over(order))
+    inside = Window.partitionBy("k", "piece")
+    before = F.sum("here").over(inside.orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))
+    return per.select("k", "blk", "piece", "here", F.coalesce(before, F.lit(0)).alias("before"),
+                      F.min("lo").over(inside).alias("first_us"), F.sum("here").over(inside).alias("size"),
+                      (F.max("hi").over(inside) - F.min("lo").over(inside) <= w_us).alias("single"))
+
+
+def _starts(nodes: DataFrame) -> DataFrame:
+    """(k, piece, pos) of the window starts of pieces whose requests
+    (k, piece, pos, nxt) point at the first request after their window."""
+    key = ["k", "piece"]
+    jump, _ = _stored(nodes.where("nxt IS NOT NULL").select(*key, F.col("pos").alias("src"), F.col("nxt").alias("dst")), "jumps")
+    starts, n = nodes.where("pos = 1").select(*key, "pos"), 1
+    while n:   # each round doubles the jumps
+        add = starts.withColumnRenamed("pos", "src").join(jump, [*key, "src"]).select(*key, F.col("dst").alias("pos"))
+        starts, _ = _stored(starts.unionByName(add).distinct(), "starts")
+        further = jump.select(*key, F.col("src").alias("dst"), F.col("dst").alias("to"))
+        jump, n = _stored(jump.join(further, [*key, "dst"]).select(*key, "src", F.col("to").alias("dst")), "jumps")
+    return starts
+
+
 def rate_window_flags(requests: DataFrame, window_seconds: int = 60, limit: int = 100,
                       key: str = "client_key", time_col: str = "ts", id_col: str = "event_id") -> DataFrame:
-    """T3 (batch). See the module docstring."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(requests.sparkSession)   # checkpoint() below cuts lineage there
+    """T3 (batch). See the module docstring. A request without a key, or
+    without a time, belongs to no window and is left out."""
     w_us = int(window_seconds) * 1_000_000
     r = requests.select(F.col(key).alias("k"), F.col(time_col).alias("t"), F.col(id_col).alias("id"))
-    r = r.withColumn("tu", _epoch_us("t"))
-    # 1. positions (1-based) per key and, per request, the first position after t + window
-    req = r.select("k", "t", "tu", "id", F.lit(0).alias("probe"), F.lit(1).alias("w"))
-    prb = r.select("k", (F.col("t") + F.make_dt_interval(secs=F.lit(float(window_seconds)))).alias("t"),
-                   "tu", "id", F.lit(1).alias("probe"), F.lit(0).alias("w"))
-    u = running_count(req.unionByName(prb), ["k"], "t", [F.col("probe"), F.col("id")], "w", "cnt")
-    pos = u.where("probe = 0").select("k", "id", "t", "tu", F.col("cnt").alias("pos"))
-    nxt = u.where("probe = 1").select("k", "id", (F.col("cnt") + 1).alias("nxt"))
-    nodes = pos.join(nxt, ["k", "id"])
-    n_per_key = nodes.groupBy("k").agg(F.max("pos").alias("n"))
-    nodes = nodes.join(n_per_key, "k").withColumn(
-        "nxt", F.when(F.col("nxt") <= F.col("n"), F.col("nxt"))).drop("n").checkpoint()
-    # 2. pointer doubling from position 1 of every key
-    jump = nodes.select("k", F.col("pos").alias("src"), F.col("nxt").alias("dst"))
-    starts = nodes.where("pos = 1").select("k", "pos")
-    while True:   # each round doubles the jumps: at most log2(windows of a key) rounds
-        add = (starts.alias("s").join(jump.alias("j"), (F.col("s.k") == F.col("j.k")) & (F.col("s.pos") == F.col("j.src")))
-                     .where(F.col("j.dst").isNotNull()).select(F.col("s.k").alias("k"), F.col("j.dst").alias("pos")))
-        starts = starts.unionByName(add).distinct().checkpoint()
-        j2 = jump.alias("a").join(jump.alias("b"), (F.col("a.k") == F.col("b.k")) & (F.col("a.dst") == F.col("b.src")),
-                                  "left")
-        jump = j2.select(F.col("a.k").alias("k"), F.col("a.src").alias("src"), F.col("b.dst").alias("dst")).checkpoint()
-        if jump.where(F.col("dst").isNotNull()).limit(1).count() == 0:
-            break
-    # 3. each request → its window start (own block or previous block)
-    st = starts.join(nodes.select("k", "pos", "t", "tu"), ["k", "pos"]).select(
-        "k", F.col("pos").alias("spos"), F.col("t").alias("st"), F.col("tu").alias("stu"),
-        F.floor(F.col("tu") / w_us).alias("blk"))
-    q = nodes.withColumn("blk", F.floor(F.col("tu") / w_us))
-    own = q.join(st, ["k", "blk"]).where(F.col("spos") <= F.col("pos"))
-    prev = (q.withColumn("blk", F.col("blk") - 1).join(st, ["k", "blk"])
-             .where((F.col("spos") <= F.col("pos")) & (F.col("tu") <= F.col("stu") + w_us)))
-    cand = own.unionByName(prev)
-    best = cand.groupBy("k", "id").agg(F.max_by(F.struct("spos", "st", "stu"), "spos").alias("s"))
-    out = nodes.join(best, ["k", "id"])
-    count = F.col("pos") - F.col("s.spos") + 1
-    retry = F.ceil((F.col("s.stu") + w_us - F.col("tu")) / 1_000_000.0)
-    return out.select(F.col("id").alias("event_id"), F.col("k").alias("client_key"), F.col("t").alias("ts"),
-                      F.col("s.st").alias("window_start"), count.cast("long").alias("window_count"),
-                      (count > limit).alias("flagged"),
-                      F.when(count > limit, retry).cast("long").alias("retry_after"))
+    r = r.where("k IS NOT NULL AND t IS NOT NULL").withColumn("tu", _epoch_us("t")).withColumn("blk", F.floor(F.col("tu") / w_us))
+    blocks, _ = _stored(_blocks(r, w_us), "blocks")
+    local = F.row_number().over(Window.partitionBy("k", "blk").orderBy("tu", "id"))
+    placed = r.withColumn("n", local).join(blocks, ["k", "blk"]).withColumn("pos", F.col("before") + F.col("n"))
+
+    def judged(df: DataFrame) -> DataFrame:
+        """Over spos and stu, the position and time of the window's start."""
+        count = F.col("pos") - F.col("spos") + 1
+        retry = F.ceil((F.col("stu") + w_us - F.col("tu")) / 1_000_000.0)
+        start = F.col("t") - F.make_dt_interval(secs=((F.col("tu") - F.col("stu")) / 1_000_000.0).cast("decimal(18,6)"))
+        return df.select(F.col("id").alias("event_id"), F.col("k").alias("client_key"), F.col("t").alias("ts"),
+                         start.alias("window_start"), count.cast("long").alias("window_count"),
+                         (count > limit).alias("flagged"), F.when(count > limit, retry).cast("long").alias("retry_after"))
+
+    single = judged(placed.where("single").withColumn("spos", F.lit(1)).withColumn("stu", F.col("first_us")))
+    rest, n = _stored(placed.where("NOT single").select("k", "blk", "piece", "pos", "t", "tu", "id", "size",
+                                                        (F.col("before") + F.col("here")).alias("through")), "pieces")
+    if not n:
+        return single
+    # of the next block, the requests up to t + window: each probe is sorted among them
+    probe = rest.select("k", (F.col("blk") + 1).alias("blk"), (F.col("tu") + w_us).alias("tu"), "piece", "pos", "through", "size",
+                        F.lit(0).alias("weight"))
+    real = rest.select("k", "blk", "tu", F.lit(None).cast("bigint").alias("piece"), F.lit(None).cast("bigint").alias("pos"),
+                       F.lit(None).cast("bigint").alias("through"), F.lit(None).cast("bigint").alias("size"), F.lit(1).alias("weight"))
+    upto = Window.partitionBy("k", "blk").orderBy("tu", F.col("weight").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    nxt = F.col("through") + F.col("passed") + 1
+    nodes = (real.unionByName(probe).withColumn("passed", F.sum("weight").over(upto)).where("weight = 0")
+                 .select("k", "piece", "pos", F.when(nxt <= F.col("size"), nxt).alias("nxt")))
+    starts = _starts(nodes).join(rest.select("k", "piece", "pos", "blk", "tu"), ["k", "piece", "pos"]).select(
+        "k", "blk", F.col("pos").alias("spos"), F.col("tu").alias("stu"))
+    here = rest.join(starts, ["k", "blk"]).where(F.col("spos") <= F.col("pos"))
+    prev = (rest.withColumn("blk", F.col("blk") - 1).join(starts, ["k", "blk"])
+                .where((F.col("spos") <= F.col("pos")) & (F.col("tu") <= F.col("stu") + w_us)))
+    # a request has one start, its own block's if that lies before it; so both kinds never meet but there
+    best = (here.select("k", "piece", "pos", "spos", "stu").unionByName(prev.select("k", "piece", "pos", "spos", "stu"))
+                .groupBy("k", "piece", "pos").agg(F.max("spos").alias("spos"), F.max("stu").alias("stu")))
+    return single.unionByName(judged(rest.join(best, ["k", "piece", "pos"])))
 
 
 PIECE = 65_536      # rows of one frame that the state function gives
