@@ -8,6 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..session import scratch_path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared scratch folder and read again: what is
+    costly and read several times is computed once, lineage is cut, and lost
+    executors take nothing with them."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def as_of_lit(df: DataFrame, col: str, as_of: str) -> Column:
     """``as_of`` typed like ``df[col]`` (timestamp or timestamp_ntz)."""
     return F.lit(as_of).cast(df.schema[col].dataType)
@@ -56,8 +68,9 @@ def global_position(df: DataFrame, key: Column, tie: list[Column], prefix_len: i
     prefix (16**prefix_len groups, a small table whose running sums give each
     group's offset), then numbered inside their group only — no window over
     the whole input in one task. ``total_col`` adds the row count, taken
-    from the same small table (no extra pass over the input)."""
-    df = df.withColumn("_k", key).withColumn("_g", F.substring("_k", 1, prefix_len))
+    from the same small table (no extra pass over the input). The input is
+    read twice, so it is stored first: whatever made it is computed once."""
+    df = stored(df.withColumn("_k", key), "positions").withColumn("_g", F.substring("_k", 1, prefix_len))
     counts = df.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_g", F.coalesce(F.sum("_n").over(wo), F.lit(0)).alias("_off"),

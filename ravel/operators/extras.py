@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import JS_SPACE, col_, js_trim
-from .common import as_of_lit, compute_once, trailing_window
+from .common import as_of_lit, compute_once, stored, trailing_window
 from .components import connected_components, extended_components
 
 BLOCK = 1024    # members of a near-duplicate bucket on one side of a block
@@ -148,13 +148,6 @@ def near_duplicate_clusters(df: DataFrame, text: str = "review_comment", id_col:
     and agree end in one cluster. Components are found in rounds whose number
     grows with the logarithm of the longest chain; the links of the blocks only
     extend those found before."""
-    from ..session import scratch_path
-
-    def stored(rows: DataFrame, name: str) -> DataFrame:
-        path = scratch_path(df.sparkSession, name)
-        rows.write.parquet(path)
-        return df.sparkSession.read.schema(rows.schema).parquet(path)
-
     k = bands * rows_per_band
     least = math.ceil(min_similarity * k)
     full = stored(minhash_signatures(df, text, id_col, k), "signatures")

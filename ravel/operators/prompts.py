@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.render import render
-from .common import running_count, top_n_per_group
+from .common import running_count, stored, top_n_per_group
 
 # ---------------------------------------------------------------- fixed values
 MAX_FILES = 15
@@ -134,12 +134,14 @@ def recent_issue_context(jobs: DataFrame, files: DataFrame, reviews: DataFrame,
          .withColumn("w", (F.col("kind") == 1).cast("long")))
     # comments of equal time are numbered by id descending, so that the
     # highest numbers are the newest and, among equal times, the lowest ids
-    u = running_count(u, ["repo", "path"], "t", [F.col("kind"), F.col("ref").desc()], "w", "k")
+    # the numbered events are stored: three tables are read from them
+    u = stored(running_count(u, ["repo", "path"], "t", [F.col("kind"), F.col("ref").desc()], "w", "k")
+               .select("repo", "path", "kind", "ref", "t", "k", "category", "suggestion"), "numbered")
     cm = u.where(F.col("kind") == 1).select("repo", "path", F.col("k").alias("cnum"), F.col("ref").alias("comment_id"),
                                             F.col("t").alias("comment_at"), "category", "suggestion")
-    hi = u.where(F.col("kind") == 0).select("repo", "path", F.col("ref").alias("pr_id"), F.col("k").alias("k_hi"))
-    old = u.where(F.col("kind") == 2).select("repo", "path", F.col("ref").alias("pr_id"), F.col("k").alias("k_lo"))
-    rng = hi.join(old, ["repo", "path", "pr_id"]).where(F.col("k_hi") > F.col("k_lo"))
+    rng = (u.where(F.col("kind") != 1).groupBy("repo", "path", F.col("ref").alias("pr_id"))
+            .agg(F.max(F.when(F.col("kind") == 0, F.col("k"))).alias("k_hi"), F.max(F.when(F.col("kind") == 2, F.col("k"))).alias("k_lo"))
+            .where(F.col("k_hi") > F.col("k_lo")))
     first = F.greatest(F.col("k_hi") - (limit - 1), F.col("k_lo") + 1)
     pr = rng.select("repo", "path", "pr_id", F.explode(F.sequence(first, F.col("k_hi"))).alias("cnum"))
     cand = pr.join(cm, ["repo", "path", "cnum"])

@@ -84,22 +84,17 @@ def template_violations(prs: DataFrame, requirements: DataFrame | None = None,
     if requirements is None:
         return prs.withColumn("violations", default_violations(body_col))
     b = F.col(body_col)
-    repos = requirements.select("repo").distinct()
-    custom = prs.join(repos, "repo", "left_semi")
-    default = prs.join(repos, "repo", "left_anti").withColumn("violations", default_violations(body_col))
-    pairs = custom.select("pr_id", "repo", body_col).join(requirements, "repo")
-    miss = pairs.where(~F.regexp_like(b, F.col("pattern")))
-    miss = miss.select("pr_id", "line_no", _violation(
-        F.col("id"), F.col("label"),
-        F.concat(F.lit("Missing section: **"), F.col("label"), F.lit("** — "), F.col("description")), "info").alias("v"))
-    per = miss.groupBy("pr_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "v"))).alias("_v"))
-    per = per.select("pr_id", F.transform("_v", lambda s: s["v"]).alias("_found"))
+    # a repo's sections are one row, bounded by its template; so each body is joined once and stays where it is
+    section = F.struct("line_no", "id", "label", "pattern", "description")
+    of_repo = requirements.groupBy("repo").agg(F.array_sort(F.collect_list(section)).alias("_sections"))
+    missing = F.transform(
+        F.filter("_sections", lambda s: ~F.regexp_like(b, s["pattern"])),
+        lambda s: _violation(s["id"], s["label"], F.concat(F.lit("Missing section: **"), s["label"], F.lit("** — "), s["description"]), "info"))
     nd = F.array(_violation(*[F.lit(x) for x in NO_DESCRIPTION[:3]], NO_DESCRIPTION[3]))
-    checked = (custom.join(per, "pr_id", "left")
-               .withColumn("violations", F.when(_no_description(b), nd)
-                           .otherwise(F.coalesce("_found", F.array().cast(f"array<{VIOLATION_TYPE}>"))))
-               .drop("_found"))
-    return default.unionByName(checked)
+    custom = F.when(_no_description(b), nd).otherwise(missing)
+    return (prs.join(of_repo, "repo", "left")
+               .withColumn("violations", F.when(F.col("_sections").isNull(), default_violations(body_col)).otherwise(custom))
+               .select(*prs.columns, "violations"))
 
 
 def template_comment(violations: Column, dashboard_url: str = "") -> Column:
