@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import col_, is_strict_json, parse_json_strict, variant_type, words_java
-from .common import global_position
+from .common import global_position, stored
 from .reviews import strip_fences
 
 _W = "[0-9A-Za-z_]"
@@ -126,3 +126,21 @@ def union_models(*results: DataFrame) -> DataFrame:
     for r in results[1:]:
         out = out.unionByName(r, allowMissingColumns=True)
     return out
+
+
+def evaluation_run(examples: DataFrame, answers: DataFrame, baseline: DataFrame, n: int = 100, k: int = 5,
+                   order_key: Column | None = None, main_model: str = "tuned", base_model: str = "base") -> DataFrame:
+    """The whole evaluation: the first ``n`` examples of the order are put to
+    the main model, every ``k``-th of them to the baseline; metrics per model
+    (A11). ``answers`` and ``baseline`` hold (example_id, raw_text, error). A
+    missing or failed answer scores zeros for the main model and is left out
+    for the baseline."""
+    key = F.md5(F.col("example_id").cast("string")) if order_key is None else order_key
+    sample = stored(head_n(examples.select("example_id", F.coalesce("category", F.lit("style")).alias("expected")),
+                           key, [F.col("example_id")], n), "sample")
+    missing = F.when(F.col("raw_text").isNull() & F.col("error").isNull(), F.lit("no answer")).otherwise(F.col("error"))
+    main = (sample.join(answers.select("example_id", "raw_text", "error"), "example_id", "left")
+                  .withColumn("error", missing).withColumn("model", F.lit(main_model)))
+    base = (every_kth(sample, k).join(baseline.select("example_id", "raw_text", "error"), "example_id")
+                                .withColumn("model", F.lit(base_model)))
+    return eval_metrics(row_scores(union_models(main, base), main_model))

@@ -147,3 +147,19 @@ def q_severity_match(spark, d):
     k = _kept(spark, d).select("example_id", TR.infer_severity().alias("sev"))
     r = V.responses(spark, d).join(k, "example_id")
     return r.select("example_id", E.severity_match("raw_text", "sev").alias("severity_match"))
+
+
+_RUN_SQL = f"""{_EVAL_ORDER}, sample AS (SELECT example_id, epos, category AS expected_category FROM ev WHERE epos <= 30),
+run AS (SELECT s.example_id, 'tuned' AS model, expected_category, raw_text, coalesce(error, CASE WHEN raw_text IS NULL THEN 'no answer' END) AS error
+  FROM sample s LEFT JOIN (SELECT example_id, raw_text, error FROM responses WHERE example_id % 3 <> 0) r ON r.example_id = s.example_id
+ UNION ALL SELECT s.example_id, 'base', expected_category, raw_text, error FROM sample s
+  JOIN (SELECT example_id, raw_text, error FROM responses) r ON r.example_id = s.example_id WHERE (epos - 1) % 5 = 0),
+{_METRICS_SQL.replace("FROM responses WHERE", "FROM run WHERE")}"""
+
+
+@register("evaluation_run", f"WITH {_RUN_SQL} SELECT * FROM mm")
+def q_evaluation_run(spark, d):
+    """Split, first examples, every fifth for the baseline, metrics; a third
+    of the examples has no answer of the main model."""
+    r = V.responses(spark, d)
+    return E.evaluation_run(_eval_set(spark, d), r.where("example_id % 3 <> 0"), r, 30, 5, TR.seeded_order_key("example_id"))
