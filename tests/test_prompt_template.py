@@ -1,4 +1,4 @@
-"""Ports of the reference prompt and template tests."""
+"""Prompts and description templates."""
 
 import datetime as dt
 
@@ -9,9 +9,8 @@ from ravel.operators import templates as TP
 
 FILE_SCHEMA = "pr_id long, pos long, filename string, additions int, deletions int, changes int, patch string"
 JOB_SCHEMA = "pr_id long, repo_full_name string, pr_title string, pr_body string, created_at timestamp_ntz"
-MOCK_FILES = [(1, 0, "src/auth/jwt.js", 40, 5, 45, "@@ -1,5 +1,10 @@\n+const jwt = require('jsonwebtoken');\n"
-               "-  const decoded = jwt.decode(token);\n+  const decoded = jwt.verify(token, process.env.SECRET);"),
-              (1, 1, "src/middleware/auth.js", 10, 2, 12, "@@ -10,3 +10,5 @@\n+if (!token) {")]
+CHANGED = [(1, 0, "billing/export.py", 12, 3, 15, "@@ -110,4 +110,6 @@\n-    path = name\n+    path = safe_join(EXPORT_ROOT, name)"),
+           (1, 1, "billing/cli.py", 4, 0, 4, "@@ -7,2 +7,3 @@\n+import csv")]
 
 
 def build(spark, title, body, files, langs, recent):
@@ -24,46 +23,45 @@ def build(spark, title, body, files, langs, recent):
 
 
 def test_title_body_languages_patches_schema(spark):
-    p = build(spark, "feat: add JWT token verification", "Fixes insecure token handling", MOCK_FILES,
-              ["JavaScript", "TypeScript", "Shell", "Go"], [])
-    assert "feat: add JWT token verification" in p and "Fixes insecure token handling" in p
-    assert "**Languages:** JavaScript, TypeScript, Shell\n" in p
-    assert "src/auth/jwt.js" in p and "jwt.verify" in p
+    p = build(spark, "Keep exports below one folder", "Names came from the request", CHANGED, ["Python", "Cython", "Make", "C"], [])
+    assert "Keep exports below one folder" in p and "Names came from the request" in p
+    assert "**Languages:** Python, Cython, Make\n" in p
+    assert "billing/export.py" in p and "safe_join" in p
     assert '"overallScore"' in p and '"comments"' in p and '"severity"' in p
     assert "Recent issues" not in p
     assert "**Files changed:** 2 (showing top 2 by diff size)" in p
 
 
 def test_recent_issue_context(spark):
-    p = build(spark, "t", "", MOCK_FILES, [], [(1, 1, "src/auth/jwt.js", "security", "Token not verified previously")])
-    assert "## Recent issues in touched files (last 30 days)\n- [security] src/auth/jwt.js: Token not verified previously" in p
+    p = build(spark, "t", "", CHANGED, [], [(1, 1, "billing/cli.py", "style", "Option names differ from the manual")])
+    assert "## Recent issues in touched files (last 30 days)\n- [style] billing/cli.py: Option names differ from the manual" in p
     assert "**Description:** No description provided." in p
 
 
 def test_top_15_of_25_files(spark):
-    many = [(1, i, f"src/file{i}.js", i * 10, i * 2, i * 12, f"@@ line @@\n+code change {i}") for i in range(25)]
-    p = build(spark, "big refactor", "", many, [], [])
-    assert "src/file24.js" in p and "src/file0.js" not in p
+    many = [(1, i, f"pkg/m{i:02}.go", 3 * i, i, 4 * i, f"@@ -1 +1 @@\n+v{i}") for i in range(25)]
+    p = build(spark, "Split the package", "", many, [], [])
+    assert "pkg/m24.go" in p and "pkg/m10.go" in p and "pkg/m09.go" not in p
     assert "(showing top 15 by diff size)" in p
-    assert p.index("src/file24.js") < p.index("src/file23.js")
+    assert p.index("pkg/m24.go") < p.index("pkg/m23.go")
 
 
 def test_null_patch_marker(spark):
-    p = build(spark, "t", "", [(1, 0, "bin.png", 0, 0, 0, None)], [], [])
-    assert "### bin.png (+0 -0)\n```diff\n[Binary or no diff available]\n```" in p
+    p = build(spark, "t", "", [(1, 0, "docs/plan.pdf", 0, 0, 0, None)], [], [])
+    assert "### docs/plan.pdf (+0 -0)\n```diff\n[Binary or no diff available]\n```" in p
 
 
 GOOD = """
 ## What
-This PR adds JWT signature verification to replace the insecure jwt.decode() call.
+Exports are written below one folder, and the name is checked.
 ## Why
-jwt.decode() does not validate the token signature, allowing forged tokens.
+A name with dots in it could leave the folder.
 ## Testing
-- Added unit tests for the verifyToken() function
+- A name with dots is refused, see the new cases
 """
-PARTIAL = "\n## What\nFixed the JWT issue.\n## Testing\nManual testing only.\n"
-PLACEHOLDER = "\n## What\n[Describe what this PR does]\n## Why\nNeeded for performance.\n## Testing\n[Describe how you tested this]\n    "
-LOWER = "\n## what\nFixed the JWT bug.\n## why\nSecurity issue.\n## testing\nUnit tests added.\n    "
+PARTIAL = "\n## What\nClosed the file after the last row.\n## Testing\nRan the export twice by hand.\n"
+PLACEHOLDER = "\n## What\n[Describe what this PR does]\n## Why\nThe export ran out of handles.\n## Testing\n[Describe how you tested this]\n  "
+LOWER = "\n## what\nMoved the option parser.\n## why\nTwo tools share it.\n## testing\nBoth tools were started.\n  "
 
 
 def check(spark, bodies, template=None):
@@ -76,7 +74,7 @@ def check(spark, bodies, template=None):
 
 
 def test_default_template_cases(spark):
-    good, partial, empty, short, ph, lower = check(spark, [GOOD, PARTIAL, "", "fix stuff", PLACEHOLDER, LOWER])
+    good, partial, empty, short, ph, lower = check(spark, [GOOD, PARTIAL, "", "one more try", PLACEHOLDER, LOWER])
     assert good == [] and "why" in partial and empty == ["no_description"] and short == ["no_description"]
     assert any("unfilled" in v for v in ph) and lower == []
 
@@ -87,15 +85,15 @@ def test_body_19_20_chars(spark):
 
 
 def test_custom_template(spark):
-    v = check(spark, ["\n## Summary\nAdded a new feature.\n    "], "\n## Summary\n## Ticket\n## Screenshots (optional)\n## Screenshots\n    ")
-    assert v == [["ticket", "screenshots"]]
+    v = check(spark, ["\n## Goal\nFewer open files at night.\n  "], "\n## Goal\n## Rollback plan\n## Numbers (optional)\n## Numbers\n  ")
+    assert v == [["rollback_plan", "numbers"]]
 
 
 def test_template_comment(spark):
     df = spark.createDataFrame([([],), ([("why", "## Why", "Missing section: **## Why**", "info"),
                                         ("testing", "## Testing", "Missing section: **## Testing**", "info")],)],
                                f"v array<{TP.VIOLATION_TYPE}>")
-    none, text = [r[0] for r in df.select(TP.template_comment(F.col("v"), "http://localhost:3000")).collect()]
+    none, text = [r[0] for r in df.select(TP.template_comment(F.col("v"), "https://dash.example")).collect()]
     assert none is None
     assert "PR Template Checklist" in text and "## Why" in text and "## Testing" in text and "process reminders" in text
-    assert text.endswith("<sub>Code Review Bot · [Dashboard](http://localhost:3000)</sub>")
+    assert text.endswith("<sub>Code Review Bot · [Dashboard](https://dash.example)</sub>")
