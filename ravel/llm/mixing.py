@@ -9,15 +9,17 @@ then fitted by projected-gradient least squares so that the expected tokens of
 each domain (rate * tokens * posterior, summed) meet the targets.
 
 A gradient step changes a document's rate by its posteriors times one number
-per domain. The sum of all steps is a number per domain, known to the driver,
-so a rate is an expression over the document's own posteriors and no table of
-rates is carried from step to step; each step is one aggregate over the stored
-posteriors."""
+per domain and then cuts it at 0, so a rate follows from the document's own
+posteriors and the steps so far, a few numbers each, which the driver keeps.
+Each step is one aggregate over the stored posteriors; every few steps the
+rates are stored beside them and go on from there."""
 
 from __future__ import annotations
 
 import json
+import logging
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,7 +36,9 @@ BUCKETS = 1 << 16            # hashed vocabulary
 MAX_LABELLED = 20_000        # labelled rows the classifier is fitted on
 PRIOR_COUNT = 5.0            # documents of each domain a bucket is taken to hold beforehand
 SIGMAS = 3                   # a bucket counts for a domain if its share lies so many standard errors off
-ROUNDS, PATIENCE, TOLERANCE = 60, 8, 1e-6
+ROUNDS = 100                 # most gradient steps
+TOLERANCE = 1e-4             # the fit ends when no domain errs by more of all tokens, or rates move less on average
+STORED_STEPS = 8             # steps after which the rates are stored
 
 
 def _words(text: str) -> Column:
@@ -125,58 +129,94 @@ def with_posteriors(docs: DataFrame, model: DataFrame | None, text: str, out: st
               .drop(out + "_n", out + "_e"))
 
 
-def rate(p: Column, moved: list[float]) -> Column:
-    """The rate of a document with posteriors ``p`` after steps that add up to
-    ``moved`` (a number per domain)."""
-    return F.greatest(F.lit(0.0), F.lit(1.0) - sum((p[k] * x for k, x in enumerate(moved[1:], 1)), p[0] * moved[0]))
-
-
-def fit_rates(rows: DataFrame, domains=DOMAINS, rounds: int = ROUNDS) -> list[float]:
-    """The sum of the gradient steps for ``rows`` (tokens, p), a stored table.
-    Steps add up and the sum is projected to rates of 0 and more, so that a
-    rate stays a short expression however many steps there are. The error of a
-    domain is measured relative to its expected tokens at first, and rates are
-    weighted by tokens; in that metric the largest curvature is 1, and so is
-    the step, sped up by momentum. Stops when no error exceeds TOLERANCE of all
-    tokens, or after PATIENCE steps without a shorter gradient (targets that
-    no rates can meet)."""
+class Fit(NamedTuple):
+    """Gradient steps (a number per domain, and the momentum behind them), the
+    share of all tokens by which each domain then misses its target, and
+    whether the fit came to rest."""
+    steps: list[list[float]]
+    error: list[float]
+    rested: bool
+
+
+def _stepped(df: DataFrame, steps: list[list[float]], domains) -> DataFrame:
+    """Columns r (the rate) and y (where the next step starts) after ``steps``;
+    moved is how far the last one moved the rate."""
+    if not steps:
+        return df.withColumn("moved", F.lit(None).cast("double"))
+    # the numbers come as a column, so that the code of a step is the same whatever they are
+    df = df.select("tokens", "p", "r", "y", F.inline(F.array(F.struct(F.lit([x for s in steps for x in s]).alias("h")))))
+    width = len(domains) + 1
+    for i in range(len(steps)):
+        back = sum((F.col("p")[k] * F.col("h")[i * width + k] for k in range(1, len(domains))), F.col("p")[0] * F.col("h")[i * width])
+        df = df.withColumn("n", F.greatest(F.lit(0.0), F.col("y") - back))
+        df = df.withColumns({"moved": F.abs(F.col("n") - F.col("y")), "y": F.col("n") + (F.col("n") - F.col("r")) * F.col("h")[i * width + width - 1],
+                             "r": F.col("n")}).drop("n")
+    return df.drop("h")
+
+
+def rate(p: Column, fit: Fit) -> Column:
+    """The rate of a document with posteriors ``p``: 1, moved by every step and
+    each time cut at 0."""
+    if not fit.steps:
+        return F.lit(1.0)
+
+    def step(s: Column, h: Column) -> Column:
+        new = F.greatest(F.lit(0.0), s["y"] - F.aggregate(F.zip_with(p, F.slice(h, 1, F.size(p)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
+        return F.transform(F.array(new), lambda n: F.struct(n.alias("r"), (n + (n - s["r"]) * F.element_at(h, -1)).alias("y")))[0]
+
+    steps = F.array(*[F.array(*map(F.lit, h)) for h in fit.steps])
+    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
+
+
+def fit_rates(rows: DataFrame, domains=DOMAINS, rounds: int = ROUNDS) -> Fit:
+    """Projected-gradient least squares over ``rows`` (tokens, p), a stored
+    table: nonnegative rates whose expected tokens per domain come closest to
+    the targets, errors being weighed by the larger of a domain's share and its
+    target. Rates start at 1 and are projected to 0 and more in every step;
+    steps are weighted by tokens, have the length that the curvature allows,
+    and gain speed (momentum, anew where the error grows).
+
+    Ends when the targets are met or the rates have come to rest; targets that
+    no rates can meet (a domain with hardly any tokens) leave an error, which
+    is returned and logged, as is a fit that ``rounds`` ended."""
     k = range(len(domains))
-    have = rows.agg(*[F.sum(F.col("tokens") * F.col("p")[i]) for i in k]).first()
-    have = [float(x or 0) for x in have]
-    total = sum(have)
-    moved = [0.0 for _ in k]
+    none = Fit([], [0.0 for _ in k], True)
+    gram = rows.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col("p")[i] * F.col("p")[j]) for i in k for j in k]).first()
+    total = float(gram[0] or 0)
     if not total:
-        return moved
+        return none
+    gram = [[float(gram[1 + i * len(domains) + j]) / total for j in k] for i in k]
     weight = sum(w for _, _, w in domains)
     target = [w / weight for _, _, w in domains]
-    best, found, before, last, k0, idle = None, moved, moved, None, 0, 0
-    for _ in range(rounds):
-        r = rate(F.col("p"), moved)
-        got = rows.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * r) for i in k]).first()
-        error = [float(x) / total - t for x, t in zip(got, target)]
-        length = sum(x * x * total / h for x, h in zip(error, have) if h > 0)
-        if best is None or length < best * (1 - 1e-3):
-            best, found, idle = length, moved, 0
-        elif (idle := idle + 1) == PATIENCE:
+    scale = [1 / max(sum(gram[i]), target[i], 1e-12) for i in k]
+    curvature = max(sum(gram[i][j] * scale[j] for j in k) for i in k)     # no eigenvalue is larger
+    cur = rows.select("tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
+    steps, pending, speed, last, error, rested = [], [], 0, None, None, False
+    for _ in range(rounds + 1):
+        now = _stepped(cur, pending, domains)
+        sums = now.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * F.col("y")) for i in k],
+                       *[F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")) for i in k], F.sum(F.col("tokens") * F.col("moved"))).first()
+        ahead = [float(sums[i]) / total - target[i] for i in k]
+        error = [float(sums[len(domains) + i]) / total - target[i] for i in k]
+        if max(map(abs, error)) < TOLERANCE or (steps and float(sums[-1]) / total < TOLERANCE):
+            rested = True
             break
-        if max(map(abs, error)) < TOLERANCE:
+        if len(steps) == rounds:
             break
-        # momentum; it starts anew where the gradient grows
-        k0 = 0 if last is not None and length > last else k0 + 1
-        stepped = [m + (x * total / h if h > 0 else 0.0) for m, x, h in zip(moved, error, have)]
-        moved = [x + (x - y) * k0 / (k0 + 3) for x, y in zip(stepped, before)]
-        before, last = stepped, length
-    return found
-
-
-def mixed(docs: DataFrame, labels: DataFrame, out: str, doc_id: str = "doc_id", text: str = "text",
-          domains=DOMAINS) -> tuple[DataFrame, Column]:
-    """A stored copy of ``docs`` with the struct column ``out`` (tokens, p),
-    and the column expression of the fitted rate."""
-    model = fit_classifier(docs, labels, doc_id, text, domains)
-    rows = saved(with_posteriors(docs, model, text, out, domains), "posteriors")
-    moved = fit_rates(rows.select(f"{out}.tokens", f"{out}.p"), domains)
-    return rows, rate(F.col(out)["p"], moved)
+        size = sum(x * x * s for x, s in zip(ahead, scale))
+        speed = 1 if last is not None and size > last else speed + 1
+        last = size
+        step = [x * s / curvature for x, s in zip(ahead, scale)] + [(speed - 1) / (speed + 2)]
+        steps.append(step)
+        pending.append(step)
+        if len(pending) > STORED_STEPS:
+            cur = saved(_stepped(cur, pending[:-1], domains).select("tokens", "p", "r", "y"), "rates")
+            pending = pending[-1:]
+    missed = {name: round(e, 6) for (name, _, _), e in zip(domains, error) if abs(e) >= 10 * TOLERANCE}
+    if missed or not rested:
+        logging.getLogger(__name__).warning("mixing rates after %d steps%s: targets missed by %s of all tokens",
+                                            len(steps), "" if rested else " (not at rest)", missed)
+    return Fit(steps, error, rested)
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
@@ -190,19 +230,24 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     # only the numbers are stored
     model = fit_classifier(d, labels, "doc_id", "text", domains)
     rows = saved(with_posteriors(d, model, "text", "_m", domains).select("doc_id", "_m.*"), "posteriors")
-    moved = fit_rates(rows, domains)
+    fit = fit_rates(rows, domains)
     return rows.select("doc_id", F.col("tokens").alias("n_tokens"),
                        *[F.col("p")[i].alias(f"p_{name}") for i, (name, _, _) in enumerate(domains)],
-                       rate(F.col("p"), moved).alias("rate"))
+                       rate(F.col("p"), fit).alias("rate"))
 
 
 def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", domains=DOMAINS) -> DataFrame:
-    """``docs`` with the column ``rate`` (named so that it does not clash): how
-    often a document is to be drawn. No document is left out here, for rates
-    weigh and do not judge; one whose rate is 0 is not drawn."""
+    """The documents that the mixture draws, with the column ``rate`` (named so
+    that it does not clash): how often each is to be drawn. Documents of rate 0
+    are left out, for they would never be drawn; a reader draws each of the
+    others ``rate`` times on average, and then the expected tokens of the
+    domains meet the target weights. Rows alike are judged alike; null and
+    empty texts have the priors as posteriors and stay."""
     out = "_mix"
-    while any(fresh(docs, out + x) != out + x for x in ("", "_n", "_d", "_e", "_s")):
+    while any(fresh(docs, out + x) != out + x for x in ("", "_n", "_d", "_e")):
         out = "_" + out
-    rows, r = mixed(docs, labels, out, doc_id, text, domains)
+    model = fit_classifier(docs, labels, doc_id, text, domains)
+    rows = saved(with_posteriors(docs, model, text, out, domains), "posteriors")
+    fit = fit_rates(rows.select(f"{out}.tokens", f"{out}.p"), domains)
     name = fresh(docs, "rate")
-    return rows.withColumn(name, r).drop(out)
+    return compute_once(rows, **{name: rate(F.col(out)["p"], fit)}).where((F.col(name) > 0) | (F.col(out)["tokens"] == 0)).drop(out)

@@ -513,3 +513,51 @@ def test_near_duplicates_of_one_id(sp):
     d = sp.createDataFrame([(i, t, "en", "s", None) for i, t in rows], DOCS).repartition(3)
     kept = Counter(r.doc_id for r in near_dups.drop_near_duplicates(d).collect())
     assert kept == Counter({1: 1, None: 2})
+
+
+def projected_gradient(t, p, target, rounds=4000):
+    """Plain projected gradient, for long: the least weighted squared error."""
+    import numpy as np
+    t, p, target = np.array(t, float), np.array(p, float), np.array(target)
+    total = t.sum()
+    gram = (p * t[:, None]).T @ p / total
+    scale = 1 / np.maximum((p * t[:, None]).sum(0) / total, target)
+    step = 1 / np.linalg.eigvals(gram * scale[None, :]).real.max()
+    r = np.ones(len(t))
+    for _ in range(rounds):
+        r = np.maximum(0, r - p @ (((t * r) @ p / total - target) * scale) * step)
+    e = (t * r) @ p / total - target
+    return r, e, float((e * e * scale).sum()), scale
+
+
+@pytest.mark.parametrize("case", ["feasible", "infeasible"])
+def test_mixing_fit_is_projected_gradient(sp, case):
+    import numpy as np
+    rnd = np.random.default_rng(4)
+    n = 300
+    p = rnd.dirichlet((0.3, 0.2, 0.1), n) if case == "feasible" else np.column_stack([np.full(n, 0.9995), np.full(n, 0.0005), np.zeros(n)])
+    if case == "infeasible":          # hardly any token of the second domain, one document of the third
+        p[:60] = (0.1, 0.0, 0.9)
+    t = rnd.integers(1, 200, n)
+    rows = common.saved(sp.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(t, p)], "tokens bigint, p array<double>"), "p")
+    fit = mixing.fit_rates(rows)
+    want, error, least, scale = projected_gradient(t, p, [w for _, _, w in mixing.DOMAINS])
+    got = rows.withColumn("rate", mixing.rate(F.col("p"), fit)).toPandas()
+    e = np.array([(got.tokens * got.rate * got.p.str[k]).sum() for k in range(3)]) / t.sum() - np.array([w for _, _, w in mixing.DOMAINS])
+    assert np.allclose(e, fit.error, atol=1e-9) and got.rate.min() >= 0
+    assert (e * e * scale).sum() <= least + 2e-4
+    if case == "feasible":
+        assert abs(e).max() < 2e-3 and fit.rested
+    else:
+        assert abs(e[1] + 0.07) < 0.02 and abs(e[0]) < 0.02 and abs(e[2]) < 0.02
+
+
+def test_mixing_rate_replays_stored_steps(sp, monkeypatch):
+    """Rates stored on the way and rates computed from all steps are the same."""
+    monkeypatch.setattr(mixing, "TOLERANCE", 1e-9)
+    rows = common.saved(sp.createDataFrame([(10 + i, [0.7 - 0.01 * (i % 50), 0.2, 0.1 + 0.01 * (i % 50)]) for i in range(120)], "tokens bigint, p array<double>"), "p")
+    fits = []
+    for stored in (3, 100):
+        monkeypatch.setattr(mixing, "STORED_STEPS", stored)
+        fits.append(mixing.fit_rates(rows, rounds=20))
+    assert fits[0].steps and all(abs(a - b) < 1e-9 for x, y in zip(fits[0].steps, fits[1].steps) for a, b in zip(x, y))
