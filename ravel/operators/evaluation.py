@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import col_, is_strict_json, parse_json_strict, variant_type, words_java
-from .common import global_position, stored
+from .common import compute_once, global_position, stored
 from .reviews import strip_fences
 
 _W = "[0-9A-Za-z_]"
@@ -43,7 +43,10 @@ def json_validity(c) -> Column:
 
 def first_comment_field(c, field: str) -> Column:
     """String value of ``comments[0].<field>`` of the answer, else null."""
-    v = parse_json_strict(strip_fences(c, bare_fence=False))
+    return _first_comment(parse_json_strict(strip_fences(c, bare_fence=False)), field)
+
+
+def _first_comment(v: Column, field: str) -> Column:
     path = f"$.comments[0].{field}"
     return F.when(variant_type(v, path) == "STRING", F.try_variant_get(v, path, "string"))
 
@@ -64,13 +67,15 @@ def row_scores(responses: DataFrame, main_model: str = "tuned", text: str = "raw
     zeros for the main model and is skipped for the baseline."""
     failed = F.col("error").isNotNull()
     r = responses.where(~failed | (F.col("model") == main_model))
+    # parsed once for both scores that need it
+    r = compute_once(r, _answer=F.when(~failed, parse_json_strict(strip_fences(text, bare_fence=False))))
     z = lambda e: F.when(failed, F.lit(0)).otherwise(e)
     return r.select(
         "example_id", "model",
-        z(json_validity(text)).cast("int").alias("json_validity"),
+        F.col("_answer").isNotNull().cast("int").alias("json_validity"),
         z(specificity(text)).cast("double").alias("specificity"),
         z(actionability(text)).cast("double").alias("actionability"),
-        z(category_match(text, expected)).cast("int").alias("category_match"),
+        F.coalesce((_first_comment(F.col("_answer"), "category") == F.col(expected)).cast("int"), F.lit(0)).alias("category_match"),
         z(F.length(text)).cast("int").alias("comment_length"))
 
 

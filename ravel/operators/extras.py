@@ -86,17 +86,13 @@ def author_and_size_metrics(reviews: DataFrame, comments: DataFrame) -> DataFram
              .agg(F.count(F.lit(1)).alias("reviews"), F.round(F.avg("overall_score"), 3).alias("avg_score")))
 
 
-def _grams(text: Column, k: int) -> Column:
-    """The 64-bit hashes of the ``k``-character grams of a text, as an array;
-    a text shorter than ``k`` is one gram. One pass splits the text into its
-    code points, and each further character is paired with them by position,
-    so the work grows with the length and not with its square."""
-    chars = F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
-    grams = F.transform(chars, lambda c: F.xxhash64(c))
-    for i in range(1, k):
-        ahead = F.slice(chars, i + 1, F.size(chars))
-        grams = F.zip_with(F.slice(grams, 1, F.size(ahead)), ahead, lambda g, c: F.xxhash64(g, c))
-    return F.when(F.length(text) >= k, grams).otherwise(F.array(F.xxhash64(text)))
+def _sample_points(n: int) -> list[int]:
+    """``n`` fixed 64-bit numbers, spread by a multiplicative generator."""
+    out, x = [], 0x9E3779B97F4A7C15
+    for _ in range(n):
+        x = (x * 0x5851F42D4C957F2D + 0x14057B7EF767814F) % 2**64
+        out.append((x ^ x >> 29) - 2**63)
+    return out
 
 
 def minhash_signatures(df: DataFrame, text: str, id_col: str, num_hashes: int = 64,
@@ -105,14 +101,19 @@ def minhash_signatures(df: DataFrame, text: str, id_col: str, num_hashes: int =
     ``shingle``-grams of the normalised text (a text shorter than a shingle is
     one gram, a null text has no signature).
 
-    Grams are hashed once, by one pass over the text, and only their distinct
-    64-bit hashes are exploded; the values are minima of these, hashed again
-    by generated code and combined before any shuffle (ids are unique)."""
+    The text is held as code points of equal width, so a gram is cut out in
+    constant time and the work is linear in the length. Each gram is hashed
+    once; its place in the order of each sample is its distance (XOR) from a
+    fixed point. Values are combined by generated code before any shuffle
+    (ids are unique)."""
     base = compute_once(df.select(F.col(id_col).alias("id"), F.col(text).alias("_raw")), _t=normalized_text("_raw"))
-    grams = base.where(F.col("_t").isNotNull()).select("id", F.explode(F.array_distinct(_grams(F.col("_t"), int(shingle)))).alias("gram"))
-    sig = grams.groupBy("id").agg(*[F.min(F.xxhash64(F.lit(seed), F.col("gram"))).alias(f"_h{seed}")
-                                    for seed in range(num_hashes)])
-    return sig.select("id", F.array(*[F.col(f"_h{seed}") for seed in range(num_hashes)]).alias("sig"))
+    base = compute_once(base.where(F.col("_t").isNotNull()).select("id", "_t"), _b=F.encode("_t", "UTF-32"))
+    last = F.greatest(F.length("_t") - int(shingle), F.lit(0))
+    grams = base.select("id", "_b", F.explode(F.sequence(F.lit(0), last)).alias("_i")).select(
+        "id", F.xxhash64(F.substring("_b", F.col("_i") * 4 + 1, F.lit(4 * int(shingle)))).alias("gram"))
+    sig = grams.groupBy("id").agg(*[F.min(F.col("gram").bitwiseXOR(F.lit(c).cast("bigint"))).alias(f"_h{i}")
+                                    for i, c in enumerate(_sample_points(num_hashes))])
+    return sig.select("id", F.array(*[F.col(f"_h{i}") for i in range(num_hashes)]).alias("sig"))
 
 
 def _block_links(least: int):

@@ -100,6 +100,14 @@ def _lenient_ok(x: Column) -> Column:
             & (variant_type(x, "$.title") == "STRING"))
 
 
+def lenient_comments(df: DataFrame, text: str = "raw_text", out: str = "kept") -> DataFrame:
+    """P10: ``df`` with the array of comments that pass the lenient rule, for
+    answers that have a list of comments; the others go. Parsed once."""
+    v = parse_json_strict(strip_fences(F.col(text)))
+    d = compute_once(df, **{out: F.try_variant_get(v, "$.comments", "array<variant>")}).where(F.col(out).isNotNull())
+    return d.withColumn(out, F.filter(out, _lenient_ok))
+
+
 def parse_review(df: DataFrame, text: str = "raw_text", bare_fence: bool = True) -> DataFrame:
     """X19 + X20: parse and validate a model answer.
 

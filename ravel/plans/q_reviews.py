@@ -132,12 +132,7 @@ def q_validate(spark, d):
 SELECT example_id, CAST(len(list_filter(coalesce(arr, []), lambda x: {_lenient_sql('x')})) AS INT) AS n_kept
 FROM p1 WHERE arr IS NOT NULL""")
 def q_lenient(spark, d):
-    from ..functions.text import parse_json_strict
-    r = V.responses(spark, d)
-    v = parse_json_strict(RV.strip_fences("raw_text"))
-    arr = F.try_variant_get(v, "$.comments", "array<variant>")
-    return (r.select("example_id", arr.alias("arr")).where(F.col("arr").isNotNull())
-             .select("example_id", F.size(F.filter("arr", RV._lenient_ok)).alias("n_kept")))
+    return RV.lenient_comments(V.responses(spark, d)).select("example_id", F.size("kept").alias("n_kept"))
 
 
 _COUNTS = """rc AS (SELECT review_id, count(*) AS n, count(*) FILTER (WHERE severity = 'critical') AS crit FROM review_comments GROUP BY review_id)"""

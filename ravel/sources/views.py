@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import table
+from .tables import spread, table
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +61,7 @@ _RAW_SUFFIX = (
 
 
 def raw_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").alias("d")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"), "doc_id").alias("d")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality").alias("l")
     return d.join(lab, F.col("d.doc_id") == F.col("l.doc_id"), "left").selectExpr(
         "d.doc_id AS example_id",
@@ -183,7 +183,7 @@ _ANSWERS = (
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text").selectExpr(
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").selectExpr(
         "doc_id AS example_id",
         "CASE WHEN doc_id % 2 = 0 THEN 'tuned' ELSE 'base' END AS model",
         "CASE doc_id % 5 WHEN 0 THEN 'security' WHEN 1 THEN 'performance' WHEN 2 THEN 'style' "

@@ -330,12 +330,31 @@ def test_components_and_their_extension(spark):
     assert C.extended_components(labels, frame(edges).where("false")).count() == labels.count()
 
 
-def test_grams_in_one_pass(spark):
-    texts = ["abcdefg", "abc", "", None, "ab𝒳cd é", "aaaaaaaa"]
+def test_signatures_of_equal_gram_sets_are_equal(spark):
+    texts = ["abcdefg", "abc", "", None, "ab𝒳cd é", "aaaaaaaa", "aaaaaa", "ab𝒳cd é ", "abcd", "ab𝒴cd é"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, t string")
-    got = {r.id: r.n for r in df.select("id", F.size(F.array_distinct(X._grams(F.col("t"), 5))).alias("n")).collect()}
-    grams = lambda t: len({t[i:i + 5] for i in range(max(len(t) - 4, 1))})
-    assert {i: got[i] for i, t in enumerate(texts) if t is not None} == {i: grams(t) for i, t in enumerate(texts) if t is not None}
+    got = {r.id: tuple(r.sig) for r in X.minhash_signatures(df, "t", "id").collect()}
+    grams = lambda t: frozenset(t.strip()[i:i + 5] for i in range(max(len(t.strip()) - 4, 1)))
+    assert set(got) == {i for i, t in enumerate(texts) if t is not None}
+    for i in got:
+        for j in got:
+            assert (got[i] == got[j]) == (grams(texts[i]) == grams(texts[j]))
+
+
+def test_signatures_estimate_similarity(spark):
+    rnd = random.Random(5)
+    base = [rnd.choice("abcdefghijklmnop ") for _ in range(4000)]
+    rows, grams = [], lambda t: {t[i:i + 5] for i in range(len(t) - 4)}
+    for k in range(12):
+        t = list(base)
+        for _ in range(60 * k):
+            t[rnd.randrange(len(t))] = rnd.choice("xyz")
+        rows.append((k, " ".join("".join(t).split())))
+    sig = {r.id: r.sig for r in X.minhash_signatures(spark.createDataFrame(rows, "id int, t string"), "t", "id", 256).collect()}
+    one = grams(rows[0][1])
+    for k, t in rows:
+        true = len(one & grams(t)) / len(one | grams(t))
+        assert abs(sum(a == b for a, b in zip(sig[0], sig[k])) / 256 - true) < 0.12
 
 
 def test_signatures_of_a_long_text_are_linear(spark):
