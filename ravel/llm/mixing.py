@@ -38,7 +38,7 @@ PRIOR_COUNT = 5.0            # documents of each domain a bucket is taken to hol
 SIGMAS = 3                   # a bucket counts for a domain if its share lies so many standard errors off
 ROUNDS = 100                 # most gradient steps
 TOLERANCE = 1e-4             # the fit ends when no domain errs by more of all tokens, or rates move less on average
-STORED_STEPS = 8             # steps after which the rates are stored
+STORED_STEPS = 3             # steps after which the rates are stored; a plan holds no more of them
 
 
 def _words(text: str) -> Column:
@@ -148,9 +148,9 @@ def _stepped(df: DataFrame, steps: list[list[float]], domains) -> DataFrame:
     width = len(domains) + 1
     for i in range(len(steps)):
         back = sum((F.col("p")[k] * F.col("h")[i * width + k] for k in range(1, len(domains))), F.col("p")[0] * F.col("h")[i * width])
-        df = df.withColumn("n", F.greatest(F.lit(0.0), F.col("y") - back))
-        df = df.withColumns({"moved": F.abs(F.col("n") - F.col("y")), "y": F.col("n") + (F.col("n") - F.col("r")) * F.col("h")[i * width + width - 1],
-                             "r": F.col("n")}).drop("n")
+        df = df.select("tokens", "p", "h", "r", "y", F.greatest(F.lit(0.0), F.col("y") - back).alias("n"))
+        df = df.select("tokens", "p", "h", F.col("n").alias("r"), F.abs(F.col("n") - F.col("y")).alias("moved"),
+                       (F.col("n") + (F.col("n") - F.col("r")) * F.col("h")[i * width + width - 1]).alias("y"))
     return df.drop("h")
 
 
