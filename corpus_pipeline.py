@@ -4,7 +4,9 @@ without secrets, with a rate per document.
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns the documents that stay. ``run`` applies them in order, each result
 written as Parquet in the shared scratch folder and read again. The first four
-return the columns of ``documents``; the last adds the mixing rate.
+return the columns of ``documents``; the last adds the mixing rate. Nulls,
+repeated rows and empty texts are handled as the operators' docstrings say:
+texts without words fail the quality rules, of repeated rows one stays.
 
 SQL can express neither the robust estimates of the first stage nor the fit of
 the last, so there is no ORACLE_SQL; the tests compare every stage with a
@@ -53,8 +55,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document gets the rate at which it is drawn, so that expected
-    tokens per domain meet the target weights."""
+    """Documents get the rate at which they are drawn, so that expected tokens
+    per domain meet the target weights; those that are never drawn go."""
     prepare(spark)
     return mix(docs, table(spark, sf_dir, "labels"))
 

@@ -104,8 +104,9 @@ def recent_issue_context(jobs: DataFrame, files: DataFrame, reviews: DataFrame,
 
     1. comments and two probes per (job, path) — at t and at t − days — are
        numbered in time order per (repo, path) by a two-level running count
-       (per-day counts, a running sum over days, a running count inside each
-       day), so no window spans a whole hot path;
+       (counts per hour, a running sum over hours, a running count inside each
+       hour), so no window spans a whole hot path; the numbered rows are stored
+       and read for probes and comments alike;
     2. the probes give k = comments before t and k_old = comments at or
        before t − days; the candidates are exactly the comments numbered
        max(k_old, k − limit) + 1 .. k, joined by (repo, path, number): at
@@ -135,7 +136,7 @@ def recent_issue_context(jobs: DataFrame, files: DataFrame, reviews: DataFrame,
     # comments of equal time are numbered by id descending, so that the
     # highest numbers are the newest and, among equal times, the lowest ids
     # the numbered events are stored: three tables are read from them
-    u = stored(running_count(u, ["repo", "path"], "t", [F.col("kind"), F.col("ref").desc()], "w", "k")
+    u = stored(running_count(u, ["repo", "path"], "t", [F.col("kind"), F.col("ref").desc()], "w", "k", "hour")
                .select("repo", "path", "kind", "ref", "t", "k", "category", "suggestion"), "numbered")
     cm = u.where(F.col("kind") == 1).select("repo", "path", F.col("k").alias("cnum"), F.col("ref").alias("comment_id"),
                                             F.col("t").alias("comment_at"), "category", "suggestion")

@@ -15,7 +15,10 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     than there are cores: costly work on texts would leave cores idle. Such an
     input has fewer splits than cores, so what is moved is bounded; an input
     with more splits is not moved. Results are the same either way."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect tells neither cores nor partitions
+        return df
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
