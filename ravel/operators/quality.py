@@ -11,56 +11,61 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import JS_SPACE, col_, js_trim, words_java
+from ..functions.text import JS_SPACE, col_, has_words, js_trim, words_java
 from .common import compute_once
 
 _W = "[0-9A-Za-z_]"
 
 # ---- Java patterns (built once from the fixed word lists) -------------------
-ACK_RE = words_java(P.ACK_1 + P.ACK_2)
-ACTIONABLE_RE = words_java(P.ACTIONABLE_1 + P.ACTIONABLE_2 + P.ACTIONABLE_3)
+ACK = P.ACK_1 + P.ACK_2
+ACTIONABLE = P.ACTIONABLE_1 + P.ACTIONABLE_2 + P.ACTIONABLE_3
+HIGH_VALUE = [w for g in P.HIGH_VALUE for w in g]
+ACK_RE, ACTIONABLE_RE, HIGH_VALUE_RE = words_java(ACK), words_java(ACTIONABLE), words_java(HIGH_VALUE)
 SPECIFIC_RES = [
     P.SPECIFIC_BACKTICK,
     f"(?<!{_W}){P.SPECIFIC_CALL}",
     words_java(P.SPECIFIC_PLACE),
     P.SPECIFIC_QUOTED,
 ]
-HIGH_VALUE_RE = words_java([w for g in P.HIGH_VALUE for w in g])
 LOW_VALUE_RES = [
     r"(?i)\A(?:" + "|".join(P.LOW_VALUE_PREFIX) + r")[:" + JS_SPACE[1:],
     r"(?i)\A(?:" + "|".join(P.LOW_VALUE_WHOLE) + r")\.?\z",
     words_java(P.LOW_VALUE_WORDS),
 ]
-LOW_VALUE_RE = "|".join(f"(?:{p})" for p in LOW_VALUE_RES)
-CATEGORY_RES = [(cat, words_java(ws)) for cat, ws in P.CATEGORY_RULES]
 
 BUCKETS = ["0.0-0.3", "0.3-0.5", "0.5-0.65", "0.65-0.8", "0.8-1.0"]
 
 
 def ack_flag(c) -> Column:
     """The text acknowledges a comment (fixed, done, good catch, ...)."""
-    return col_(c).rlike(ACK_RE)
+    return has_words(c, ACK)
 
 
 def actionable_flag(c) -> Column:
     """X2."""
-    return col_(c).rlike(ACTIONABLE_RE)
+    return has_words(c, ACTIONABLE)
 
 
 def specific_pattern_count(c) -> Column:
     """How many of the four specificity patterns match at least once."""
     c = col_(c)
-    return sum((c.rlike(p).cast("int") for p in SPECIFIC_RES[1:]), c.rlike(SPECIFIC_RES[0]).cast("int"))
+    tick, call, _, quoted = SPECIFIC_RES
+    return (c.rlike(tick).cast("int") + (c.contains("()") & c.rlike(call)).cast("int")
+            + has_words(c, P.SPECIFIC_PLACE).cast("int") + c.rlike(quoted).cast("int"))
 
 
 def high_value_flag(c) -> Column:
     """X4."""
-    return col_(c).rlike(HIGH_VALUE_RE)
+    return has_words(c, HIGH_VALUE)
 
 
 def low_value_flag(c) -> Column:
     """X5."""
-    return col_(c).rlike(LOW_VALUE_RE)
+    c = col_(c)
+    prefix, whole, _ = LOW_VALUE_RES
+    # the first two hold at the text's begin alone
+    head = F.substring(c, 1, 2 + max(map(len, P.LOW_VALUE_PREFIX + P.LOW_VALUE_WHOLE)))
+    return head.rlike(prefix) | head.rlike(whole) | has_words(c, P.LOW_VALUE_WORDS)
 
 
 def length_points(trimmed_len: Column) -> Column:
@@ -74,8 +79,9 @@ def infer_category(c) -> Column:
     """First matching category word list, else 'style'."""
     c = col_(c)
     expr = None
-    for cat, rx in CATEGORY_RES:
-        expr = F.when(c.rlike(rx), cat) if expr is None else expr.when(c.rlike(rx), cat)
+    for cat, words in P.CATEGORY_RULES:
+        found = has_words(c, words)
+        expr = F.when(found, cat) if expr is None else expr.when(found, cat)
     return expr.otherwise("style")
 
 

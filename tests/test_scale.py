@@ -2,8 +2,16 @@
 of the shape that made it grow faster."""
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import functions as F
+
+from ravel.functions import patterns as P
+from ravel.functions import text as T
+from ravel.operators import evaluation as E
 from ravel.operators import prompts as PR
+from ravel.operators import quality as Q
+from ravel.operators import reviews as RV
 
 BASE = dt.datetime(2024, 3, 1)
 
@@ -26,3 +34,40 @@ def test_issue_context_passes_on_little_more_than_the_answer(spark, monkeypatch)
     got = [(r.rank, r.comment_id) for r in PR.recent_issue_context(jobs, files, reviews, comments).collect()]
     assert sorted(got) == [(i + 1, i) for i in range(20)]
     assert seen[-1] <= 2 * 20      # not every file's 20 comments
+
+
+WORD_TEXTS = ["", None, "FIXED it", "prefixed", "Good Catch!", "good  catch", "O(n)x", "O(n) x", "uses n+1 query", "on 1", "Line 12 here", "line x",
+              "this CAN be", "this cannot", "you need to", "İ fix", "ſhould", "shoulD", "Key token", "résumé add", "add_on", "nit: a", "Nit", "nitpick　b",
+              "LGTM.", "lgtm..", "looks good.", "looks good. x", "great job", "x lgtm", "typo", "typos", "`a` foo() \"abc\"", "a() Foo()", "say \"ab\""]
+
+
+def test_word_lists_match_as_their_pattern_does(spark):
+    df = spark.createDataFrame([(t,) for t in WORD_TEXTS], "t string")
+    lists = [Q.ACK, Q.ACTIONABLE, Q.HIGH_VALUE, P.SPECIFIC_PLACE, P.LOW_VALUE_WORDS, P.EVAL_SPECIFIC_PLACE, *E.ACTIONABILITY, *[w for _, w in P.CATEGORY_RULES]]
+    t = F.col("t")
+    for words in lists:
+        assert df.where(~T.has_words("t", words).eqNullSafe(t.rlike(T.words_java(words)))).count() == 0
+    low = reduce(lambda a, b: a | b, [t.rlike(p) for p in Q.LOW_VALUE_RES])
+    assert df.where(~Q.low_value_flag("t").eqNullSafe(low)).count() == 0
+    specific = reduce(lambda a, b: a + b, [t.rlike(p).cast("int") for p in Q.SPECIFIC_RES])
+    assert df.where(~Q.specific_pattern_count("t").eqNullSafe(specific)).count() == 0
+    counted = F.least(F.lit(1.0), reduce(lambda a, b: a + b, [F.regexp_count(t, F.lit(p)) for p in E.SPECIFICITY_RES]) / F.lit(3.0))
+    assert df.where(~E.specificity("t").eqNullSafe(counted)).count() == 0
+
+
+def test_word_lists_look_for_plain_text_first(spark):
+    plan = spark.range(1).select(Q.high_value_flag(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "contains" in plan.lower()
+
+
+def test_fences_and_trim_as_the_patterns_do(spark):
+    texts = ["```json {} ```", "```JSON\n1\n```", "```x```", "``````", "```", "a ```", " ```json a```", "````", "a``", "```json", "　a\u0085 ", None, "", "```json```json a ``` ```"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for bare in (True, False):
+        s = F.regexp_replace("t", rf"(?i)\A```json{T.JS_SPACE}*", "")
+        s = F.regexp_replace(s, rf"(?i)\A```{T.JS_SPACE}*", "") if bare else s
+        s = F.regexp_replace(s, rf"(?i){T.JS_SPACE}*```\z", "")
+        s = F.regexp_replace(s, rf"\A{T.JS_SPACE}+|{T.JS_SPACE}+\z", "")
+        assert df.where(~RV.strip_fences("t", bare).eqNullSafe(s)).count() == 0
+    trims = RV.strip_fences(F.col("t"))._jc.toString()
+    assert "trim" in trims.lower()
