@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.common import stored
 from ..operators.reviews import REVIEW_KEY, review_comment_rows, upsert_reviews
 from ..session import scratch_path
 from .streams import exists, merged_reviews, stored_batches, write_batch
@@ -90,6 +91,7 @@ def compact(spark: SparkSession, log_path: str, path: str, buckets: int = BUCKET
 def numbered(rows: DataFrame, keys: list[str], base: int, id_col: str = "id") -> DataFrame:
     """``rows`` with ids base + 1, base + 2, … in the order of ``keys`` (a
     total order): dealt by range, numbered inside each partition."""
+    rows = stored(rows, "unnumbered")           # read twice: the ranges are drawn from it first
     spark, path = rows.sparkSession, scratch_path(rows.sparkSession, "numbered")
     mark = F.monotonically_increasing_id()      # partition number and row number, in the order the rows lie in
     (rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", mark).write.parquet(path))
