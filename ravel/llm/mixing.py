@@ -143,8 +143,9 @@ def _stepped(df: DataFrame, steps: list[list[float]], domains) -> DataFrame:
     moved is how far the last one moved the rate."""
     if not steps:
         return df.withColumn("moved", F.lit(None).cast("double"))
-    # the numbers come as a column, so that the code of a step is the same whatever they are
-    df = df.select("tokens", "p", "r", "y", F.inline(F.array(F.struct(F.lit([x for s in steps for x in s]).alias("h")))))
+    # the numbers come from a one-row subquery, so that the code of a step is the same whatever they are
+    h = df.sparkSession.range(1).select(F.array(*[F.lit(float(x)) for s in steps for x in s])).scalar()
+    df = df.select("tokens", "p", "r", "y", h.alias("h"))
     width = len(domains) + 1
     for i in range(len(steps)):
         back = sum((F.col("p")[k] * F.col("h")[i * width + k] for k in range(1, len(domains))), F.col("p")[0] * F.col("h")[i * width])
