@@ -2,8 +2,10 @@
 
 A review (repo, PR, sha) counts once: on the day of its first row (the lowest
 id) with the score of its last row (the highest id), as the stored table does
-(K2). A stateful operator keeps just these two rows per key. When a delivery
-changes them it takes back what the key gave before and gives the new value, so
+(K2). A stateful operator keeps just these two rows per key, the keys dealt by
+hash over a fixed number of buckets: a call of Python costs more than a row, so
+there is one a bucket and not one a key. When a delivery changes a key's rows it
+takes back what the key gave before and gives the new value, so
 what leaves it are differences: (day, reviews, scored, score). They depend on
 minima and maxima of ids alone, so any order of files gives the same trend.
 
@@ -17,7 +19,6 @@ the side table of :func:`ravel.streaming.streams.run_available`."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,38 +27,53 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators.reviews import REVIEW_KEY
 from .streams import write_batch
 
-_STATE = "first_id bigint, first_us bigint, last_id bigint, last_score bigint"
+_STATE = ("review array<string>, first_id array<bigint>, first_us array<bigint>, last_id array<bigint>, last_score array<bigint>, "
+          "until_ms array<bigint>")
 _CHANGE = "day_us bigint, reviews bigint, scored bigint, score bigint"
 DAY_US = 86_400_000_000
-
-
-def _gives(us: int, score: int | None, sign: int) -> tuple[int, int, int, int]:
-    day = us - us % DAY_US
-    return (day, sign, 0, 0) if score is None else (day, sign, sign, sign * score)
+BUCKETS = 2048      # groups that the keys' states are held in
+NONE = -1 << 63     # stands for null in columns that go to Python, where nulls would make them floats
 
 
 def _changes(keep_ms: int):
-    def fn(key, frames, state):
-        if state.hasTimedOut:
+    """State function of a bucket of keys. A key's state is (first id, its time,
+    last id, its score, the time until which the key is known)."""
+    def gives(us, score, sign):
+        day = None if us == NONE else us - us % DAY_US
+        return (day, sign, 0, 0) if score is None else (day, sign, sign, sign * score)
+
+    def rank(score):
+        return -1 if score is None else score
+
+    def fn(bucket, frames, state):
+        held = dict(zip(state.get[0], zip(*state.get[1:]))) if state.exists else {}
+        now, old = state.getCurrentWatermarkMs(), {}
+        for f in () if state.hasTimedOut else frames:   # one bounded piece of the bucket's rows at a time
+            for key, id, us, score in zip(*(f[c].tolist() for c in ("review", "id", "us", "score"))):
+                score, until = None if score == NONE else score, max(max(us // 1000, 0) + keep_ms, now + 1)
+                known = held.get(key)
+                if known is None:
+                    old[key], held[key] = None, (id, us, id, score, until)
+                    continue
+                # rows of one id: the earliest day, the highest score; a row without a day says nothing of it
+                first = min(known[:2], (id, us), key=lambda x: (x[1] == NONE, x))
+                last = (id, score) if (id, rank(score)) > (known[2], rank(known[3])) else known[2:4]
+                held[key] = (*first, *last, max(known[4], until) if key in old else until)
+                old.setdefault(key, known)
+        rows = []
+        for key, before in old.items():
+            after = held[key]
+            if before is None or before[:4] != after[:4]:
+                rows += ([gives(before[1], before[3], -1)] if before else []) + [gives(after[1], after[3], 1)]
+        held = {k: v for k, v in held.items() if v[4] >= now}
+        if held:
+            state.update((list(held), *map(list, zip(*held.values()))))
+            state.setTimeoutTimestamp(min(v[4] for v in held.values()))
+        elif state.exists:
             state.remove()
-            return
-        old = tuple(state.get) if state.exists else None
-        first, last, newest = (old[:2], old[2:], 0) if old else (None, None, 0)
-        for f in frames:   # one bounded piece of the key's rows at a time
-            ids, us = f["id"].to_numpy(np.int64), f["us"].to_numpy(np.int64)
-            score = f["overall_score"].astype("Int64")
-            rank = score.fillna(-1).to_numpy(np.int64)       # rows of one id: the earliest day, the highest score
-            i, j = np.lexsort((us, ids))[0], np.lexsort((rank, ids))[-1]
-            low, high = (int(ids[i]), int(us[i])), (int(ids[j]), None if score.isna().iloc[j] else int(rank[j]))
-            first = low if first is None else min(first, low)
-            if last is None or (high[0], -1 if high[1] is None else high[1]) > (last[0], -1 if last[1] is None else last[1]):
-                last = high
-            newest = max(newest, int(us.max()) // 1000)
-        state.update(first + last)
-        state.setTimeoutTimestamp(max(newest + keep_ms, state.getCurrentWatermarkMs() + 1))
-        if old != first + last:
-            rows = ([_gives(old[1], old[3], -1)] if old else []) + [_gives(first[1], last[1], 1)]
-            yield pd.DataFrame(rows, columns=["day_us", "reviews", "scored", "score"])
+        if rows:   # added up per day: a bucket's differences are as many as its days
+            yield (pd.DataFrame(rows, columns=["day_us", "reviews", "scored", "score"]).astype({"day_us": "Int64"})
+                     .groupby("day_us", dropna=False, as_index=False).sum())
     return fn
 
 
@@ -65,10 +81,13 @@ def trend_changes(reviews: DataFrame, delay: str = "1 day", keep_days: int = 30)
     """The stream of differences of a stream of reviews. ``delay``: how late a
     row may come; ``keep_days``: how long after its last row a key is known (a
     redelivery after that would be counted as a new review)."""
-    r = (reviews.select(*REVIEW_KEY, F.col("id").cast("bigint").alias("id"), F.col("created_at").cast("timestamp").alias("created_at"),
-                        F.col("overall_score").cast("bigint").alias("overall_score"))
-                .withWatermark("created_at", delay).withColumn("us", F.unix_micros("created_at")))
-    return r.groupBy(*REVIEW_KEY).applyInPandasWithState(
+    no = F.lit(NONE)
+    r = (reviews.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
+                .select(F.pmod(F.xxhash64(*REVIEW_KEY), F.lit(BUCKETS)).cast("int").alias("bucket"), F.to_json(F.struct(*REVIEW_KEY)).alias("review"),
+                        F.coalesce(F.col("id").cast("bigint"), no).alias("id"), "created_at",
+                        F.coalesce(F.unix_micros("created_at"), no).alias("us"),
+                        F.coalesce(F.col("overall_score").cast("bigint"), no).alias("score")))
+    return r.groupBy("bucket").applyInPandasWithState(
         _changes(int(keep_days) * 86_400_000), _CHANGE, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 

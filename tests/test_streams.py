@@ -186,6 +186,43 @@ def test_rate_state_function_gives_bounded_pieces(monkeypatch):
     assert sum(f["flagged"].sum() for f in out) == 50 and out[-1]["retry_after"].tolist() == [60] * 50
 
 
+class BucketState:
+    """A bucket's state, as Spark gives it."""
+    hasTimedOut = False
+
+    def __init__(self, watermark=0):
+        self.get, self.watermark = None, watermark
+
+    exists = property(lambda self: self.get is not None)
+
+    def update(self, value):
+        self.get = value
+
+    def remove(self):
+        self.get = None
+
+    def setTimeoutTimestamp(self, ms):
+        assert ms >= self.watermark
+        self.ms = ms
+
+    def getCurrentWatermarkMs(self):
+        return self.watermark
+
+
+def test_trend_takes_many_keys_in_a_call_and_forgets_old_ones():
+    import pandas as pd
+    day, state, step = TD.DAY_US, BucketState(), TD._changes(2 * 86_400_000)
+    frame = lambda rows: pd.DataFrame(rows, columns=["review", "id", "us", "score"])
+    out = list(step((0,), iter([frame([("a", 2, day, 50), ("b", 1, day, TD.NONE)]), frame([("a", 1, 0, 90), ("c", 1, TD.NONE, 10)])]), state))
+    assert len(out) == 1 and {r[0] if r[0] == r[0] else None: r[1:] for r in out[0].astype(object).where(out[0].notna(), None).itertuples(index=False, name=None)} == {
+        0: (1, 1, 50), day: (1, 0, 0), None: (1, 1, 10)}
+    assert sorted(state.get[0]) == ["a", "b", "c"]
+    out = list(step((0,), iter([frame([("a", 3, 5 * day, 70)])]), state))        # takes back what the key gave
+    assert out[0].values.tolist() == [[0, 0, 0, 20]]
+    state.watermark, state.hasTimedOut = 3 * 86_400_000 + 1, True
+    assert list(step((0,), iter([]), state)) == [] and state.get[0] == ["a"] and state.ms == 7 * 86_400_000
+
+
 COMMENTS = ("id bigint, review_id bigint, file_path string, line_number int, category string, severity string, title string, suggestion string")
 
 
