@@ -21,8 +21,9 @@ Batch form — exact and distributed, no per-key group in one task:
 * a request belongs to the start in its own block or in the previous one.
 
 Stream form — ``applyInPandasWithState`` keeps (count, window end) per key
-(O(1) state) and expires it with an event-time timeout at the window end
-(T4).
+(O(1) state), the keys dealt over buckets so that a micro-batch takes one call
+of Python a bucket and not one a key, and expires it when the window has ended,
+at the latest by an event-time timeout (T4).
 """
 
 from __future__ import annotations
@@ -125,46 +126,102 @@ def rate_window_flags(requests: DataFrame, window_seconds: int = 60, limit: int
 
 
 PIECE = 65_536      # rows of one frame that the state function gives
+BUCKETS = 1024      # groups that the clients' states are held in
+
+
+def _rule(window_us: int, limit: int):
+    """What both state functions do: read a frame, follow a client's windows,
+    give the results (made here, so that workers get them with the functions)."""
+    import numpy as np
+
+    def read(f):
+        return f["ts"].astype("datetime64[us]").astype("int64").to_numpy(), f["event_id"].to_numpy(np.int64)
+
+    def windows(tu, count, end):
+        """Of one client's sorted times, after a window of ``count`` requests
+        that ends at ``end``: the requests' numbers in their windows, the
+        windows' ends, and the last window."""
+        counts, ends = np.empty(len(tu), np.int64), np.empty(len(tu), np.int64)
+        i = 0
+        while i < len(tu):
+            if end < 0 or tu[i] > end:       # open a new window at request i
+                count, end = 0, int(tu[i]) + window_us
+            j = int(np.searchsorted(tu, end, side="right"))  # requests up to the window end
+            counts[i:j] = np.arange(count + 1, count + 1 + (j - i))
+            ends[i:j] = end
+            count += j - i
+            i = j
+        return counts, ends, int(count), int(end)
+
+    def results(ids, clients, tu, counts, ends):
+        """In pieces; ``clients`` gives the client of rows i to j."""
+        for i in range(0, len(tu), PIECE):
+            c = counts[i:i + PIECE]
+            wait = -((tu[i:i + PIECE] - ends[i:i + PIECE]) // 1_000_000)     # rounded up
+            yield pd.DataFrame({"event_id": ids[i:i + PIECE], "client_key": clients(i, i + PIECE), "window_count": c, "flagged": c > limit,
+                                "retry_after": pd.arrays.IntegerArray(wait, c <= limit)})
+    return read, windows, results
 
 
 def _process_key(window_us: int, limit: int):
-    """State function for ``applyInPandasWithState``: state = (count, end_us).
+    """State function for ``applyInPandasWithState`` by client: state = (count, end_us).
 
     Of a key's rows in a micro-batch only the times and ids are held, 16 bytes
     a row; the source bounds the micro-batch (:func:`read_requests`), so a hot
     key's share of it is bounded too. Results leave in pieces."""
     import numpy as np
+    read, windows, results = _rule(window_us, limit)
 
     def fn(key, pdfs, state):
         if state.hasTimedOut:          # T4: the window ended, forget the key
             state.remove()
             return
-        held = [(f["ts"].astype("datetime64[us]").astype("int64").to_numpy(), f["event_id"].to_numpy(np.int64)) for f in pdfs]
+        held = [read(f) for f in pdfs]
         tu, ids = (np.concatenate([h[i] for h in held]) for i in (0, 1)) if held else (np.empty(0, np.int64),) * 2
         if not len(tu):
             return
         order = np.lexsort((ids, tu))
         tu, ids = tu[order], ids[order]
-        count, end = (state.get if state.exists else (0, -1))
-        counts, ends = np.empty(len(tu), np.int64), np.empty(len(tu), np.int64)
-        i = 0
-        while i < len(tu):
-            if end < 0 or tu[i] > end:       # open a new window at request i
-                count, end = 0, int(tu[i]) + window_us
-            j = int(np.searchsorted(tu, end, side="right"))  # requests up to the window end
-            counts[i:j] = np.arange(count + 1, count + 1 + (j - i))
-            ends[i:j] = end
-            count += j - i
-            i = j
-        state.update((int(count), int(end)))
+        counts, ends, count, end = windows(tu, *(state.get if state.exists else (0, -1)))
+        state.update((count, end))
         # a window may end before the watermark that this batch has set
-        state.setTimeoutTimestamp(max(int(end // 1000) + 1, state.getCurrentWatermarkMs() + 1))
-        for i in range(0, len(tu), PIECE):
-            c = counts[i:i + PIECE]
-            wait = -((tu[i:i + PIECE] - ends[i:i + PIECE]) // 1_000_000)     # rounded up
-            yield pd.DataFrame({"event_id": ids[i:i + PIECE], "client_key": key[0], "window_count": c, "flagged": c > limit,
-                                "retry_after": pd.array(wait, dtype="Int64").copy()}).assign(
-                retry_after=lambda f: f["retry_after"].where(f["flagged"]))
+        state.setTimeoutTimestamp(max(end // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield from results(ids, lambda i, j: key[0], tu, counts, ends)
+    return fn
+
+
+def _process_bucket(window_us: int, limit: int):
+    """The same by bucket of clients: state = clients, their counts and window
+    ends. Of a row 24 bytes are held. Clients whose window has ended are
+    forgotten in each call, and all of them by the timeout at the last end."""
+    import numpy as np
+    read, windows, results = _rule(window_us, limit)
+
+    def fn(bucket, pdfs, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        known = dict(zip(state.get[0], zip(*state.get[1:]))) if state.exists else {}
+        code_of, held = {}, []
+        for f in pdfs:
+            codes, names = pd.factorize(f["client_key"], use_na_sentinel=False)
+            names = [code_of.setdefault(None if pd.isna(n) else n, len(code_of)) for n in names]
+            held.append((*read(f), np.array(names, np.int64)[codes]))
+        if not held:
+            return
+        tu, ids, codes = (np.concatenate([h[i] for h in held]) for i in range(3))
+        order = np.lexsort((ids, tu, codes))
+        tu, ids, codes = tu[order], ids[order], codes[order]
+        counts, ends = np.empty(len(tu), np.int64), np.empty(len(tu), np.int64)
+        cuts = np.searchsorted(codes, np.arange(len(code_of) + 1))
+        for client, k in code_of.items():
+            part = slice(cuts[k], cuts[k + 1])
+            counts[part], ends[part], *known[client] = windows(tu[part], *known.get(client, (0, -1)))
+        now, names = state.getCurrentWatermarkMs(), np.array(list(code_of), dtype=object)
+        known = {c: tuple(v) for c, v in known.items() if c in code_of or v[1] // 1000 + 1 >= now}
+        state.update((list(known), *map(list, zip(*known.values()))))
+        state.setTimeoutTimestamp(max(max(v[1] for v in known.values()) // 1000 + 1, now + 1))
+        yield from results(ids, lambda i, j: names[codes[i:j]], tu, counts, ends)
     return fn
 
 
@@ -177,13 +234,19 @@ def read_requests(spark: SparkSession, folder: str, max_bytes: str = "256m", max
     return r.json(folder)
 
 
-def rate_window_stream(requests: DataFrame, window_seconds: int = 60, limit: int = 100) -> DataFrame:
+def rate_window_stream(requests: DataFrame, window_seconds: int = 60, limit: int = 100, buckets: int | None = BUCKETS) -> DataFrame:
     """T3 + T4 (stream): per-key state (count, window end), expired by an
     event-time timeout when the window has ended. Requests that come later
     than the watermark (one window behind the newest) are not judged; run with
     ``late_path`` (:func:`ravel.streaming.streams.run_available`) their number
-    per batch is stored."""
+    per batch is stored. Clients are dealt by hash over ``buckets`` groups with
+    one call of Python each in a micro-batch; None: one a client."""
     r = requests.select("client_key", "event_id", "ts").withWatermark("ts", f"{int(window_seconds)} seconds")
-    return r.groupBy("client_key").applyInPandasWithState(
-        _process_key(int(window_seconds) * 1_000_000, int(limit)), STREAM_SCHEMA, "count long, end_us long",
-        "append", GroupStateTimeout.EventTimeTimeout)
+    if buckets is None:
+        return r.groupBy("client_key").applyInPandasWithState(
+            _process_key(int(window_seconds) * 1_000_000, int(limit)), STREAM_SCHEMA, "count long, end_us long",
+            "append", GroupStateTimeout.EventTimeTimeout)
+    r = r.withColumn("bucket", F.pmod(F.xxhash64("client_key"), F.lit(int(buckets))).cast("int"))
+    return r.groupBy("bucket").applyInPandasWithState(
+        _process_bucket(int(window_seconds) * 1_000_000, int(limit)), STREAM_SCHEMA,
+        "client array<string>, count array<bigint>, end_us array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -223,6 +223,23 @@ def test_trend_takes_many_keys_in_a_call_and_forgets_old_ones():
     assert list(step((0,), iter([]), state)) == [] and state.get[0] == ["a"] and state.ms == 7 * 86_400_000
 
 
+@pytest.mark.parametrize("calls", [1, 4])
+def test_rate_bucket_judges_many_clients_in_a_call(calls, monkeypatch):
+    import pandas as pd
+    monkeypatch.setattr(RT, "PIECE", 100)
+    rows = sorted((r for r in requests(600)), key=lambda r: (r[2], r[0]))
+    rows = [(i, None if k == "c1" else k, t) for i, k, t in rows]
+    state, step, got, size = BucketState(), RT._process_bucket(60_000_000, 5), {}, len(rows) // calls
+    for c in range(0, len(rows), size):
+        frames = [pd.DataFrame(rows[a:a + 50], columns=["event_id", "client_key", "ts"]) for a in range(c, c + size, 50)]
+        for f in step((0,), iter(frames), state):
+            assert len(f) <= 100
+            for i, k, n, over, wait in f.itertuples(index=False, name=None):
+                got[i] = (k, n, over, None if pd.isna(wait) else wait)
+    want = brute_rate([(i, k or "", t) for i, k, t in rows], 60, 5)
+    assert got == {i: (k, *want[i]) for i, k, _ in rows}
+
+
 COMMENTS = ("id bigint, review_id bigint, file_path string, line_number int, category string, severity string, title string, suggestion string")
 
 
