@@ -40,22 +40,24 @@ def outbox_batch_writer(comments: Callable[[SparkSession], DataFrame], path: str
     stored comments as of now."""
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
+        # a review redelivered inside the batch: its first values, its last score (K2 on one id). A micro-batch may come
+        # as one split, so its rows are dealt out before anything is made of them
+        when = F.col("created_at").cast("timestamp")
+        once = batch.repartition("id").groupBy("id").agg(
+            F.min_by(F.struct(*[c for c in batch.columns if c not in ("id", "overall_score")]), F.col("created_at")).alias("r"),
+            F.max("overall_score").alias("overall_score"), F.min(when).alias("_lo"), F.max(when).alias("_hi")).persist()
         try:
-            # a review redelivered inside the batch: its first values, its last score (K2 on one id)
-            once = batch.groupBy("id").agg(F.min_by(F.struct(*[c for c in batch.columns if c not in ("id", "overall_score")]),
-                                                    F.col("created_at")).alias("r"), F.max("overall_score").alias("overall_score"))
             messages = review_messages(once.select("id", "r.*", "overall_score"), comments(spark))
             sent = stored_batches(spark, path, but=(stream, batch_id))
             if sent is not None:
                 # a message carries its review's date, so only these days of the outbox are read
-                days = batch.agg(F.min(F.col("created_at").cast("timestamp")).alias("lo"), F.max(F.col("created_at").cast("timestamp")).alias("hi")).first()
+                days = once.agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
                 if days.lo is not None:
                     sent = sent.where(F.col("created_at").between(F.lit(days.lo), F.lit(days.hi)))
                 messages = messages.join(sent.select("review_id", "kind"), ["review_id", "kind"], "left_anti")
             write_batch(messages, batch_id, stream, path)
         finally:
-            batch.unpersist()
+            once.unpersist()
     return write
 
 

@@ -268,6 +268,15 @@ def test_outbox_announces_a_review_once(spark):
     assert got[(1, "approval")].headline.startswith("✅ *PR auto-approved by Code Review Bot*\n*<https://github.com/o/a/pull/7|")
 
 
+def test_outbox_deals_out_a_batch_of_one_split(spark, monkeypatch):
+    seen, messages = [], OB.review_messages
+    monkeypatch.setattr(OB, "review_messages", lambda r, c: seen.append(r._jdf.queryExecution().executedPlan().toString()) or messages(r, c))
+    batch = spark.createDataFrame([(1, "o/a", 7, "Fix", "ann", "h1", 95, BASE)], REVIEWS).coalesce(1)
+    OB.outbox_batch_writer(lambda s: spark.createDataFrame([], COMMENTS), scratch_path(spark, "outbox"), "a")(batch, 0)
+    # dealt by review, and kept after the aggregate, not before it
+    assert "REPARTITION_BY_COL" in seen[0] and seen[0].index("InMemoryRelation") < seen[0].index("Aggregate")
+
+
 def test_score_drop_message(spark):
     rows = [(1, "r", 1, "t", "u", "h", 90, BASE), (2, "r", 2, "t", "u", "h", 60, BASE + dt.timedelta(days=40)),
             (3, "r", 3, "t", "u", "h", 60, BASE + dt.timedelta(days=70))]
