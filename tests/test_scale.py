@@ -85,3 +85,24 @@ def test_comment_ids_read_their_input_once(spark):
     rows = spark.range(100).selectExpr("id AS review_id", "0 AS pos").mapInArrow(counted, "review_id bigint, pos int")
     got = ST.numbered(rows, ["review_id", "pos"], 7).collect()
     assert sorted((r.id, r.review_id) for r in got) == [(i + 8, i) for i in range(100)] and seen.value == 100
+
+
+def test_rows_of_one_row_group_are_dealt_over_the_cores(spark):
+    """More splits than cores say nothing: a Parquet file's rows lie where its row groups begin."""
+    import os
+    from ravel.session import scratch_path
+    from ravel.sources.tables import spread
+    path, old = scratch_path(spark, "one-group"), {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    spark.range(20000).selectExpr("id", "sha2(string(id), 256) AS text").coalesce(1).write.parquet(path)
+    size = sum(os.path.getsize(os.path.join(path, f)) for f in os.listdir(path) if f.endswith(".parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size // (cores + cores // 2)))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        df = spark.read.parquet(path)
+        assert df.rdd.getNumPartitions() > cores and sum(1 for p in df.rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect() if p) == 1
+        sizes = [n for n in spread(df, "id").rdd.mapPartitions(lambda r: [sum(1 for _ in r)]).collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 20000 and max(sizes) < 20000 / cores
