@@ -138,20 +138,25 @@ class Fit(NamedTuple):
     rested: bool
 
 
-def _stepped(df: DataFrame, steps: list[list[float]], domains) -> DataFrame:
-    """Columns r (the rate) and y (where the next step starts) after ``steps``;
-    moved is how far the last one moved the rate."""
+def _after(start: Column, p: Column, steps: list[list[float]]) -> Column:
+    """r (the rate), y (where the next step starts) and moved (how far the last
+    step moved the rate) of a document with posteriors ``p``, from ``start`` on.
+    The numbers are the argument of a function and no part of its code, which
+    is the same whatever they are."""
+    def step(s: Column, h: Column) -> Column:
+        back = F.aggregate(F.zip_with(p, F.slice(h, 1, F.size(p)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        return F.transform(F.array(F.greatest(F.lit(0.0), s["y"] - back)), lambda n: F.struct(
+            n.alias("r"), (n + (n - s["r"]) * F.element_at(h, -1)).alias("y"), F.abs(n - s["y"]).alias("moved")))[0]
+
+    return F.aggregate(F.array(*[F.array(*map(F.lit, h)) for h in steps]), start, step)
+
+
+def _stepped(df: DataFrame, steps: list[list[float]]) -> DataFrame:
+    """``df`` (tokens, p, r, y) after ``steps``, and the column moved."""
+    none = F.lit(None).cast("double").alias("moved")
     if not steps:
-        return df.withColumn("moved", F.lit(None).cast("double"))
-    # the numbers come as a column, so that the code of a step is the same whatever they are
-    df = df.select("tokens", "p", "r", "y", F.inline(F.array(F.struct(F.lit([x for s in steps for x in s]).alias("h")))))
-    width = len(domains) + 1
-    for i in range(len(steps)):
-        back = sum((F.col("p")[k] * F.col("h")[i * width + k] for k in range(1, len(domains))), F.col("p")[0] * F.col("h")[i * width])
-        df = df.select("tokens", "p", "h", "r", "y", F.greatest(F.lit(0.0), F.col("y") - back).alias("n"))
-        df = df.select("tokens", "p", "h", F.col("n").alias("r"), F.abs(F.col("n") - F.col("y")).alias("moved"),
-                       (F.col("n") + (F.col("n") - F.col("r")) * F.col("h")[i * width + width - 1]).alias("y"))
-    return df.drop("h")
+        return df.withColumn("moved", none)
+    return df.select("tokens", "p", _after(F.struct("r", "y", none), F.col("p"), steps).alias("s")).select("tokens", "p", "s.*")
 
 
 def rate(p: Column, fit: Fit) -> Column:
@@ -159,13 +164,8 @@ def rate(p: Column, fit: Fit) -> Column:
     each time cut at 0."""
     if not fit.steps:
         return F.lit(1.0)
-
-    def step(s: Column, h: Column) -> Column:
-        new = F.greatest(F.lit(0.0), s["y"] - F.aggregate(F.zip_with(p, F.slice(h, 1, F.size(p)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x))
-        return F.transform(F.array(new), lambda n: F.struct(n.alias("r"), (n + (n - s["r"]) * F.element_at(h, -1)).alias("y")))[0]
-
-    steps = F.array(*[F.array(*map(F.lit, h)) for h in fit.steps])
-    return F.aggregate(steps, F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
+    one = F.lit(1.0)
+    return _after(F.struct(one.alias("r"), one.alias("y"), F.lit(None).cast("double").alias("moved")), p, fit.steps)["r"]
 
 
 def fit_rates(rows: DataFrame, domains=DOMAINS, rounds: int = ROUNDS) -> Fit:
@@ -193,7 +193,7 @@ def fit_rates(rows: DataFrame, domains=DOMAINS, rounds: int = ROUNDS) -> Fit:
     cur = rows.select("tokens", "p", F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     steps, pending, speed, last, error, rested = [], [], 0, None, None, False
     for _ in range(rounds + 1):
-        now = _stepped(cur, pending, domains)
+        now = _stepped(cur, pending)
         sums = now.agg(*[F.sum(F.col("tokens") * F.col("p")[i] * F.col("y")) for i in k],
                        *[F.sum(F.col("tokens") * F.col("p")[i] * F.col("r")) for i in k], F.sum(F.col("tokens") * F.col("moved"))).first()
         ahead = [float(sums[i]) / total - target[i] for i in k]
@@ -210,7 +210,7 @@ def fit_rates(rows: DataFrame, domains=DOMAINS, rounds: int = ROUNDS) -> Fit:
         steps.append(step)
         pending.append(step)
         if len(pending) > STORED_STEPS:
-            cur = saved(_stepped(cur, pending[:-1], domains).select("tokens", "p", "r", "y"), "rates")
+            cur = saved(_stepped(cur, pending[:-1]).select("tokens", "p", "r", "y"), "rates")
             pending = pending[-1:]
     missed = {name: round(e, 6) for (name, _, _), e in zip(domains, error) if abs(e) >= 10 * TOLERANCE}
     if missed or not rested:

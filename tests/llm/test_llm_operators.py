@@ -561,3 +561,17 @@ def test_mixing_rate_replays_stored_steps(sp, monkeypatch):
         monkeypatch.setattr(mixing, "STORED_STEPS", stored)
         fits.append(mixing.fit_rates(rows, rounds=20))
     assert fits[0].steps and all(abs(a - b) < 1e-9 for x, y in zip(fits[0].steps, fits[1].steps) for a, b in zip(x, y))
+
+
+def test_mixing_steps_make_no_rows(sp):
+    """The numbers of a step are part of no generator, which would make a row a document and step."""
+    rows = common.saved(sp.createDataFrame([(10 + i, [0.7 - 0.01 * (i % 50), 0.2, 0.1 + 0.01 * (i % 50)]) for i in range(60)], "tokens bigint, p array<double>"), "p")
+    steps = [[0.1, -0.2, 0.3, 0.0], [0.5, 0.1, 0.9, 0.25], [-0.3, 0.2, 4.0, 0.4]]
+    df = mixing._stepped(rows.selectExpr("tokens", "p", "1D AS r", "1D AS y"), steps)
+    assert "Generate" not in df._jdf.queryExecution().executedPlan().toString()
+    for p, r, moved in df.select("p", "r", "moved").collect():
+        a, y = 1.0, 1.0
+        for *h, speed in steps:
+            n = max(0.0, y - sum(x * z for x, z in zip(p, h)))
+            a, y, last = n, n + (n - a) * speed, abs(n - y)
+        assert abs(r - a) < 1e-12 and abs(moved - last) < 1e-12
