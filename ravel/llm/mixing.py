@@ -19,13 +19,15 @@ from __future__ import annotations
 import json
 import logging
 import math
+from functools import reduce
+from operator import add
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.common import compute_once
-from .common import LOWER, NONALNUM_CLASS, SPACE_CLASS, UPPER, fresh, sample_bound, saved
+from .common import ALNUM_BYTES, LOWER, SPACE_CLASS, UPPER, fresh, sample_bound, saved
 
 # Domains by their condition on a labelled row, and their default weights in
 # the mixture.
@@ -39,6 +41,9 @@ SIGMAS = 3                   # a bucket counts for a domain if its share lies so
 ROUNDS = 100                 # most gradient steps
 TOLERANCE = 1e-4             # the fit ends when no domain errs by more of all tokens, or rates move less on average
 STORED_STEPS = 3             # steps after which the rates are stored; a plan holds no more of them
+# Separators of alphanumeric words in lower-cased text, one by one: a class of single characters is one table
+# look-up a character, a class of ranges a test a range.
+SEPARATORS = "[" + "".join(f"\\x{c:02X}" for c, b in enumerate(ALNUM_BYTES) if b == 0x20) + "]+"
 
 
 def _words(text: str) -> Column:
@@ -46,9 +51,12 @@ def _words(text: str) -> Column:
 
 
 def _terms(text: str) -> Column:
-    """The alphanumeric words, A-Z lower-cased, that the classifier looks at."""
-    low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
-    return F.array_remove(F.split(low, NONALNUM_CLASS + "+"), "")
+    """The alphanumeric words, A-Z lower-cased, that the classifier looks at.
+    Where a text has no other characters than those of ASCII, ``lower`` does the
+    same as ``translate``, which looks every character up."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    low = F.when(F.octet_length(t) == F.char_length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
+    return F.array_remove(F.split(low, SEPARATORS), "")
 
 
 def _bucket(word: Column) -> Column:
@@ -104,7 +112,8 @@ def _pick(rows: str, field: str) -> Column:
 def with_posteriors(docs: DataFrame, model: DataFrame | None, text: str, out: str, domains=DOMAINS) -> DataFrame:
     """``docs`` plus the struct column ``out``: tokens (words) and p (array of
     posteriors by domain). Texts without words have the priors; without a
-    model, every posterior is the domain's weight."""
+    model, every posterior is the domain's weight. Buckets without weights add
+    nothing to a score but their number: only the others are summed."""
     idx = fresh(docs, "_idx")
     df = compute_once(docs, **{idx: F.array_distinct(F.transform(_terms(text), _bucket))})
     tokens = F.size(_words(text)).cast("bigint").alias("tokens")
@@ -112,16 +121,18 @@ def with_posteriors(docs: DataFrame, model: DataFrame | None, text: str, out: st
         p = F.array(*[F.lit(float(w)) for _, _, w in domains])
         return df.withColumn(out, F.struct(tokens, p.alias("p"))).drop(idx)
 
-    df = compute_once(df, **{out + "_d": F.col(idx), out + "_n": tokens}).drop(idx)
     fitted = model.first()   # BUCKETS numbers by domain; a constant of the plan
+    weights = [[round(x, 9) for x in w] for w in fitted.weights]
+    tells = F.from_json(F.lit(json.dumps([any(w) for w in zip(*weights)])), "array<boolean>")
+    df = compute_once(df, **{out + "_d": F.filter(idx, lambda i: F.get(tells, i)), out + "_k": F.size(idx), out + "_n": tokens}).drop(idx)
 
     def score(k: int) -> Column:
-        weights = F.from_json(F.lit(json.dumps([round(x, 9) for x in fitted.weights[k]])), "array<double>")
-        return (F.lit(math.log(fitted.priors[k])) - F.size(out + "_d") * F.lit(fitted.masses[k])
-                + F.aggregate(out + "_d", F.lit(0.0), lambda a, i: a + F.get(weights, i)))
+        by_bucket = F.from_json(F.lit(json.dumps(weights[k])), "array<double>")
+        return (F.lit(math.log(fitted.priors[k])) - F.col(out + "_k") * F.lit(fitted.masses[k])
+                + F.aggregate(out + "_d", F.lit(0.0), lambda a, i: a + F.get(by_bucket, i)))
 
     s = fresh(docs, "_score")
-    df = compute_once(df, **{s: F.array(*[score(k) for k in range(len(domains))])}).drop(out + "_d")
+    df = compute_once(df, **{s: F.array(*[score(k) for k in range(len(domains))])}).drop(out + "_d", out + "_k")
     e = F.transform(s, lambda x: F.exp(x - F.array_max(s)))
     df = compute_once(df, **{out + "_e": e}).drop(s)
     z = F.aggregate(out + "_e", F.lit(0.0), lambda a, x: a + x)
@@ -144,7 +155,7 @@ def _after(start: Column, p: Column, steps: list[list[float]]) -> Column:
     The numbers are the argument of a function and no part of its code, which
     is the same whatever they are."""
     def step(s: Column, h: Column) -> Column:
-        back = F.aggregate(F.zip_with(p, F.slice(h, 1, F.size(p)), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+        back = reduce(add, [p[k] * h[k] for k in range(len(steps[0]) - 1)])
         return F.transform(F.array(F.greatest(F.lit(0.0), s["y"] - back)), lambda n: F.struct(
             n.alias("r"), (n + (n - s["r"]) * F.element_at(h, -1)).alias("y"), F.abs(n - s["y"]).alias("moved")))[0]
 
@@ -244,7 +255,7 @@ def mix(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     domains meet the target weights. Rows alike are judged alike; null and
     empty texts have the priors as posteriors and stay."""
     out = "_mix"
-    while any(fresh(docs, out + x) != out + x for x in ("", "_n", "_d", "_e")):
+    while any(fresh(docs, out + x) != out + x for x in ("", "_n", "_d", "_k", "_e")):
         out = "_" + out
     model = fit_classifier(docs, labels, doc_id, text, domains)
     rows = saved(with_posteriors(docs, model, text, out, domains), "posteriors")

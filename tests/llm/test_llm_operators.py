@@ -442,6 +442,34 @@ def test_mixing_meets_targets_and_separates(sp):
     assert kept.columns == ["doc_id", "text", "rate", "_rate"] and kept.where("rate <> 'mine'").count() == 0
 
 
+def test_mixing_posteriors_sum_only_buckets_with_weights(sp):
+    """Scores are those of all distinct buckets, but buckets without weights go before anything is summed, and texts of
+    ASCII alone are not looked up character by character."""
+    import numpy as np
+    rnd = random.Random(8)
+    texts = ["", None, " \t\n\x0b ", "One ONE one oNe-two_Three\x0bfour\x00FIVE[six]", "\u00c9t\u00c9 \u0130I \u03a3\u03a3 A\u0307 stra\u00dfe W1 w2",
+             "\U0001f600X \U0001f600x x", "\u00a0A\u2003b w3"] + [" ".join(rnd.choices([f"W{i}" for i in range(60)], k=rnd.randrange(1, 90))) for _ in range(40)]
+    docs = sp.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    words = [[w for w in re.split(r"[^0-9A-Za-z\u0080-\U0010ffff]+", t or "") if w] for t in texts]
+    lowered = [{"".join(c.lower() if c.isascii() else c for c in w) for w in ws} for ws in words]
+    known = sorted(set().union(*lowered))
+    bucket = dict(zip(known, (r.b for r in sp.createDataFrame([(w,) for w in known], "w string").select(mixing._bucket(F.col("w")).alias("b")).collect())))
+    weights = np.zeros((3, mixing.BUCKETS))
+    for w in known[::3]:
+        weights[rnd.randrange(3), bucket[w]] = round(rnd.uniform(-2, 2), 9)
+    model = common.saved(sp.createDataFrame([([0.6, 0.3, 0.1], weights.tolist(), [0.01, -0.02, 0.03])],
+                                            "priors array<double>, weights array<array<double>>, masses array<double>"), "model")
+    df = mixing.with_posteriors(docs, model, "text", "m")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "filter(" in plan and "lower(" in plan
+    for r in df.collect():
+        found = {bucket[w] for w in lowered[r.doc_id]}
+        score = np.log([0.6, 0.3, 0.1]) - len(found) * np.array([0.01, -0.02, 0.03]) + weights[:, sorted(found)].sum(1)
+        p = np.exp(score - score.max())
+        assert np.allclose(r.m.p, p / p.sum(), atol=1e-9)
+        assert r.m.tokens == len([w for w in re.split(r"[ \t-\r]+", texts[r.doc_id] or "") if w])
+
+
 def test_mixing_classifier_ignores_case_and_punctuation(sp):
     rnd = random.Random(5)
     plain, bad = [f"w{i}" for i in range(40)], [f"bad{i}" for i in range(6)]
