@@ -2,6 +2,8 @@
 of the shape that made it grow faster."""
 
 import datetime as dt
+import random
+import time
 from functools import reduce
 
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ravel.operators import evaluation as E
 from ravel.operators import prompts as PR
 from ravel.operators import quality as Q
 from ravel.operators import reviews as RV
+from ravel.operators.common import stored
 from ravel.streaming import store as ST
 
 BASE = dt.datetime(2024, 3, 1)
@@ -37,6 +40,74 @@ def test_issue_context_passes_on_little_more_than_the_answer(spark, monkeypatch)
     assert seen[-1] <= 2 * 20      # not every file's 20 comments
 
 
+def _issue_tables(spark, jobs, files, made):
+    """jobs (id, repo, t), files (job, path), made (comment, repo, path, t): a review for each comment."""
+    J = spark.createDataFrame(jobs, "pr_id bigint, repo_full_name string, created_at timestamp")
+    Fi = spark.createDataFrame(files, "pr_id bigint, filename string")
+    R = spark.createDataFrame([(i, repo, t) for i, (_, repo, _, t) in enumerate(made)], "id bigint, repo_full_name string, created_at timestamp")
+    C = spark.createDataFrame([(c, i, p, "style", f"s{c}") for i, (c, _, p, _) in enumerate(made)],
+                              "id bigint, review_id bigint, file_path string, category string, suggestion string")
+    return J, Fi, R, C
+
+
+def test_issue_context_passes_on_little_where_every_file_has_many_comments(spark, monkeypatch):
+    """Twenty files with thirty comments each, those of a file at one time: in a job's block, and in the one before."""
+    for ago in (dt.timedelta(minutes=1), dt.timedelta(days=25)):
+        made = [(100 * p + c, "r", f"f{p}", BASE - ago - dt.timedelta(minutes=p)) for p in range(20) for c in range(30)]
+        tables = _issue_tables(spark, [(1, "r", BASE)], [(1, f"f{p}") for p in range(20)], made)
+        seen, top = [], PR.top_n_per_group
+        with monkeypatch.context() as m:
+            m.setattr(PR, "top_n_per_group", lambda df, *a, **k: seen.append(df.count()) or top(df, *a, **k))
+            got = [(r.rank, r.comment_id) for r in PR.recent_issue_context(*tables).collect()]
+        assert sorted(got) == [(i + 1, i) for i in range(20)]
+        assert seen[-1] <= 2 * 20      # not twenty of every file
+
+
+def test_issue_context_keeps_only_comments_a_job_reaches(spark, monkeypatch):
+    made = [(i, "r", "f", BASE - dt.timedelta(days=i)) for i in range(-50, 300)]
+    kept, stored = {}, PR.stored
+    monkeypatch.setattr(PR, "stored", lambda df, name: kept.setdefault(name, stored(df, name)))
+    got = PR.recent_issue_context(*_issue_tables(spark, [(1, "r", BASE)], [(1, "f")], made)).collect()
+    assert sorted((r.rank, r.comment_id) for r in got) == [(i, i) for i in range(1, 21)]
+    assert kept["placed"].where("issue").count() == 29
+
+
+def test_issue_context_is_what_every_pair_gives(spark, monkeypatch):
+    """Hot and cold files, many comments of one time, of one id or of none, over three blocks; jobs that come twice."""
+    rnd = random.Random(11)
+    for per_path, step, few in ((60, 1, PR.FEW_PATHS), (200, 24 * 20, 0)):
+        at = lambda: BASE + dt.timedelta(hours=step * rnd.randrange(24 * 75 // step))  # noqa: B023, E731
+        jobs = [(j % 30, f"r{j % 2}", at()) for j in range(34)]
+        files = [(j, p) for j in range(30) for p in rnd.sample(["hot", *"abcdefghijklmnopqrstuvwxyz"], 12)]
+        made = [(rnd.choice([None, 7, 1000 + i]), f"r{i % 2}", rnd.choice(["hot", "hot", "hot", *"abcdefgh"]), at()) for i in range(per_path * 10)]
+        monkeypatch.setattr(PR, "FEW_PATHS", few)      # with 0, more paths than are broadcast
+        got = {}
+        for r in PR.recent_issue_context(*_issue_tables(spark, jobs, files, made)).collect():
+            got.setdefault(r.pr_id, []).append((r["rank"], r.comment_at, r.comment_id, r.file_path))
+        latest = {}
+        for j, repo, t in jobs:
+            latest[j, repo] = max(t, latest.get((j, repo), t))
+        for j in range(30):
+            want = [(t, c) for (k, repo), jt in latest.items() if k == j for c, r, p, t in made
+                    if r == repo and (j, p) in files and jt - dt.timedelta(days=30) < t < jt]
+            want.sort(key=lambda x: (-x[0].timestamp(), x[1] is not None, x[1] or 0))
+            assert [(t, c) for _, t, c, _ in sorted(got.get(j, []), key=lambda x: x[0])] == want[:20]
+
+
+def test_stored_leaves_no_shuffle_files(spark):
+    folder = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffles():
+        return {f for f in (str(x.getName()) for x in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(folder.getAllFiles()))
+                if f.startswith("shuffle_")}
+
+    before = shuffles()
+    kept = stored(spark.range(1000).repartition(4, "id").groupBy((F.col("id") % 10).alias("k")).count(), "grouped")
+    time.sleep(2)      # no longer: the driver's garbage collection would remove them, too, some day
+    assert not shuffles() - before
+    assert kept.agg(F.sum("count")).first()[0] == 1000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 WORD_TEXTS = ["", None, "FIXED it", "prefixed", "Good Catch!", "good  catch", "O(n)x", "O(n) x", "uses n+1 query", "on 1", "Line 12 here", "line x",
               "this CAN be", "this cannot", "you need to", "İ fix", "ſhould", "shoulD", "Key token", "résumé add", "add_on", "nit: a", "Nit", "nitpick　b",
               "LGTM.", "lgtm..", "looks good.", "looks good. x", "great job", "x lgtm", "typo", "typos", "`a` foo() \"abc\"", "a() Foo()", "say \"ab\""]
